@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format
+from .language_id import held_out as language_fold
+from .language_id import identify_language
 from .quality_rules import quality_rules
 from .sharding import shard_documents
+from .simhash import simhash_groups
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +22,20 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    found = identify_language(docs, docs.where(~language_fold()))
+    return found.select("doc_id", language_fold().alias("held_out"), "lang_pred", "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_t(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_t(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     return shard_documents(_t(spark, sf_dir, "documents")).select(
@@ -45,7 +58,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
         "op7_quality_rules": op7_quality_rules,
+        "op8_simhash": op8_simhash,
         "op9_sharding": op9_sharding,
         "op10_chat_format": op10_chat_format,
     }
