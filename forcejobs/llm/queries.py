@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format
+from .common import crc_mod
 from .language_id import held_out as language_fold
 from .language_id import identify_language
+from .line_crf import score_quality
+from .packing import pack_documents
 from .quality_rules import quality_rules
 from .sharding import shard_documents
 from .simhash import simhash_groups
@@ -17,6 +20,13 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled good and not toxic: the trusted target of the quality rules."""
     return _t(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
@@ -28,6 +38,22 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_fold().alias("held_out"), "lang_pred", "score")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_t(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def quality_fold(key: str = "doc_id"):
+    """Fold of the registered query: crc32 of the id as text, modulo 3, is 1."""
+    return crc_mod(F.col(key), 3) == 1
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    labels = _t(spark, sf_dir, "labels").where(~quality_fold())
+    found = score_quality(docs, docs, labels)
+    return found.select("doc_id", quality_fold().alias("held_out"), "score", "predicted")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_t(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
 
@@ -59,6 +85,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
+        "op2_packing": op2_packing,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_quality_rules": op7_quality_rules,
         "op8_simhash": op8_simhash,
         "op9_sharding": op9_sharding,
