@@ -12,6 +12,7 @@ from .language_id import identify_language
 from .line_crf import score_quality
 from .packing import pack_documents
 from .quality_rules import quality_rules
+from .rp_forest import embedding_groups
 from .sharding import shard_documents
 from .simhash import simhash_groups
 
@@ -42,6 +43,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_t(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(_t(spark, sf_dir, "embeddings"))
+
+
 def quality_fold(key: str = "doc_id"):
     """Fold of the registered query: crc32 of the id as text, modulo 3, is 1."""
     return crc_mod(F.col(key), 3) == 1
@@ -86,6 +91,7 @@ def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op2_packing": op2_packing,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_quality_rules": op7_quality_rules,
         "op8_simhash": op8_simhash,
