@@ -10,6 +10,7 @@ from .common import crc_mod
 from .language_id import held_out as language_fold
 from .language_id import identify_language
 from .line_crf import score_quality
+from .ngram_lm import score_texts
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .rp_forest import embedding_groups
@@ -47,6 +48,12 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(_t(spark, sf_dir, "embeddings"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc_mod(F.col("doc_id"), 10) == 0
+    found = score_texts(_t(spark, sf_dir, "documents"), ~fold)
+    return found.withColumn("held_out", ~F.col("trained")).drop("trained")
+
+
 def quality_fold(key: str = "doc_id"):
     """Fold of the registered query: crc32 of the id as text, modulo 3, is 1."""
     return crc_mod(F.col(key), 3) == 1
@@ -92,6 +99,7 @@ def queries() -> dict:
         "op1_language_id": op1_language_id,
         "op2_packing": op2_packing,
         "op3_embedding_dedup": op3_embedding_dedup,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_quality_rules": op7_quality_rules,
         "op8_simhash": op8_simhash,
