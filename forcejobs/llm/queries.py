@@ -12,6 +12,7 @@ from .language_id import identify_language
 from .line_crf import score_quality
 from .ngram_lm import score_texts
 from .packing import pack_documents
+from .piece_sampling import sample_pieces
 from .quality_rules import quality_rules
 from .rp_forest import embedding_groups
 from .sharding import shard_documents
@@ -48,6 +49,10 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(_t(spark, sf_dir, "embeddings"))
 
 
+def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_pieces(_t(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = crc_mod(F.col("doc_id"), 10) == 0
     found = score_texts(_t(spark, sf_dir, "documents"), ~fold)
@@ -99,6 +104,7 @@ def queries() -> dict:
         "op1_language_id": op1_language_id,
         "op2_packing": op2_packing,
         "op3_embedding_dedup": op3_embedding_dedup,
+        "op4_piece_sampling": op4_piece_sampling,
         "op5_lm_scoring": op5_lm_scoring,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_quality_rules": op7_quality_rules,
