@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame, **cols: Column) -> DataFrame:
+    """Adds columns that are computed once per row. A plain projection may be merged into a later lambda, and then
+    runs again for every sample; a generator of one row is not merged."""
+    keep = [c for c in df.columns if c not in cols]
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also where body has lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def at(a: Column, i: Column) -> Column:
     """Sample i, null outside the array."""
     return F.when(i >= 0, F.get(a, i))
@@ -33,7 +45,7 @@ def first(found: Column) -> Column:
 
 
 def last(found: Column) -> Column:
-    return F.when(F.size(found) > 0, F.get(found, F.size(found) - 1))
+    return let(found, lambda x: F.when(F.size(x) > 0, F.get(x, F.size(x) - 1)))
 
 
 def sustained(a: Column, test: Callable[[Column], Column], span: int, start, end) -> Column:
@@ -44,14 +56,14 @@ def sustained(a: Column, test: Callable[[Column], Column], span: int, start, end
 
 def argmin(a: Column, start, end) -> Column:
     """Index of the least sample of [start, end), the first on ties."""
-    part = between(a, start, end)
-    return F.when(F.size(part) > 0, _c(start) + (F.array_position(part, F.array_min(part)) - 1).cast("int"))
+    place = lambda p: F.when(F.size(p) > 0, (F.array_position(p, F.array_min(p)) - 1).cast("int"))
+    return _c(start) + let(between(a, start, end), place)
 
 
 def argmax(a: Column, start, end) -> Column:
     """Index of the greatest sample of [start, end), the first on ties."""
-    part = between(a, start, end)
-    return F.when(F.size(part) > 0, _c(start) + (F.array_position(part, F.array_max(part)) - 1).cast("int"))
+    place = lambda p: F.when(F.size(p) > 0, (F.array_position(p, F.array_max(p)) - 1).cast("int"))
+    return _c(start) + let(between(a, start, end), place)
 
 
 def runs(a: Column, low: Callable[[Column], Column]) -> Column:
@@ -71,22 +83,22 @@ def mean(a: Column) -> Column:
 
 def deviation(a: Column, less: int = 1) -> Column:
     """Standard deviation by two passes, over the count less `less`; null if that is not positive."""
-    m = mean(a)
-    square = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
-    return F.when(F.size(a) > less, F.sqrt(square / (F.size(a) - less)))
+    square = lambda x, m: F.aggregate(x, F.lit(0.0), lambda s, y: s + (y - m) * (y - m))
+    sd = lambda x: F.when(F.size(x) > less, F.sqrt(let(mean(x), lambda m: square(x, m)) / (F.size(x) - less)))
+    return let(a, sd)
 
 
 def median(a: Column) -> Column:
     """Mean of the two middle samples."""
-    s, n = F.sort_array(a), F.size(a)
+    n = F.size(a)
     low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-    return F.when(n > 0, (F.get(s, low) + F.get(s, high)) / 2)
+    return let(F.sort_array(a), lambda s: F.when(n > 0, (F.get(s, low) + F.get(s, high)) / 2))
 
 
 def trapezoid(a: Column, dt) -> Column:
     """Trapezoid area under evenly spaced samples; 0 for fewer than two."""
-    n = F.size(a)
-    return F.when(n >= 2, (total(a) - (F.get(a, F.lit(0)) + F.get(a, n - 1)) / 2) * dt).otherwise(0.0)
+    ends = lambda x: (F.get(x, F.lit(0)) + F.get(x, F.size(x) - 1)) / 2
+    return let(a, lambda x: F.when(F.size(x) >= 2, (total(x) - ends(x)) * dt).otherwise(0.0))
 
 
 def has_bad(a: Column) -> Column:

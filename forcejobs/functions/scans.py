@@ -96,7 +96,7 @@ def trailing_onset(window: int, k: float):
             avg = (s[m:] - s[:-m]) / m
             dev = np.sqrt(np.maximum((q[m:] - q[:-m] - m * avg**2) / (m - 1), 0))
             low = np.zeros(len(a), bool)
-            low[window:] = x[window:] < avg - k * dev
+            low[window:] = x[window:] < avg - k * dev - 1e-6  # a flat trace is never under its own mean
             low[: window + 1] = False
             found = np.flatnonzero(low[:bottom])
             if not len(found):

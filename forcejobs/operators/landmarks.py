@@ -26,13 +26,8 @@ def weigh(trials: DataFrame, start: int = 0, samples: int = 100, centre: str = "
     part = A.between(F.col("force"), start, start + samples)
     level = A.mean(part) if centre == "mean" else A.median(part)
     ok = (F.size("force") >= start + samples) & ~A.has_bad(part) if samples >= 2 else F.lit(False)
-    return trials.withColumns(
-        {
-            "epoch_end": F.lit(start + samples),
-            "weight": F.when(ok, level),
-            "weight_sd": F.when(ok, A.deviation(part, 1 if dispersion == "sample" else 0)),
-        }
-    )
+    sd = A.deviation(part, 1 if dispersion == "sample" else 0)
+    return A.settled(trials, epoch_end=F.lit(start + samples), weight=F.when(ok, level), weight_sd=F.when(ok, sd))
 
 
 def low(threshold: float, comparison: str = "signed"):
@@ -74,16 +69,16 @@ def takeoff_descending(force: Column, threshold: float = 20.0, span: int = 2) ->
 def takeoff_flight_noise(trials: DataFrame, start: Column, provisional: float = 10.0, trim: float = 0.25, k: float = 5.0) -> DataFrame:
     """Adds noise_takeoff and noise_threshold: the threshold is set again from the middle of the provisional flight."""
     f = F.col("force")
-    d = trials.withColumn("_p", A.first(A.hits(f, lambda x, i: (i >= start) & (x <= provisional))))
+    d = A.settled(trials, _p=A.first(A.hits(f, lambda x, i: (i >= start) & (x <= provisional))))
     up = A.first(A.hits(f, lambda x, i: (i >= F.col("_p")) & (x > provisional)))
-    d = d.withColumn("_q", F.coalesce(up - 1, F.size(f) - 1))
+    d = A.settled(d, _q=F.coalesce(up - 1, F.size(f) - 1))
     cut = F.floor(trim * (F.col("_q") - F.col("_p"))).cast("int")
-    d = d.withColumn("_a", F.col("_p") + cut).withColumn("_b", F.col("_q") - cut)
+    d = A.settled(d, _a=F.col("_p") + cut, _b=F.col("_q") - cut)
     middle = A.between(f, F.col("_a"), F.col("_b"))
     again = F.when(F.col("_b") - F.col("_a") >= 2, A.mean(middle) + k * A.deviation(middle))
-    d = d.withColumn("noise_threshold", F.when(F.col("_p").isNotNull(), F.coalesce(again, F.lit(provisional))))
+    d = A.settled(d, noise_threshold=F.when(F.col("_p").isNotNull(), F.coalesce(again, F.lit(provisional))))
     redone = A.first(A.hits(f, lambda x, i: (i >= start) & (x <= F.col("noise_threshold"))))
-    return d.withColumn("noise_takeoff", F.coalesce(redone, F.col("_p"))).drop("_p", "_q", "_a", "_b")
+    return A.settled(d, noise_takeoff=F.coalesce(redone, F.col("_p"))).drop("_p", "_q", "_a", "_b")
 
 
 def onset(force: Column, outside, span: int, back: int, start, end, pick: str = "first") -> Column:
@@ -118,20 +113,21 @@ def touchdown(force: Column, takeoff: Column, threshold: Column | float, weight:
     """Start of the first run over the threshold after takeoff that reaches the weight; null if it never does."""
     t = threshold if isinstance(threshold, Column) else F.lit(threshold)
     confirmed = A.first(A.hits(force, lambda x, i: (i >= takeoff) & (x > t) & (x >= weight)))
-    below = A.last(A.hits(force, lambda x, i: (i >= takeoff) & (i < confirmed) & (x <= t)))
-    return F.when(A.at(force, takeoff) <= t, F.coalesce(below + 1, takeoff))
+    low_before = lambda c: A.last(A.hits(force, lambda x, i: (i >= takeoff) & (i < c) & (x <= t)))
+    start = A.let(confirmed, lambda c: F.when(c.isNotNull(), F.coalesce(low_before(c) + 1, takeoff)))
+    return F.when(A.at(force, takeoff) <= t, start)
 
 
 def landing_absolute(force: Column, start, threshold: float = 20.0, span: int = 2) -> Column:
     """First sustained contact once the plate has been unloaded."""
     unloaded = A.first(A.hits(force, lambda x, i: (i >= start) & (x < threshold)))
-    return A.first(A.sustained(force, lambda x: x >= threshold, max(span, 1), unloaded, F.size(force)))
+    return A.let(unloaded, lambda u: A.first(A.sustained(force, lambda x: x >= threshold, max(span, 1), u, F.size(force))))
 
 
 def place(trials: DataFrame, k: float = 5.0, threshold: float = 20.0, span: int = 3, back: int = 3) -> DataFrame:
     """The default chain: weighing, then takeoff, onset and touchdown (takeoff first: onset is searched before it)."""
     f = F.col("force")
     d = weigh(trials)
-    d = d.withColumn("takeoff", takeoff_absolute(f, F.col("epoch_end"), threshold, span))
-    d = d.withColumn("onset", onset_noise(f, F.col("weight"), F.col("weight_sd"), k, span, back, F.col("epoch_end"), F.col("takeoff")))
-    return d.withColumn("touchdown", touchdown(f, F.col("takeoff"), threshold, F.col("weight")))
+    d = A.settled(d, takeoff=takeoff_absolute(f, F.col("epoch_end"), threshold, span))
+    found = onset_noise(f, F.col("weight"), F.col("weight_sd"), k, span, back, F.col("epoch_end"), F.col("takeoff"))
+    return A.settled(d, onset=found, touchdown=touchdown(f, F.col("takeoff"), threshold, F.col("weight")))

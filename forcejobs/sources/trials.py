@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import settled
+
 RATE_HZ = 100.0
 
 #: Force of sample i of trial k with weight w and push j; every constant is a double, so that all engines agree.
@@ -37,13 +39,8 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         "(o_orderkey % 1009) / 1009e0 * 16e0 - 8e0 AS j",
         "CASE WHEN o_orderkey % 110 = 0 THEN 240 ELSE 290 END AS n",
     )
-    return d.select(
-        F.col("k").alias("trial_id"),
-        "subject",
-        "occasion",
-        F.lit(RATE_HZ).alias("sample_rate_hz"),
-        F.expr(f"transform(sequence(0, n - 1), i -> {FORCE_SQL})").alias("force"),
-    )
+    d = settled(d, force=F.expr(f"transform(sequence(0, n - 1), i -> {FORCE_SQL})"))
+    return d.select(F.col("k").alias("trial_id"), "subject", "occasion", F.lit(RATE_HZ).alias("sample_rate_hz"), "force")
 
 
 def samples(trials: DataFrame, *keep: str) -> DataFrame:
