@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import trial_queries
+from . import cohort_queries, trial_queries
 
-MODULES = (trial_queries,)
+MODULES = (trial_queries, cohort_queries)
 
 
 def queries() -> dict:
