@@ -321,7 +321,7 @@ def rule_correlations(spark, sf_dir):
     """Pearson's r of every pair of rules over the trials both answer: pairs are made inside a trial's row."""
     d = variants(spark, sf_dir).where("value IS NOT NULL").groupBy("trial_id").agg(F.sort_array(F.collect_list(F.struct("rule", "value"))).alias("v"))
     pairs = F.flatten(F.transform("v", lambda a: F.transform(F.filter("v", lambda b: b["rule"] > a["rule"]), lambda b: F.struct(a["rule"].alias("rule_a"), b["rule"].alias("rule_b"), a["value"].alias("x"), b["value"].alias("y")))))
-    return d.select(F.inline(pairs)).groupBy("rule_a", "rule_b").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("r"))
+    return d.select(F.inline(pairs)).groupBy("rule_a", "rule_b").agg(F.count("*").alias("n"), F.round(F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y")), 6).alias("r"))
 
 
 @query(
