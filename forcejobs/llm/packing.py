@@ -10,7 +10,6 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +20,16 @@ LENGTH, END_ID = 1024, 2
 #: Pieces that one task packs: between these, about a 32nd of all.
 LEAST_GROUP, MOST_GROUP = 2048, 65536
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
-#: Texts with these are encoded as a whole: white space that does not stand alone between words, or other than space and \n.
-_ODD = regex.compile(r"[^\S \n]|\s\s|^\s|\s$|[\x00-\x08\x0e-\x1f\x85]")
+REMEMBERED = 1_500_000
+#: New words that are encoded at a time, one to a line.
+LINES = 2000
 
 
 class Encoder:
     """Token ids of texts. Words between single spaces or newlines are encoded once and then looked up.
 
     The pre-tokenizer of a byte-level vocabulary never joins characters across such a boundary (a space belongs to the
-    word after it), so a text's ids are those of its words. Other texts are encoded as they stand.
+    word after it), so a text's ids are those of its words. Texts with other white space are encoded as they stand.
     """
 
     def __init__(self, path: str):
@@ -39,18 +38,40 @@ class Encoder:
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
+        self.line_end = self.encoder.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.offsets, self.pool = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
+    def _each(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, number of each one's ids)."""
+        found = [x.ids for x in self.encoder.encode_batch_fast(units, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
+
+    def _lines(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words, encoded as the lines of one text: a call costs more than a word."""
+        ids, _ = self._each(["\n".join(units)])
+        if len(self.line_end) == 1:
+            breaks = np.flatnonzero(ids == self.line_end[0])
+            if len(breaks) == len(units) - 1:
+                return np.delete(ids, breaks), np.diff(np.concatenate(([-1], breaks, [len(ids)]))) - 1
+        return self._each(units)
+
     def learn(self, units: list[str]) -> None:
-        ids = [x.ids for x in self.encoder.encode_batch(units, add_special_tokens=False)]
-        ends = self.offsets[-1] + np.cumsum([len(x) for x in ids])
+        words = [u for u in units if "\n" not in u and u[-1:] != " " and len(u.split()) == 1]
+        if len(words) < len(units):
+            known = set(words)
+            rest = [u for u in units if u not in known]
+            units = words + rest
+            found = [self._each(rest)]
+        else:
+            found = []
+        found = [self._lines(words[i : i + LINES]) for i in range(0, len(words), LINES)] + found
         self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
-        self.offsets = np.concatenate((self.offsets, ends))
-        self.pool = np.concatenate((self.pool, np.array([i for x in ids for i in x], np.int32)))
+        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(np.concatenate([n for _, n in found]))))
+        self.pool = np.concatenate((self.pool, *[ids for ids, _ in found]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ends of the texts among them)."""
@@ -59,10 +80,10 @@ class Encoder:
         units: list[str] = []
         counts = []
         for t in texts:
-            if _ODD.search(t):
-                own = [t]
-            else:
+            if " ".join(t.split()) == t.replace("\n", " ") and "\x01" not in t:
                 own = t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01") if t else []
+            else:
+                own = [t]
             units += own
             counts.append(len(own))
         at = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
