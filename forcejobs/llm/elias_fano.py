@@ -6,6 +6,8 @@ import numpy as np
 
 #: Queries or elements that are expanded into single bits at a time.
 STRIP = 1 << 15
+#: Widest low part: with the bits before it in its first byte, it lies within eight bytes.
+WIDEST = 56
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -36,7 +38,7 @@ class EliasFano:
         """(low bytes, high words, n, width of a low part) of sorted values below bound."""
         values = values.astype(np.uint64)
         n = len(values)
-        width = max(0, (bound // max(n, 1)).bit_length() - 1)
+        width = min(WIDEST, max(0, (bound // max(n, 1)).bit_length() - 1))
         tops = (values >> np.uint64(width)).astype(np.int64)
         bits = np.zeros(-(-(n + (bound >> width) + 2) // 64) * 64, np.uint8)
         bits[tops + np.arange(n)] = 1

@@ -17,7 +17,7 @@ from .common import chunks, text_buffers
 from .elias_fano import Trie
 
 #: Bytes of text in a split of the documents; there are as many shards of the trie as splits.
-SPLIT_BYTES = 24 << 20
+SPLIT_BYTES = 16 << 20
 LEAST_SPLITS = 16
 #: Mass taken from each seen successor and given to the lower level.
 DISCOUNT = 0.8
