@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cohort_queries, trial_queries, wave_queries
+from . import cohort_queries, phase_queries, trial_queries, wave_queries
 
-MODULES = (trial_queries, cohort_queries, wave_queries)
+MODULES = (trial_queries, phase_queries, cohort_queries, wave_queries)
 
 
 def queries() -> dict:

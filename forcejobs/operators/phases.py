@@ -55,3 +55,14 @@ def dropoff(smoothed: Column, start: Column, percent: float = 5.0) -> Column:
         F.struct(F.when(s["at"].isNull() & (y["i"] > start), F.greatest(s["top"], y["x"])).otherwise(s["top"]).alias("top"), s["at"].alias("at")),
     ).otherwise(F.struct(s["top"].alias("top"), y["i"].alias("at")))
     return F.aggregate(later, state, step)["at"]
+
+
+def sticking_region(velocity: Column, start: int, end: int) -> Column:
+    """struct(start, stop): first local maximum after start, and the next local minimum that velocity rises from; both or neither."""
+    up = lambda i: F.get(velocity, i) > F.get(velocity, i - 1)
+    down = lambda i: F.get(velocity, i) < F.get(velocity, i - 1)
+    inside = lambda i, low: (i > low) & (i < end)
+    top = A.first(A.hits(velocity, lambda x, i: inside(i, start) & up(i) & ~up(i + 1)))
+    bottom = lambda t: A.first(A.hits(velocity, lambda x, i: inside(i, t) & down(i) & ~down(i + 1)))
+    pair = lambda t: A.let(bottom(t), lambda b: F.struct(F.when(b.isNotNull(), t).alias("start"), b.alias("stop")))
+    return A.let(top, pair)
