@@ -17,6 +17,14 @@ def test_chat_query_equals_its_sql(spark):
     assert got.equals(want[list(got.columns)])
 
 
+def test_vector_query_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    got = queries()["op3_embedding_dedup"](spark, SF).toPandas().sort_values("vec_id", ignore_index=True)
+    want = con.execute(oracle_sql()["op3_embedding_dedup"]).df().sort_values("vec_id", ignore_index=True)
+    assert got.equals(want[list(got.columns)])
+
+
 @pytest.mark.parametrize(
     "name, columns",
     [
