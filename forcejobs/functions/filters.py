@@ -178,6 +178,28 @@ def smoothing_matrix(points: int, basis: int, penalty: float) -> np.ndarray:
     return b @ np.linalg.solve(b.T @ b + penalty * d.T @ d, b.T)
 
 
+def best_penalty(x: np.ndarray, basis: int) -> list[float]:
+    """Per row the penalty of least generalised cross-validation error: powers of ten from -10 to 10, then tenths about the best."""
+
+    def errors(penalties: np.ndarray) -> np.ndarray:
+        out = []
+        for p in penalties:
+            hat = smoothing_matrix(x.shape[1], basis, p)
+            free = 1 - np.trace(hat) / x.shape[1]
+            out.append(((x - x @ hat.T) ** 2).mean(1) / free**2)
+        return np.stack(out, axis=1)
+
+    coarse = np.arange(-10.0, 11.0)
+    power = coarse[errors(10**coarse).argmin(1)]
+    out = np.empty(len(x))
+    for p in np.unique(power):
+        fine, rows = p + np.arange(-9, 10) / 10, np.flatnonzero(power == p)
+        own = x[rows]
+        e = np.stack([((own - own @ h.T) ** 2).mean(1) / (1 - np.trace(h) / x.shape[1]) ** 2 for h in (smoothing_matrix(x.shape[1], basis, 10**f) for f in fine)], axis=1)
+        out[rows] = 10 ** fine[e.argmin(1)]
+    return out.tolist()
+
+
 def varimax(loadings: np.ndarray, sweeps: int = 200) -> np.ndarray:
     """Pairwise varimax rotation of the columns of a loading matrix, rows scaled to unit length meanwhile (Kaiser)."""
     scale = np.sqrt((loadings**2).sum(1, keepdims=True))

@@ -11,6 +11,7 @@ from ..operators import cohort as C
 from ..operators import landmarks as L
 from ..operators import phases as P
 from ..operators import quantities as Q
+from ..sources import store
 from .trial_queries import BASE, RESULTS_SQL, moving, placed, results_frame, rounded, sql_rounded
 
 G = L.GRAVITY
@@ -195,6 +196,27 @@ def descriptions(spark, sf_dir):
     return d.select("trial_id", "subject", "quantity", F.round("value", 6).alias("value"), F.when(F.col("value").isNull(), F.col("reason")).alias("refusal"))
 
 
+@query(
+    "relation_round_trips",
+    RESULTS_SQL
+    + "SELECT kind, count(*) AS trials, count(onset) AS with_onset, round(sum(height_takeoff), 6) AS heights, round(sum(weight_sum), 6) AS weights, count(DISTINCT trial_id) AS ids FROM (SELECT *, w AS weight_sum FROM q) CROSS JOIN (SELECT unnest(['parquet', 'csv', 'json']) AS kind) GROUP BY kind",
+)
+def relation_round_trips(spark, sf_dir):
+    """Results written as Parquet, CSV and JSON and read back: the same numbers from each."""
+    d = results_frame(spark, sf_dir).select("trial_id", "onset", "weight", "height_takeoff")
+    out = None
+    for kind in ("parquet", "csv", "json"):
+        r = store.round_trip(d, kind)
+        out = r if out is None else out.unionByName(r)
+    return out.groupBy("kind").agg(
+        F.count("*").alias("trials"),
+        F.count("onset").alias("with_onset"),
+        F.round(F.sum("height_takeoff"), 6).alias("heights"),
+        F.round(F.sum("weight"), 6).alias("weights"),
+        F.countDistinct("trial_id").alias("ids"),
+    )
+
+
 @query(
     "refusal_codes",
     BASE

@@ -161,3 +161,25 @@ def push_off(spark, sf_dir):
     )
 
 
+
+
+@query(
+    "lift_phases",
+    BASE
+    + TOPS
+    + ZERO
+    + """, db AS (SELECT trial_id, min(idx) AS fall FROM m JOIN tp USING (trial_id) WHERE idx BETWEEN top AND takeoff AND f <= w - 10 GROUP BY trial_id),
+dm AS (SELECT trial_id, max(d) AS dm FROM k WHERE onset < takeoff AND idx >= onset AND idx < takeoff GROUP BY trial_id),
+dx AS (SELECT trial_id, min(idx) AS highest FROM k JOIN dm USING (trial_id) WHERE idx >= onset AND idx < takeoff AND d = dm GROUP BY trial_id)
+SELECT trial_id, zero AS lift_start, CASE WHEN fall > e.top THEN fall END AS lift_end_net_force, highest AS lift_end_displacement FROM e LEFT JOIN db USING (trial_id) LEFT JOIN dx USING (trial_id)""",
+)
+def lift_phases(spark, sf_dir):
+    """A lift from the velocity's zero crossing to where net force is gone (10 N of deadband), or to the highest place."""
+    d = moving(spark, sf_dir).where(c.ordered)
+    d = A.settled(d, lift_start=P.velocity_crossing(F.col("velocity"), c.onset, c.takeoff), top=A.argmax(c.force, c.onset, c.takeoff)).where("lift_start IS NOT NULL")
+    return d.select(
+        "trial_id",
+        "lift_start",
+        P.falling_crossing(c.force, c.weight - 10, F.col("top"), c.takeoff).alias("lift_end_net_force"),
+        A.argmax(F.col("displacement"), c.onset, c.takeoff).alias("lift_end_displacement"),
+    )

@@ -321,3 +321,9 @@ def warped_curves(spark, sf_dir):
     d = V.per_trace(d, "phase", "y", lambda x: [X.spline_resample(y, 51) for y in x])
     _, mean, _ = V.covariance(d, "y")
     return V.warped_cost(d, "trial_id", "y", mean.tolist(), 10)
+
+
+@query("smoothing_penalties")
+def smoothing_penalties(spark, sf_dir):
+    """The penalty that cross-validation picks for each curve."""
+    return V.per_trace(curves(spark, sf_dir).select("vec_id", "y"), "y", "penalty", lambda x: X.best_penalty(x, 20), array=False)

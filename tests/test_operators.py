@@ -141,3 +141,10 @@ def test_templates(spark):
     assert got == [("01", "2", "ok"), ("", "", "unidentified"), ("", "", "without_suffix")]
     with pytest.raises(ValueError):
         files.template_pattern("AT{a}{b}", ".txt")
+
+
+def test_penalty_follows_the_noise():
+    x = np.linspace(0, 1, 64)
+    rough = np.sin(12 * x) + 0.3 * np.random.default_rng(0).standard_normal(64)
+    smooth, noisy = X.best_penalty(np.stack([np.sin(12 * x), rough]), 20)
+    assert noisy > smooth > 0
