@@ -29,8 +29,8 @@ FROM orders WHERE o_orderkey % 10 = 0
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """trial_id, subject, occasion, sample_rate_hz, force: a trial's samples stay one array of one row."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 10 = 0")
+    """trial_id, subject, occasion, sample_rate_hz, force of every order: a trial's samples stay one array of one row."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     d = orders.selectExpr(
         "o_orderkey AS k",
         "o_custkey % 20 AS subject",
