@@ -20,17 +20,24 @@ SMALL_RUN = 8
 GROUP_LIMIT = 20_000
 
 
-def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
-    """SimHash of one text's word shingles: a bit is 1 if it is set in over half the shingles' hashes."""
+def shingle_hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Hash of every word shingle of a text in order; a shorter text is one shingle, one without words has none."""
     w = text.lower().split()
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, len(w))
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
-    hashes = np.array([digest(view[a:b], seed) for a, b in zip(starts[: len(w) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([digest(view[a:b], seed) for a, b in zip(starts[: len(w) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
+    """SimHash of one text's word shingles: a bit is 1 if it is set in over half the shingles' hashes."""
+    hashes = shingle_hashes(text, words, seed)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
