@@ -163,9 +163,12 @@ def score_quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
+    carry: bool = False,
 ) -> DataFrame:
     """Quality of every whole text: id, score (0 to 1, higher is better), predicted (1 if score is at least 0.5).
 
+    With carry the whole input row stands in place of the id.
+
     A field over the lines of a text, with features of each line and its neighbours, is fitted on at most TRAIN_DOCS of
     the `labelled` documents that `labels` marks 0 or 1; forward-backward gives each line's marginal of being good, and
     their mean weighted by the line's bytes plus one is the score. A null or empty text is one empty line. Ids with
@@ -173,18 +176,21 @@ def score_quality(
     are scored as they stand; an empty table gives no rows. Other columns are not read.
     """
     field = docs.sparkSession.sparkContext.broadcast(learn(labelled, labels, id_col, text_col, label_col))
-    d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    d = docs if carry else docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    text, kept = (text_col, docs.columns) if carry else ("t", ["i"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "t"):
+            for part in chunks(batch, text):
                 score = np.full(part.num_rows, 0.5)
                 if field.value is not None:
-                    n, size, x = line_features(*text_buffers(part.column("t")))
-                    p, text = field.value.marginals(n, x), np.repeat(np.arange(len(n)), n)
-                    score = np.bincount(text, p * (size + 1), len(n)) / np.bincount(text, size + 1, len(n))
+                    n, size, x = line_features(*text_buffers(part.column(text)))
+                    p, owner = field.value.marginals(n, x), np.repeat(np.arange(len(n)), n)
+                    score = np.bincount(owner, p * (size + 1), len(n)) / np.bincount(owner, size + 1, len(n))
                     score = np.clip(score, 0, 1)
-                yield pa.record_batch([part.column("i"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["i", "score", "predicted"])
+                found = [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
+                yield pa.record_batch([*map(part.column, kept), *found], names=[*kept, "score", "predicted"])
 
-    kind = d.schema["i"].dataType.simpleString()
-    return d.mapInArrow(scored, f"i {kind}, score double, predicted int").withColumnRenamed("i", id_col)
+    schema = d.select(*kept).schema.add("score", "double").add("predicted", "integer")
+    out = d.mapInArrow(scored, schema)
+    return out if carry else out.withColumnRenamed("i", id_col)
