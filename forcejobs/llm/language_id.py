@@ -7,17 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, crc_mod, text_buffers
 
-#: Each language's automaton is built from so many bytes of labelled text: the first by hash of (id, text).
+#: Each language's automaton is built from so many bytes of its distinct labelled texts: the first by hash of the text.
 SAMPLE_BYTES = 48_000
 #: Of one document at most so many bytes enter the sample, so that a sample holds several documents.
 SAMPLE_DOC_BYTES = 4_000
-#: At most so many languages (by number of labelled documents) are learned.
-MAX_LANGUAGES = 64
+#: Texts of the lowest hashes that hold about so many samples' bytes are sorted for the sample.
+SPARE = 8
 #: A text is parsed in blocks of so many bytes; a phrase ends where its block ends.
 BLOCK = 512
 #: Sign bit of a transition: the phrase could not be extended and a new one starts with this byte.
@@ -118,17 +118,20 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> dic
     """Bounded sample of text for each language, the same whatever the order or the layout of the rows."""
     d = labelled.select(
         F.col(lang_col).alias("lang"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"),
-        F.octet_length(text_col).alias("n"),
-        F.col(text_col).alias("t"),
+        F.xxhash64(F.col(text_col)).alias("h"),
+        F.least(F.octet_length(text_col), F.lit(SAMPLE_DOC_BYTES)).alias("n"),
+        F.substring(text_col, 1, SAMPLE_DOC_BYTES).alias("t"),
     ).where("lang is not null and n > 0")
-    langs = [r[0] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    out = {}
-    for lang in langs:  # a bounded number of top-k reports, merged from each task's own k
-        rows = d.where(F.col("lang") == lang).select("h", "t").orderBy("h", "t").limit(4 * SAMPLE_BYTES // SAMPLE_DOC_BYTES)
-        parts = [r[0].encode()[:SAMPLE_DOC_BYTES] for r in rows.select(F.substring("t", 1, SAMPLE_DOC_BYTES)).collect()]
-        out[lang] = b"\n".join(parts)[:SAMPLE_BYTES]
-    return out
+    # the share of a language's hashes that holds SPARE samples: only texts below it are sorted
+    size = d.groupBy("lang", "h").agg(F.max("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("bytes"))
+    near = d.join(size, "lang").where(F.col("h") / 2.0**64 + 0.5 <= SPARE * SAMPLE_BYTES / F.col("bytes"))
+    near = near.groupBy("lang", "h", "t").agg(F.max("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("h", "t")) - F.col("n")
+    rows = near.withColumn("before", before).where(F.col("before") < SAMPLE_BYTES).select("lang", "h", "t").collect()
+    parts: dict[str, list[bytes]] = {}
+    for lang, _, t in sorted(rows):
+        parts.setdefault(lang, []).append(t.encode()[:SAMPLE_DOC_BYTES])
+    return {lang: b"\n".join(x)[:SAMPLE_BYTES] for lang, x in parts.items()}
 
 
 def identify_language(
