@@ -141,7 +141,7 @@ y AS (SELECT trial_id, idx, CASE WHEN idx < 2 THEN head WHEN idx > last - 2 THEN
 def moving_average(spark, sf_dir):
     """Five-sample boxcar, the ends holding the end windows' means."""
     d = trials(spark, sf_dir).select("trial_id", F.posexplode(Q.moving_average(c.force, 5)).alias("idx", "mean"))
-    return d.where("idx % 29 = 0 OR idx < 3").withColumn("mean", F.round("mean", 6))
+    return d.withColumn("mean", F.round("mean", 6))
 
 
 @query("peak_estimator", BOXCAR + "SELECT trial_id, round(max(m), 6) AS peak FROM y WHERE idx < 205 GROUP BY trial_id")
@@ -152,8 +152,8 @@ def peak_estimator(spark, sf_dir):
 
 @query("residual_statistics", WITH + ", r AS (SELECT trial_id, idx, f - avg(f) OVER (PARTITION BY trial_id) AS e FROM s WHERE idx < 100), d AS (SELECT trial_id, idx, e, e - lag(e) OVER (PARTITION BY trial_id ORDER BY idx) AS de FROM r) SELECT trial_id, round(sqrt(avg(e * e)), 6) AS rms, round(sum(de * de) / nullif(sum(e * e), 0), 6) AS durbin_watson, round(regr_slope(e, idx), 9) AS slope FROM d WHERE trial_id % 190 <> 0 GROUP BY trial_id")
 def residual_statistics(spark, sf_dir):
-    """Residual RMS, Durbin-Watson statistic and drift of quiet standing."""
-    d = samples(trials(spark, sf_dir).where("trial_id % 190 <> 0").withColumn("force", A.between(c.force, 0, 100)))
+    """Residual RMS, Durbin-Watson statistic (null where nothing varies) and drift of quiet standing."""
+    d = samples(trials(spark, sf_dir).withColumn("force", A.between(c.force, 0, 100)))
     from pyspark.sql import Window
 
     w = Window.partitionBy("trial_id")

@@ -37,3 +37,15 @@ def test_trial_queries_on_every_order(spark, sf_dir, whole, name):
             assert ((a[held].astype(float) - b[held].astype(float)).abs() <= 2e-5).all(), c
         else:
             assert (a[held].astype(str) == b[held].astype(str)).all(), c
+
+
+def test_moving_average_returns_every_sample(spark, sf_dir):
+    d = trials(spark, sf_dir)
+    assert queries()["moving_average"](spark, sf_dir).count() == d.selectExpr("sum(size(force))").first()[0]
+
+
+def test_residual_statistics_answer_flat_trials(spark, sf_dir):
+    got = queries()["residual_statistics"](spark, sf_dir).persist()
+    assert got.count() == trials(spark, sf_dir).count()
+    flat = got.where("trial_id % 190 = 0").collect()
+    assert flat and all((r.rms, r.durbin_watson, r.slope) == (0.0, None, 0.0) for r in flat)
