@@ -424,7 +424,7 @@ def agreement(spark, sf_dir):
 def agreement_bootstrap(spark, sf_dir):
     """Resampled intervals of the least-products line."""
     d = results_frame(spark, sf_dir).select("trial_id", "height_takeoff", "height_flight")
-    return C.bootstrap_products_line(d, "trial_id", "height_takeoff", "height_flight", 500)
+    return C.bootstrap_products_line(d, "trial_id", "height_takeoff", "height_flight", 5000)
 
 
 @query(

@@ -292,6 +292,22 @@ def sign_flips(spark, sf_dir):
     return V.sign_flip_maxima(curves(spark, sf_dir), "vec_id", "y", 20).withColumn("greatest", F.round("greatest", 6))
 
 
+@query("sign_flip_threshold")
+def sign_flip_threshold(spark, sf_dir):
+    """Whether the data's field maximum is over the 5 % threshold of 1,000 sign flips."""
+    d = V.sign_flip_maxima(curves(spark, sf_dir), "vec_id", "y", 1001).persist()
+    threshold = V.permutation_threshold(d)
+    return d.where("perm = 0").select("greatest", F.lit(threshold).alias("threshold"), (F.col("greatest") > threshold).alias("significant"))
+
+
+@query("label_shuffle_clusters")
+def label_shuffle_clusters(spark, sf_dir):
+    """Clusters of the two-group test over the 5 % threshold of 1,000 label shuffles."""
+    d = curves(spark, sf_dir)
+    threshold = V.permutation_threshold(V.label_shuffle_maxima(d, "vec_id", "label", "y", 0, 1, 1000))
+    return V.clusters(V.two_sample_t(d, "label", "y", 0, 1), threshold).withColumn("threshold", F.lit(threshold))
+
+
 @query("random_field_clusters")
 def random_field_clusters(spark, sf_dir):
     """Clusters over the random-field threshold of the two-group test."""

@@ -107,6 +107,29 @@ def sign_flip_maxima(curves: DataFrame, key: str, value: str, permutations: int)
     return t.groupBy("perm").agg(F.max("t").alias("greatest"))
 
 
+def label_shuffle_maxima(curves: DataFrame, key: str, group: str, value: str, first, second, permutations: int) -> DataFrame:
+    """Per permutation from 1, the greatest |t| over the points of two_sample_t with the labels shuffled.
+
+    A permutation orders the curves by a hash of both, and as many of the first as `first` has curves are that group.
+    """
+    d = curves.where(F.col(group).isin(first, second)).select(key, group, F.col(value).alias("y"))
+    size = d.where(F.col(group) == first).count()
+    d = d.select(key, "y", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+    place = F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64("perm", key), key))
+    d = d.select("perm", "y", (place <= size).alias("one")).select("perm", "one", F.posexplode("y").alias("point", "x"))
+    part = lambda f, one: f(F.when(F.col("one") == one, F.col("x").cast("double")))
+    t = d.groupBy("perm", "point").agg(*[part(f, one).alias(f"{n}{i}") for i, one in enumerate((True, False)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
+    error = F.expr("sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1 / n0 + 1 / n1))")
+    return t.select("perm", F.when(error > 0, F.abs(F.expr("m0 - m1") / error)).otherwise(0.0).alias("t")).groupBy("perm").agg(F.max("t").alias("greatest"))
+
+
+def permutation_threshold(maxima: DataFrame, alpha: float = 0.05) -> float:
+    """The value of rank ceil((1 - alpha) P) among the maxima of permutations 1 to P; number 0, the data, is left out."""
+    found = sorted(r.greatest for r in maxima.where("perm > 0").select("greatest").collect())
+    rank = min(max(int(np.ceil((1 - alpha) * len(found))), 1), len(found))
+    return found[rank - 1]
+
+
 def random_field_threshold(fwhm: float, points_: int, df: float, alpha: float = 0.05) -> float:
     """t over which the expected Euler characteristic of a smooth one-dimensional field is alpha (two-sided, by bisection)."""
     from math import exp, lgamma, log, pi

@@ -1,9 +1,12 @@
 """Queries over whole tables: no trial, sample or resample is left out."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from forcejobs.jobs.registry import oracle_sql, queries
+from forcejobs.operators import cohort as C
+from forcejobs.operators import waveform as V
 from forcejobs.sources.trials import trials
 
 
@@ -49,3 +52,23 @@ def test_residual_statistics_answer_flat_trials(spark, sf_dir):
     assert got.count() == trials(spark, sf_dir).count()
     flat = got.where("trial_id % 190 = 0").collect()
     assert flat and all((r.rms, r.durbin_watson, r.slope) == (0.0, None, 0.0) for r in flat)
+
+
+def test_label_shuffles_find_a_difference_and_none_where_there_is_none(spark):
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=(40, 8))
+    y[:20, 2:4] += 3.0
+    d = spark.createDataFrame([(i, int(i >= 20), x.tolist()) for i, x in enumerate(y)], "k long, g int, y array<double>")
+    maxima = V.label_shuffle_maxima(d, "k", "g", "y", 0, 1, 200)
+    found = sorted(r.greatest for r in maxima.collect())
+    assert len(found) == 200 and len(set(found)) > 190
+    threshold = V.permutation_threshold(maxima)
+    assert threshold == found[189]
+    assert [(r.start, r.stop) for r in V.clusters(V.two_sample_t(d, "g", "y", 0, 1), threshold).collect()] == [(2, 3)]
+
+
+def test_bootstrap_draws_as_many_resamples_as_the_reference(spark, sf_dir, monkeypatch):
+    asked = []
+    monkeypatch.setattr(C, "bootstrap_products_line", lambda *a: asked.append(a[-1]))
+    queries()["agreement_bootstrap"](spark, sf_dir)
+    assert asked == [5000]
