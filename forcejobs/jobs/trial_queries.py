@@ -151,9 +151,8 @@ def onset_rules(spark, sf_dir):
     """Onset by each rule, before the same takeoff."""
     d, e, sd = placed(spark, sf_dir), F.col("epoch_end"), F.col("weight_sd")
     noise = lambda **x: L.onset_noise(c.force, c.weight, sd, 5.0, 3, 3, e, c.takeoff, **x)
-    # a sustained excursion may change sides; the windows here lie wholly on one, as movement is slower than a window
-    outside = F.least(*[F.coalesce(x, F.lit(1 << 30)) for x in (L.onset(c.force, lambda x: x < c.weight - 5 * sd, 3, 0, e, c.takeoff), L.onset(c.force, lambda x: x > c.weight + 5 * sd, 3, 0, e, c.takeoff))])
-    two_sided = F.when((sd > 0) & (outside < (1 << 30)), outside - 3)
+    outside = L.onset(c.force, lambda x: (x < c.weight - 5 * sd) | (x > c.weight + 5 * sd), 3, 0, e, c.takeoff)
+    two_sided = F.when(sd > 0, outside - 3)
     return d.select(
         "trial_id",
         two_sided.alias("two_sided_run"),

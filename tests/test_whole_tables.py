@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from forcejobs.jobs import trial_queries
 from forcejobs.jobs.registry import oracle_sql, queries
 from forcejobs.operators import cohort as C
 from forcejobs.operators import waveform as V
@@ -72,3 +73,10 @@ def test_bootstrap_draws_as_many_resamples_as_the_reference(spark, sf_dir, monke
     monkeypatch.setattr(C, "bootstrap_products_line", lambda *a: asked.append(a[-1]))
     queries()["agreement_bootstrap"](spark, sf_dir)
     assert asked == [5000]
+
+
+def test_an_excursion_that_changes_sides_is_an_onset(spark, monkeypatch):
+    force = [700.0 + (-1.0) ** i for i in range(150)] + [600.0, 800.0, 600.0] + [700.0] * 47
+    d = spark.createDataFrame([(1, force, 700.0, 1.0, 100, 200)], "trial_id long, force array<double>, weight double, weight_sd double, epoch_end int, takeoff int")
+    monkeypatch.setattr(trial_queries, "placed", lambda *a: d)
+    assert trial_queries.onset_rules(spark, "").first().two_sided_run == 147
