@@ -124,7 +124,7 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> dic
     ).where("lang is not null and n > 0")
     # the share of a language's hashes that holds SPARE samples: only texts below it are sorted
     size = d.groupBy("lang", "h").agg(F.max("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("bytes"))
-    near = d.join(size, "lang").where(F.col("h") / 2.0**64 + 0.5 <= SPARE * SAMPLE_BYTES / F.col("bytes"))
+    near = d.join(F.broadcast(size), "lang").where(F.col("h") / 2.0**64 + 0.5 <= SPARE * SAMPLE_BYTES / F.col("bytes"))
     near = near.groupBy("lang", "h", "t").agg(F.max("n").alias("n"))
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("h", "t")) - F.col("n")
     rows = near.withColumn("before", before).where(F.col("before") < SAMPLE_BYTES).select("lang", "h", "t").collect()
