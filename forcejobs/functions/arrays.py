@@ -1,4 +1,4 @@
-"""Column expressions over a trial's samples: searches, extrema, runs and sums inside one row."""
+"""Column expressions over a trial's samples inside one row; searches over many samples are in `traces`."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .traces import argmax, argmin, runs  # noqa: F401
+
 
 def settled(df: DataFrame, **cols: Column) -> DataFrame:
     """Adds columns that are computed once per row. A plain projection may be merged into a later lambda, and then
@@ -35,44 +37,6 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def hits(a: Column, test: Callable[[Column, Column], Column]) -> Column:
-    """Indices at which test(value, index) holds, ascending."""
-    return F.filter(F.transform(a, lambda x, i: F.when(test(x, i), i)), lambda i: i.isNotNull())
-
-
-def first(found: Column) -> Column:
-    return F.get(found, F.lit(0))
-
-
-def last(found: Column) -> Column:
-    return let(found, lambda x: F.when(F.size(x) > 0, F.get(x, F.size(x) - 1)))
-
-
-def sustained(a: Column, test: Callable[[Column], Column], span: int, start, end) -> Column:
-    """Indices in [start, end) from which `span` samples in a row pass the test."""
-    start, end = _c(start), _c(end)
-    return hits(a, lambda x, i: (i >= start) & (i < end) & (i + span <= F.size(a)) & F.forall(F.slice(a, i + 1, span), test))
-
-
-def argmin(a: Column, start, end) -> Column:
-    """Index of the least sample of [start, end), the first on ties."""
-    place = lambda p: F.when(F.size(p) > 0, (F.array_position(p, F.array_min(p)) - 1).cast("int"))
-    return _c(start) + let(between(a, start, end), place)
-
-
-def argmax(a: Column, start, end) -> Column:
-    """Index of the greatest sample of [start, end), the first on ties."""
-    place = lambda p: F.when(F.size(p) > 0, (F.array_position(p, F.array_max(p)) - 1).cast("int"))
-    return _c(start) + let(between(a, start, end), place)
-
-
-def runs(a: Column, low: Callable[[Column], Column]) -> Column:
-    """Maximal runs of samples that pass the test: array of (start, end), both ends inside."""
-    begins = hits(a, lambda x, i: low(x) & ((i == 0) | ~F.coalesce(low(at(a, i - 1)), F.lit(False))))
-    ends = hits(a, lambda x, i: low(x) & ~F.coalesce(low(F.get(a, i + 1)), F.lit(False)))
-    return F.zip_with(begins, ends, lambda b, e: F.struct(b.alias("start"), e.alias("end")))
-
-
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -95,12 +59,6 @@ def median(a: Column) -> Column:
     return let(F.sort_array(a), lambda s: F.when(n > 0, (F.get(s, low) + F.get(s, high)) / 2))
 
 
-def trapezoid(a: Column, dt) -> Column:
-    """Trapezoid area under evenly spaced samples; 0 for fewer than two."""
-    ends = lambda x: (F.get(x, F.lit(0)) + F.get(x, F.size(x) - 1)) / 2
-    return let(a, lambda x: F.when(F.size(x) >= 2, (total(x) - ends(x)) * dt).otherwise(0.0))
-
-
 def has_bad(a: Column) -> Column:
     """Whether a sample is null, NaN or infinite: a span that holds one gives no answer."""
     return F.exists(a, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

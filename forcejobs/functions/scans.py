@@ -4,47 +4,73 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from .traces import blocks, lists, numbers
+
 
 def running_integral(a: np.ndarray, dt: float, rule: str) -> np.ndarray:
-    """Running integral from the first value by trapezoid, rectangle or Simpson's rule (odd places by one trapezoid)."""
-    out = np.zeros(len(a))
-    if len(a) < 2:
+    """Running integral along the last axis from its first value: trapezoid, rectangle or Simpson's rule (odd places by one trapezoid)."""
+    out = np.zeros(a.shape)
+    if a.shape[-1] < 2:
         return out
     if rule == "rectangle":
-        out[1:] = np.cumsum(a[:-1]) * dt
+        out[..., 1:] = np.cumsum(a[..., :-1], axis=-1) * dt
         return out
-    half = 0.5 * (a[1:] + a[:-1]) * dt
+    half = 0.5 * (a[..., 1:] + a[..., :-1]) * dt
     if rule == "trapezoid":
-        out[1:] = np.cumsum(half)
+        out[..., 1:] = np.cumsum(half, axis=-1)
         return out
     if rule != "simpson":
         raise ValueError(f"unknown rule {rule}")
-    pairs = (a[:-2:2] + 4 * a[1:-1:2] + a[2::2]) * dt / 3
-    out[2::2] = np.cumsum(pairs)[: len(out[2::2])]
-    out[1::2] = out[: len(out) - 1 : 2][: len(out[1::2])] + half[::2]
+    pairs = (a[..., :-2:2] + 4 * a[..., 1:-1:2] + a[..., 2::2]) * dt / 3
+    even = out[..., 2::2].shape[-1]
+    out[..., 2::2] = np.cumsum(pairs, axis=-1)[..., :even]
+    odd = out[..., 1::2].shape[-1]
+    out[..., 1::2] = out[..., : a.shape[-1] - 1 : 2][..., :odd] + half[..., ::2]
+    return out
+
+
+def integral_from(x: np.ndarray, start: np.ndarray, dt: np.ndarray, rule: str, direction: str) -> np.ndarray:
+    """Integral of every row that is zero at its start; before it (or after it, backward) 0. A row without a start is no number."""
+    out = np.full(x.shape, np.nan)
+    for s, step in np.unique(np.column_stack((start, dt))[np.isfinite(start)], axis=0).tolist():
+        own, i = (start == s) & (dt == step), int(s)
+        y = np.zeros((int(own.sum()), x.shape[1]))
+        if i < x.shape[1]:
+            if direction == "forward":
+                y[:, i:] = running_integral(x[own, i:], step, rule)
+            else:
+                y[:, : i + 1] = -running_integral(x[own, : i + 1][:, ::-1], step, rule)[:, ::-1]
+        out[own] = y
     return out
 
 
 def integrated(rule: str = "trapezoid", direction: str = "forward"):
     """Column function (values, start index, dt): integral that is zero at start; before it (or after it, backward) 0."""
 
-    @F.pandas_udf("array<double>")
-    def run(values: pd.Series, start: pd.Series, dt: pd.Series) -> pd.Series:
-        def one(a, i, step):
-            if a is None or pd.isna(i):
-                return None
-            a, i = np.asarray(a, float), int(i)
-            out = np.zeros(len(a))
-            if i < len(a):
-                if direction == "forward":
-                    out[i:] = running_integral(a[i:], step, rule)
-                else:
-                    out[: i + 1] = -running_integral(a[: i + 1][::-1], step, rule)[::-1]
-            return out
-
-        return pd.Series([one(*x) for x in zip(values, start, dt)], dtype=object)
+    @F.arrow_udf("array<double>")
+    def run(values: pa.Array, start: pa.Array, dt: pa.Array) -> pa.Array:
+        start, dt = numbers(start), numbers(dt)
+        return lists([(rows, integral_from(x, start[rows], dt[rows], rule, direction)) for rows, x in blocks(values)], len(values))
+
+    return run
+
+
+def motion(rule: str, g: float):
+    """Column function (force, weight, onset, dt): struct of velocity and displacement, zero up to onset, and net power."""
+
+    @F.arrow_udf("velocity array<double>, displacement array<double>, net_power array<double>")
+    def run(force: pa.Array, weight: pa.Array, onset: pa.Array, dt: pa.Array) -> pa.Array:
+        weight, onset, dt = numbers(weight), numbers(onset), numbers(dt)
+        parts: tuple[list, list, list] = ([], [], [])
+        for rows, x in blocks(force):
+            w = weight[rows][:, None]
+            v = integral_from((x - w) / (w / g), onset[rows], dt[rows], rule, "forward")
+            for part, y in zip(parts, (v, integral_from(v, onset[rows], dt[rows], rule, "forward"), (x - w) * v)):
+                part.append((rows, y))
+        return pa.StructArray.from_arrays([lists(p, len(force)) for p in parts], ["velocity", "displacement", "net_power"])
 
     return run
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import cols as c
+from ..functions import traces as T
 from ..operators import cohort as C
 from ..operators import landmarks as L
 from ..operators import phases as P
@@ -50,7 +51,7 @@ def phase_boundaries(spark, sf_dir):
     """Starts and ends of braking and propulsion by each rule."""
     v = F.col("velocity")
     d = moving(spark, sf_dir).where(c.ordered)
-    d = A.settled(d, top=A.argmax(c.force, c.onset, c.takeoff), zero=P.velocity_crossing(v, c.onset, c.takeoff), slow=P.velocity_crossing(v, c.onset, c.takeoff, 0.01))
+    d = d.withColumns({"top": A.argmax(c.force, c.onset, c.takeoff), "zero": P.velocity_crossing(v, c.onset, c.takeoff), "slow": P.velocity_crossing(v, c.onset, c.takeoff, 0.01)})
     return d.select(
         "trial_id",
         A.argmin(v, c.onset, c.takeoff).alias("braking_start_velocity"),
@@ -83,9 +84,7 @@ def landing_phases(spark, sf_dir):
 
     d = moving(spark, sf_dir).where(c.ordered & c.touchdown.isNotNull())
     d = d.withColumn("landing", integrated()(Q.acceleration(), c.touchdown, c.dt))
-    vt = A.at(F.col("velocity"), c.last)
-    d = A.settled(d, vt=vt)
-    d = A.settled(d, landing_end=A.first(A.hits(F.col("landing"), lambda x, i: (i >= c.touchdown) & (x - F.col("vt") >= 0))))
+    d = d.withColumn("landing_end", T.find(F.col("landing"), ">=", A.at(F.col("velocity"), c.last), c.touchdown))
     return d.select(
         "trial_id",
         "landing_end",
@@ -297,7 +296,7 @@ def variants(spark, sf_dir) -> DataFrame:
     d = placed(spark, sf_dir)
     rows = []
     for k in (3, 5, 8):
-        d = A.settled(d, **{f"k{k}": L.onset_noise(c.force, c.weight, F.col("weight_sd"), float(k), 3, 0, F.col("epoch_end"), c.takeoff)})
+        d = d.withColumn(f"k{k}", L.onset_noise(c.force, c.weight, F.col("weight_sd"), float(k), 3, 0, F.col("epoch_end"), c.takeoff))
     for k in (3, 5, 8):
         for back in (0, 3):
             start = F.greatest(F.col(f"k{k}") - back, F.lit(0))

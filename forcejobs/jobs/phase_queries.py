@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import cols as c
+from ..functions import traces as T
 from ..operators import landmarks as L
 from ..operators import phases as P
 from .trial_queries import BASE, moving, placed, rounded, sql_rounded
@@ -40,14 +41,12 @@ FROM lm LEFT JOIN bn USING (trial_id) LEFT JOIN ca USING (trial_id) LEFT JOIN pp
 def onset_last_within_band(spark, sf_dir):
     """The last sample inside the noise band before the force minimum; with a pre-load, the walk starts at its peak."""
     d, sd = placed(spark, sf_dir), F.col("weight_sd")
-    d = A.settled(d, top=A.argmax(c.force, 0, c.takeoff))
-    d = A.settled(d, bound=A.argmin(c.force, 0, F.col("top")))
-    inside = A.last(A.hits(c.force, lambda x, i: (i <= F.col("bound")) & (x >= c.weight - 5 * sd)))
-    d = A.settled(d, candidate=F.when((sd > 0) & (c.weight - 5 * sd > 0), inside))
-    start = F.greatest(F.col("candidate") - 50, F.lit(0))
-    d = A.settled(d, pre=A.argmax(c.force, start, F.col("candidate") + 1))
-    d = A.settled(d, preload_peak=F.when(A.at(c.force, F.col("pre")) > c.weight + 5 * sd, F.col("pre")))
-    walked = A.last(A.hits(c.force, lambda x, i: (i <= F.col("preload_peak")) & (x <= c.weight + 5 * sd)))
+    d = d.withColumn("bound", A.argmin(c.force, 0, A.argmax(c.force, 0, c.takeoff)))
+    lower = F.when((sd > 0) & (c.weight - 5 * sd > 0), c.weight - 5 * sd)
+    d = d.withColumn("candidate", T.find(c.force, ">=", lower, 0, F.col("bound") + 1, last=True))
+    d = d.withColumn("pre", A.argmax(c.force, F.greatest(F.col("candidate") - 50, F.lit(0)), F.col("candidate") + 1))
+    d = d.withColumn("preload_peak", F.when(A.at(c.force, F.col("pre")) > c.weight + 5 * sd, F.col("pre")))
+    walked = T.find(c.force, "<=", c.weight + 5 * sd, 0, F.col("preload_peak") + 1, last=True)
     at = F.when(F.col("preload_peak").isNull(), F.col("candidate")).otherwise(walked)
     return d.select("trial_id", "bound", "candidate", "preload_peak", F.when(F.col("candidate").isNotNull(), F.greatest(at - 3, F.lit(0))).alias("onset_back"))
 
@@ -76,9 +75,8 @@ SELECT trial_id, steep AS steepest, dropoff, CASE WHEN r < top THEN r END AS pos
 def analysis_windows(spark, sf_dir):
     """Ends of the analysis window: drop-off from the running maximum, positive net impulse, half of peak force."""
     d = placed(spark, sf_dir).where(c.ordered)
-    rises = F.transform(c.force, lambda x, i: F.get(c.force, i + 2) - x)
-    d = A.settled(d, steepest=A.argmax(rises, c.onset, c.takeoff - 1), top=A.argmax(c.force, c.onset, c.takeoff))
-    half = A.first(A.hits(c.force, lambda x, i: (i >= c.onset) & (i <= c.takeoff) & (x >= 0.5 * A.at(c.force, F.col("top")))))
+    d = d.withColumns({"steepest": T.steepest(c.force, 2, c.onset, c.takeoff)["start"], "top": A.argmax(c.force, c.onset, c.takeoff)})
+    half = T.find(c.force, ">=", 0.5 * A.at(c.force, F.col("top")), c.onset, c.takeoff + 1)
     return d.select(
         "trial_id",
         "steepest",
@@ -98,9 +96,7 @@ SELECT trial_id, count(*) FILTER (idx > onset AND idx < takeoff - 1 AND f > pf A
 def transient_peaks(spark, sf_dir):
     """Local peaks between onset and takeoff, and whether there are too many."""
     d = placed(spark, sf_dir).where(c.ordered)
-    found = A.hits(c.force, lambda x, i: (i > c.onset) & (i < c.takeoff - 1) & (x > A.at(c.force, i - 1)) & (F.get(c.force, i + 1) <= x))
-    n = F.size(found).cast("long")
-    return d.select("trial_id", n.alias("peaks")).withColumn("fired", F.col("peaks") > 3)
+    return d.select("trial_id", T.peaks(c.force, c.onset, c.takeoff).alias("peaks")).withColumn("fired", F.col("peaks") > 3)
 
 
 @query(
@@ -146,7 +142,7 @@ def push_off(spark, sf_dir):
     """Push-off index, rates over the propulsion phase, and peak velocity less a line between two anchors."""
     v, disp = F.col("velocity"), F.col("displacement")
     d = moving(spark, sf_dir).where(c.ordered)
-    d = A.settled(d, zero=P.velocity_crossing(v, c.onset, c.takeoff), top=A.argmax(c.force, c.onset, c.takeoff)).where("zero IS NOT NULL")
+    d = d.withColumns({"zero": P.velocity_crossing(v, c.onset, c.takeoff), "top": A.argmax(c.force, c.onset, c.takeoff)}).where("zero IS NOT NULL")
     zero, top = F.col("zero"), F.col("top")
     vt, rise = A.at(v, c.last), A.at(disp, c.last) - A.at(disp, zero)
     leant = F.transform(v, lambda x, i: x - (i - c.onset) / (c.last - c.onset) * 0.1)
@@ -176,7 +172,7 @@ SELECT trial_id, zero AS lift_start, CASE WHEN fall > e.top THEN fall END AS lif
 def lift_phases(spark, sf_dir):
     """A lift from the velocity's zero crossing to where net force is gone (10 N of deadband), or to the highest place."""
     d = moving(spark, sf_dir).where(c.ordered)
-    d = A.settled(d, lift_start=P.velocity_crossing(F.col("velocity"), c.onset, c.takeoff), top=A.argmax(c.force, c.onset, c.takeoff)).where("lift_start IS NOT NULL")
+    d = d.withColumns({"lift_start": P.velocity_crossing(F.col("velocity"), c.onset, c.takeoff), "top": A.argmax(c.force, c.onset, c.takeoff)}).where("lift_start IS NOT NULL")
     return d.select(
         "trial_id",
         "lift_start",

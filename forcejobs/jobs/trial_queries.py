@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import cols as c
 from ..functions import scans
+from ..functions import traces as T
 from ..operators import landmarks as L
 from ..operators import quantities as Q
 from ..sources.trials import SAMPLES_CTE, trials
@@ -23,7 +24,7 @@ tk AS (SELECT trial_id, min(idx) AS takeoff FROM
          (SELECT trial_id, idx, max(f) OVER x AS hi, count(*) OVER x AS c FROM s
           WINDOW x AS (PARTITION BY trial_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))
        WHERE idx >= 100 AND hi < 20 AND c = 3 GROUP BY trial_id),
-oq AS (SELECT s.trial_id, idx, max(f) OVER x AS hi, min(f) OVER x AS lo, count(*) OVER x AS c, w, sd, takeoff
+oq AS (SELECT s.trial_id, idx, max(f) OVER x AS hi, min(f) OVER x AS lo, count(*) OVER x AS c, count(*) FILTER (f < w - 5 * sd OR f > w + 5 * sd) OVER x AS outs, w, sd, takeoff
        FROM s JOIN ep USING (trial_id) LEFT JOIN tk USING (trial_id)
        WINDOW x AS (PARTITION BY s.trial_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
 onx AS (SELECT trial_id, greatest(min(idx) - 3, 0) AS onset FROM oq
@@ -140,7 +141,7 @@ ad AS (SELECT trial_id, max(idx) + 1 AS adaptive FROM tr JOIN lc USING (trial_id
 fd AS (SELECT trial_id, least(max(idx) + 1, least(any_value(takeoff) + 1, any_value(n)) - 1) AS departure FROM m
        WHERE idx <= takeoff AND f >= w - 5 * sd AND sd > 0 GROUP BY trial_id),
 g AS (SELECT trial_id,
-  min(idx) FILTER (sd > 0 AND (hi < w - 5 * sd OR lo > w + 5 * sd)) AS a1,
+  min(idx) FILTER (sd > 0 AND outs = 3) AS a1,
   min(idx) FILTER (sd <= 0 AND hi < 0.975e0 * w) AS a2,
   min(idx) FILTER (hi < 0.975e0 * w) AS b, min(idx) FILTER (hi < w - 20) AS c, max(idx) FILTER (sd > 0 AND hi < w - 5 * sd) AS e
   FROM oq WHERE idx >= 100 AND idx < takeoff AND oq.c = 3 GROUP BY trial_id)
@@ -151,14 +152,12 @@ def onset_rules(spark, sf_dir):
     """Onset by each rule, before the same takeoff."""
     d, e, sd = placed(spark, sf_dir), F.col("epoch_end"), F.col("weight_sd")
     noise = lambda **x: L.onset_noise(c.force, c.weight, sd, 5.0, 3, 3, e, c.takeoff, **x)
-    outside = L.onset(c.force, lambda x: (x < c.weight - 5 * sd) | (x > c.weight + 5 * sd), 3, 0, e, c.takeoff)
-    two_sided = F.when(sd > 0, outside - 3)
     return d.select(
         "trial_id",
-        two_sided.alias("two_sided_run"),
-        F.coalesce(two_sided, F.when(sd <= 0, noise(fraction=0.975))).alias("with_fallback"),
-        L.onset(c.force, lambda x: x < 0.975 * c.weight, 3, 3, e, c.takeoff).alias("relative_weight"),
-        L.onset(c.force, lambda x: x < c.weight - 20, 3, 3, e, c.takeoff).alias("absolute_force"),
+        noise(sides="two_sided").alias("two_sided_run"),
+        noise(sides="two_sided", fraction=0.975).alias("with_fallback"),
+        L.onset(c.force, 0.975 * c.weight, 3, 3, e, c.takeoff).alias("relative_weight"),
+        L.onset(c.force, c.weight - 20, 3, 3, e, c.takeoff).alias("absolute_force"),
         noise(pick="last").alias("last_crossing"),
         L.onset_final_departure(c.force, c.weight, sd, 5.0, c.takeoff).alias("final_departure"),
         scans.trailing_onset(100, 5.0)("force").alias("adaptive_trailing"),
@@ -188,15 +187,17 @@ pq AS (SELECT trial_id, any_value(p) AS p, coalesce(min(idx) FILTER (idx >= p AN
 mid AS (SELECT trial_id, p, p + floor(0.25e0 * (q - p)) AS a, q - floor(0.25e0 * (q - p)) AS b FROM pq),
 th AS (SELECT trial_id, any_value(p) AS p, CASE WHEN any_value(b - a) >= 2 THEN avg(f) FILTER (idx >= a AND idx < b) + 5 * stddev_samp(f) FILTER (idx >= a AND idx < b) ELSE 10 END AS t FROM s JOIN mid USING (trial_id) GROUP BY trial_id),
 nt AS (SELECT trial_id, coalesce(min(idx) FILTER (idx >= 100 AND f <= t), any_value(p)) AS noise_takeoff, any_value(t) AS t FROM s JOIN th USING (trial_id) GROUP BY trial_id),
+mg AS (SELECT trial_id, min(idx) AS magnitude FROM (SELECT trial_id, idx, max(abs(f)) OVER z AS hi, count(*) OVER z AS c FROM s WINDOW z AS (PARTITION BY trial_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) WHERE idx >= 100 AND hi < 20 AND c = 3 GROUP BY trial_id),
 mn AS (SELECT trial_id, min(idx) AS force_minimum FROM (SELECT trial_id, idx, f, min(f) OVER (PARTITION BY trial_id) AS lo FROM m WHERE idx < takeoff) WHERE f = lo GROUP BY trial_id)
-SELECT lm.trial_id, lm.takeoff AS absolute, lm.takeoff AS magnitude, CASE WHEN len >= 3 THEN longest END AS longest_run, CASE WHEN len >= 3 THEN qualifying END AS qualifying_runs, CASE WHEN len >= 3 THEN longest = first_run END AS longest_is_first,
+SELECT lm.trial_id, lm.takeoff AS absolute, mg.magnitude, CASE WHEN len >= 3 THEN longest END AS longest_run, CASE WHEN len >= 3 THEN qualifying END AS qualifying_runs, CASE WHEN len >= 3 THEN longest = first_run END AS longest_is_first,
   descending, noise_takeoff, round(t, 6) AS noise_threshold, force_minimum
-FROM lm LEFT JOIN lr USING (trial_id) LEFT JOIN dc USING (trial_id) LEFT JOIN nt USING (trial_id) LEFT JOIN mn USING (trial_id)""",
+FROM lm LEFT JOIN lr USING (trial_id) LEFT JOIN dc USING (trial_id) LEFT JOIN nt USING (trial_id) LEFT JOIN mn USING (trial_id) LEFT JOIN mg USING (trial_id)""",
 )
 def takeoff_rules(spark, sf_dir):
     """Takeoff by each rule; the longest run reports how many runs qualified."""
     d = L.takeoff_flight_noise(placed(spark, sf_dir), F.col("epoch_end"))
-    d = d.withColumn("best", L.takeoff_longest_run(A.runs(c.force, L.low(20.0)), 3))
+    d = d.withColumn("runs", A.runs(c.force, L.low(20.0)))
+    d = A.settled(d, best=L.takeoff_longest_run(F.col("runs"), 3))
     return d.select(
         "trial_id",
         c.takeoff.alias("absolute"),
@@ -273,7 +274,7 @@ def jump_heights(spark, sf_dir):
     d = moving(spark, sf_dir).where(c.ordered)
     v, disp, ft = A.at(F.col("velocity"), c.last), F.col("displacement"), (c.touchdown - c.takeoff) * c.dt
     drop = v - F.sqrt(F.lit(2 * G * 0.01))
-    work = A.trapezoid(A.between(F.col("net_power"), c.onset, c.takeoff), c.dt)
+    work = T.area(F.col("net_power"), 0.0, c.onset, c.last, c.dt)
     span = lambda a, b: F.when(c.touchdown.isNotNull(), F.array_max(A.between(disp, a, b + 1)))
     flight = G * ft * ft / 8
     return d.select(
@@ -380,7 +381,7 @@ def power_and_work(spark, sf_dir):
     d = d.withColumn("power", A.between(F.zip_with("force", "velocity", lambda f, v: f * v), c.onset, c.takeoff)).withColumn("peak", F.array_max("power"))
     mass, flight = c.weight / G, G * F.pow((c.touchdown - c.takeoff) * c.dt, F.lit(2)) / 8
     peak_at = c.onset + F.size("power") - F.array_position(F.reverse("power"), F.col("peak")).cast("int")
-    work = A.trapezoid(F.col("power"), c.dt)
+    work = T.area(F.col("power"), 0.0, 0, F.size("power") - 1, c.dt)
     climb = A.at(F.col("displacement"), c.last) - A.at(F.col("displacement"), c.onset)
     regression = lambda x: x[0] * flight / x[1] + x[2] * mass + x[3]
     return d.select(

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import cols as c
 from ..functions import filters as X
+from ..functions import traces as T
 from ..operators import landmarks as L
 from ..operators import quantities as Q
 from ..operators import waveform as V
 from ..sources import files
-from ..sources.trials import RATE_HZ, SAMPLES_CTE, samples, trials
+from ..sources.trials import RATE_HZ, SAMPLES_CTE, trials
 from .trial_queries import placed, rounded
 
 G = L.GRAVITY
@@ -106,7 +107,7 @@ def trace_repairs(spark, sf_dir):
     d = trials(spark, sf_dir)
     free = A.let(A.between(c.force, 205, 245), lambda x: A.mean(F.filter(x, lambda y: y == 0)))
     d = A.settled(d, offset=F.coalesce(free, F.lit(0.0)))
-    marked = A.hits(c.force, lambda x, i: x == 0)
+    marked = F.filter(c.force, lambda x: x == 0)
     return d.select(
         "trial_id",
         F.round("offset", 6).alias("offset"),
@@ -137,7 +138,7 @@ x AS (SELECT trial_id, max(a) FILTER (idx = 2) AS head, max(a) FILTER (idx = las
 y AS (SELECT trial_id, idx, CASE WHEN idx < 2 THEN head WHEN idx > last - 2 THEN tail ELSE a END AS m FROM b JOIN x USING (trial_id)) """
 
 
-@query("moving_average", BOXCAR + "SELECT trial_id, idx, round(m, 6) AS mean FROM y WHERE idx % 29 = 0 OR idx < 3")
+@query("moving_average", BOXCAR + "SELECT trial_id, idx, round(m, 6) AS mean FROM y")
 def moving_average(spark, sf_dir):
     """Five-sample boxcar, the ends holding the end windows' means."""
     d = trials(spark, sf_dir).select("trial_id", F.posexplode(Q.moving_average(c.force, 5)).alias("idx", "mean"))
@@ -150,20 +151,11 @@ def peak_estimator(spark, sf_dir):
     return trials(spark, sf_dir).select("trial_id", *rounded(peak=F.array_max(A.between(Q.moving_average(c.force, 5), 0, 205))))
 
 
-@query("residual_statistics", WITH + ", r AS (SELECT trial_id, idx, f - avg(f) OVER (PARTITION BY trial_id) AS e FROM s WHERE idx < 100), d AS (SELECT trial_id, idx, e, e - lag(e) OVER (PARTITION BY trial_id ORDER BY idx) AS de FROM r) SELECT trial_id, round(sqrt(avg(e * e)), 6) AS rms, round(sum(de * de) / nullif(sum(e * e), 0), 6) AS durbin_watson, round(regr_slope(e, idx), 9) AS slope FROM d WHERE trial_id % 190 <> 0 GROUP BY trial_id")
+@query("residual_statistics", WITH + ", r AS (SELECT trial_id, idx, f - avg(f) OVER (PARTITION BY trial_id) AS e FROM s WHERE idx < 100), d AS (SELECT trial_id, idx, e, e - lag(e) OVER (PARTITION BY trial_id ORDER BY idx) AS de FROM r) SELECT trial_id, round(sqrt(avg(e * e)), 6) AS rms, round(sum(de * de) / nullif(sum(e * e), 0), 6) AS durbin_watson, round(regr_slope(e, idx), 9) AS slope FROM d GROUP BY trial_id")
 def residual_statistics(spark, sf_dir):
     """Residual RMS, Durbin-Watson statistic (null where nothing varies) and drift of quiet standing."""
-    d = samples(trials(spark, sf_dir).withColumn("force", A.between(c.force, 0, 100)))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("trial_id")
-    d = d.withColumn("e", F.col("force") - F.avg("force").over(w))
-    d = d.withColumn("de", F.col("e") - F.lag("e").over(w.orderBy("idx")))
-    return d.groupBy("trial_id").agg(
-        F.round(F.sqrt(F.avg(F.expr("e * e"))), 6).alias("rms"),
-        F.round(F.try_divide(F.sum(F.expr("de * de")), F.sum(F.expr("e * e"))), 6).alias("durbin_watson"),
-        F.round(F.regr_slope("e", "idx"), 9).alias("slope"),
-    )
+    d = trials(spark, sf_dir).select("trial_id", T.residuals(c.force, 0, 100).alias("r"))
+    return d.select("trial_id", *rounded(rms=F.col("r.rms"), durbin_watson=F.col("r.durbin_watson")), F.round("r.slope", 9).alias("slope"))
 
 
 @query("low_pass_force")

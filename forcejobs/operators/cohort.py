@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +60,9 @@ def limits_of_agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
         F.avg(a).alias("_ma"),
         F.avg(b).alias("_mb"),
     )
+    # what merged sums leave of a deviation of equal values is no variation
+    vary = lambda s, m: F.when(F.col(s) > 1e-12 * F.abs(F.col(m)), F.col(s))
+    d = d.withColumns({"_sa": vary("_sa", "_ma"), "_sb": vary("_sb", "_mb")})
     d = d.withColumn("r", F.try_divide("_cov", F.col("_sa") * F.col("_sb")))
     d = d.withColumn("slope", F.signum("r") * F.try_divide("_sb", "_sa"))
     return d.select(
@@ -98,24 +106,41 @@ def intraclass(grid: DataFrame, subject: str, column: str, value: str) -> DataFr
     return d.select(n.alias("subjects"), c.alias("measurements"), F.when(full, consistency).alias("icc_consistency"), F.when(full, agreement).alias("icc_agreement"))
 
 
+#: Rows whose weights are drawn at a time.
+STRIP = 256
+
+
+def _resample_sums(resamples: int):
+    """For mapInArrow over rows (hash, x, y): per resample, sums of the drawn weights with 1, x, y and their products."""
+    edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((resamples, 6))
+        draw = np.arange(1, resamples + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            h, x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            terms = np.column_stack((np.ones(len(x)), x, y, x * x, y * y, x * y))
+            for at in range(0, len(x), STRIP):
+                u = h[at : at + STRIP].astype(np.int64).view(np.uint64) ^ draw
+                u = (u ^ u >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                u = (u ^ u >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                weights = np.searchsorted(edges, ((u ^ u >> np.uint64(31)) >> np.uint64(11)) * 2.0**-53, side="right")
+                total += weights @ terms[at : at + STRIP]
+        yield pa.record_batch([pa.array(np.arange(resamples), pa.int32()), *map(pa.array, total.T)], names=["i", "n", "sx", "sy", "xx", "yy", "xy"])
+
+    return run
+
+
 def bootstrap_products_line(pairs: DataFrame, key: str, a: str, b: str, resamples: int) -> DataFrame:
     """2.5 to 97.5 % intervals of the ordinary-least-products line over resamples, each row drawn a Poisson(1) number of times.
 
-    The draw of (row, resample) comes from a hash of both, so the result does not depend on the layout. Rows are
-    repeated for the resamples in place and summed before they travel: a task sends one row per resample.
+    The draw of (row, resample) comes from a hash of both, so the result does not depend on the layout. A task draws the
+    weights of its rows as a matrix and sends one row of sums per resample.
     """
-    draws = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("i")
-    u = F.pmod(F.xxhash64(key, "i"), F.lit(1_000_000)) / 1_000_000
-    edges, p, below = [], 0.36787944117144233, 0.0
-    for k in range(8):
-        below += p
-        edges.append(below)
-        p /= k + 1
-    weight = sum((F.when(u >= e, 1.0).otherwise(0.0) for e in edges), F.lit(0.0))
-    d = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, F.col(a).alias("x"), F.col(b).alias("y"), draws)
-    d = d.withColumn("w", weight).groupBy("i").agg(
-        *[F.sum(e).alias(n) for n, e in {"n": F.col("w"), "sx": F.expr("w*x"), "sy": F.expr("w*y"), "xx": F.expr("w*x*x"), "yy": F.expr("w*y*y"), "xy": F.expr("w*x*y")}.items()]
-    )
+    kept = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    d = kept.select(F.xxhash64(key).alias("h"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+    sums = d.mapInArrow(_resample_sums(resamples), "i int, n double, sx double, sy double, xx double, yy double, xy double")
+    d = sums.groupBy("i").agg(*[F.sum(n).alias(n) for n in ("n", "sx", "sy", "xx", "yy", "xy")])
     cov, vx, vy = F.expr("xy - sx*sy/n"), F.expr("xx - sx*sx/n"), F.expr("yy - sy*sy/n")
     d = d.withColumn("slope", F.signum(cov) * F.sqrt(F.try_divide(vy, vx))).withColumn("intercept", F.expr("sy/n - slope*sx/n"))
     q = lambda c, p: F.percentile(c, F.lit(p))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import arrays as A
+from ..functions import traces as T
 
 #: Standard gravity in metres per second squared.
 GRAVITY = 9.80665
@@ -23,21 +23,18 @@ def samples_for(seconds: float, rate_hz: float, rounding: str = "nearest") -> in
 
 def weigh(trials: DataFrame, start: int = 0, samples: int = 100, centre: str = "mean", dispersion: str = "sample") -> DataFrame:
     """Adds epoch_end, weight and weight_sd from a window of samples at a stated start."""
-    part = A.between(F.col("force"), start, start + samples)
-    level = A.mean(part) if centre == "mean" else A.median(part)
-    ok = (F.size("force") >= start + samples) & ~A.has_bad(part) if samples >= 2 else F.lit(False)
-    sd = A.deviation(part, 1 if dispersion == "sample" else 0)
-    return A.settled(trials, epoch_end=F.lit(start + samples), weight=F.when(ok, level), weight_sd=F.when(ok, sd))
+    found = T.level(F.col("force"), start, start + samples, centre, 1 if dispersion == "sample" else 0)
+    d = trials.withColumn("_w", found).withColumn("epoch_end", F.lit(start + samples))
+    return d.withColumns({"weight": F.col("_w.level"), "weight_sd": F.col("_w.sd")}).drop("_w")
 
 
-def low(threshold: float, comparison: str = "signed"):
-    """Test of a sample for low force: its value, or its magnitude, under the threshold."""
-    return (lambda x: F.abs(x) < threshold) if comparison == "magnitude" else (lambda x: x < threshold)
+#: Test of a sample for low force: (threshold, signed or magnitude).
+low = T.Low
 
 
 def takeoff_absolute(force: Column, start, threshold: float = 20.0, span: int = 3, comparison: str = "signed") -> Column:
     """Start of the first `span` samples in a row of low force from start on."""
-    return A.first(A.sustained(force, low(threshold, comparison), span, start, F.size(force)))
+    return T.find(force, "<", threshold, start, span=span, magnitude=comparison == "magnitude")
 
 
 def takeoff_longest_run(runs: Column, span: int, filter_first: bool = False) -> Column:
@@ -55,36 +52,28 @@ def takeoff_longest_run(runs: Column, span: int, filter_first: bool = False) ->
 
 def takeoff_descending(force: Column, threshold: float = 20.0, span: int = 2) -> Column:
     """First sample that falls under the threshold and is followed by `span` samples under it."""
-    falls = A.hits(
-        force,
-        lambda x, i: (i > 0)
-        & (x < threshold)
-        & (A.at(force, i - 1) >= threshold)
-        & (i + 1 + span <= F.size(force))
-        & F.forall(F.slice(force, i + 2, span), lambda y: y < threshold),
-    )
-    return A.first(falls)
+    return T.falls(force, threshold, span)
 
 
 def takeoff_flight_noise(trials: DataFrame, start: Column, provisional: float = 10.0, trim: float = 0.25, k: float = 5.0) -> DataFrame:
     """Adds noise_takeoff and noise_threshold: the threshold is set again from the middle of the provisional flight."""
     f = F.col("force")
-    d = A.settled(trials, _p=A.first(A.hits(f, lambda x, i: (i >= start) & (x <= provisional))))
-    up = A.first(A.hits(f, lambda x, i: (i >= F.col("_p")) & (x > provisional)))
-    d = A.settled(d, _q=F.coalesce(up - 1, F.size(f) - 1))
+    d = trials.withColumn("_p", T.find(f, "<=", provisional, start))
+    d = d.withColumn("_q", F.coalesce(T.find(f, ">", provisional, F.col("_p")) - 1, F.size(f) - 1))
     cut = F.floor(trim * (F.col("_q") - F.col("_p"))).cast("int")
-    d = A.settled(d, _a=F.col("_p") + cut, _b=F.col("_q") - cut)
-    middle = A.between(f, F.col("_a"), F.col("_b"))
-    again = F.when(F.col("_b") - F.col("_a") >= 2, A.mean(middle) + k * A.deviation(middle))
-    d = A.settled(d, noise_threshold=F.when(F.col("_p").isNotNull(), F.coalesce(again, F.lit(provisional))))
-    redone = A.first(A.hits(f, lambda x, i: (i >= start) & (x <= F.col("noise_threshold"))))
-    return A.settled(d, noise_takeoff=F.coalesce(redone, F.col("_p"))).drop("_p", "_q", "_a", "_b")
-
-
-def onset(force: Column, outside, span: int, back: int, start, end, pick: str = "first") -> Column:
-    """First (or last) sample of [start, end) from which `span` samples are outside the band, stepped back, not under 0."""
-    found = A.sustained(force, outside, span, start, end)
-    at = A.first(found) if pick == "first" else A.last(found)
+    d = d.withColumn("_m", T.level(f, F.col("_p") + cut, F.col("_q") - cut))
+    again = F.coalesce(F.col("_m.level") + k * F.col("_m.sd"), F.lit(provisional))
+    d = d.withColumn("noise_threshold", F.when(F.col("_p").isNotNull(), again))
+    return d.withColumn("noise_takeoff", F.coalesce(T.find(f, "<=", F.col("noise_threshold"), start), F.col("_p"))).drop("_p", "_q", "_m")
+
+
+def onset(force: Column, lower, span: int, back: int, start, end, upper=None, pick: str = "first") -> Column:
+    """First (or last) sample of [start, end) from which `span` samples are under lower, or over upper where it is given.
+
+    It is stepped back, not under 0.
+    """
+    last = pick == "last"
+    at = T.find(force, "<", lower, start, end, span, last) if upper is None else T.band(force, lower, upper, start, end, span, last)
     return F.when(at.isNotNull(), F.greatest(at - back, F.lit(0)))
 
 
@@ -95,39 +84,36 @@ def onset_noise(
     """Onset by a band of k deviations; a collapsed band gives null, or a band at `fraction` of the weight if stated."""
     lower = weight - k * sd
     collapsed = (sd <= 0) | (lower <= 0)
-    outside = (lambda x: x < lower) if sides == "below_only" else (lambda x: (x < lower) | (x > weight + k * sd))
-    found = onset(force, outside, span, back, start, end, pick)
-    other = F.lit(None).cast("int") if fraction is None else onset(force, lambda x: x < fraction * weight, span, back, start, end, pick)
-    return F.when(collapsed, other).otherwise(found)
+    level = F.when(~collapsed, lower)
+    if fraction is not None:
+        level = F.coalesce(level, F.when(collapsed, fraction * weight))
+    # a band that stands in for a collapsed one has no upper side
+    upper = None if sides == "below_only" else F.when(collapsed, float("inf")).otherwise(weight + k * sd)
+    return onset(force, level, span, back, start, end, upper, pick)
 
 
 def onset_final_departure(force: Column, weight: Column, sd: Column, k: float, bound: Column) -> Column:
     """The sample after the last quiet one up to bound."""
     lower = weight - k * sd
     end = F.least(bound + 1, F.size(force))
-    quiet = A.last(A.hits(force, lambda x, i: (i < end) & (x >= lower)))
-    return F.when((sd > 0) & (lower > 0), F.least(quiet + 1, end - 1))
+    quiet = T.find(force, ">=", F.when((sd > 0) & (lower > 0), lower), 0, end, last=True)
+    return F.when(quiet.isNotNull(), F.least(quiet + 1, end - 1))
 
 
 def touchdown(force: Column, takeoff: Column, threshold: Column | float, weight: Column) -> Column:
     """Start of the first run over the threshold after takeoff that reaches the weight; null if it never does."""
-    t = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    confirmed = A.first(A.hits(force, lambda x, i: (i >= takeoff) & (x > t) & (x >= weight)))
-    low_before = lambda c: A.last(A.hits(force, lambda x, i: (i >= takeoff) & (i < c) & (x <= t)))
-    start = A.let(confirmed, lambda c: F.when(c.isNotNull(), F.coalesce(low_before(c) + 1, takeoff)))
-    return F.when(A.at(force, takeoff) <= t, start)
+    return T.return_to(force, takeoff, threshold, weight)
 
 
 def landing_absolute(force: Column, start, threshold: float = 20.0, span: int = 2) -> Column:
     """First sustained contact once the plate has been unloaded."""
-    unloaded = A.first(A.hits(force, lambda x, i: (i >= start) & (x < threshold)))
-    return A.let(unloaded, lambda u: A.first(A.sustained(force, lambda x: x >= threshold, max(span, 1), u, F.size(force))))
+    return T.find(force, ">=", threshold, T.find(force, "<", threshold, start), span=max(span, 1))
 
 
 def place(trials: DataFrame, k: float = 5.0, threshold: float = 20.0, span: int = 3, back: int = 3) -> DataFrame:
     """The default chain: weighing, then takeoff, onset and touchdown (takeoff first: onset is searched before it)."""
     f = F.col("force")
     d = weigh(trials)
-    d = A.settled(d, takeoff=takeoff_absolute(f, F.col("epoch_end"), threshold, span))
+    d = d.withColumn("takeoff", takeoff_absolute(f, F.col("epoch_end"), threshold, span))
     found = onset_noise(f, F.col("weight"), F.col("weight_sd"), k, span, back, F.col("epoch_end"), F.col("takeoff"))
-    return A.settled(d, onset=found, touchdown=touchdown(f, F.col("takeoff"), threshold, F.col("weight")))
+    return d.withColumns({"onset": found, "touchdown": touchdown(f, F.col("takeoff"), threshold, F.col("weight"))})

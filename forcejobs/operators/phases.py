@@ -5,64 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import arrays as A
+from ..functions import traces as T
 
 
 def rising_crossing(force: Column, level: Column, start: Column, end: Column) -> Column:
     """From the least sample of [start, end), the last one at or under level up to end; null unless that is before end."""
-    anchor = A.argmin(force, start, end)
-    found = A.let(anchor, lambda a: A.last(A.hits(force, lambda x, i: (i >= a) & (i <= end) & (x <= level))))
-    return A.let(found, lambda i: F.when((end > start) & (end < F.size(force)) & (i < end), i))
+    found = T.find(force, "<=", level, T.argmin(force, start, end), end + 1, last=True)
+    return F.when((end > start) & (end < F.size(force)) & (found < end), found)
 
 
 def falling_crossing(force: Column, level: Column, start: Column, end: Column) -> Column:
     """From the greatest sample of [start, end), the first one at or under level up to end; null unless past the anchor."""
-    anchor = A.argmax(force, start, end)
-    found = A.let(
-        anchor,
-        lambda a: A.let(
-            A.first(A.hits(force, lambda x, i: (i >= a) & (i <= end) & (x <= level))), lambda i: F.when(i > a, i)
-        ),
-    )
-    return F.when((end > start) & (end < F.size(force)), found)
+    anchor = T.argmax(force, start, end)
+    found = T.find(force, "<=", level, anchor, end + 1)
+    return F.when((end > start) & (end < F.size(force)) & (found > anchor), found)
 
 
 def velocity_crossing(velocity: Column, start: Column, end: Column, threshold: float = 0.0) -> Column:
     """The sample after the first pair that passes threshold upwards, from the least velocity of [start, end)."""
-    low = A.argmin(velocity, start, end)
-    found = A.let(
-        low,
-        lambda a: A.first(
-            A.hits(velocity, lambda x, i: (i >= a) & (i < end - 1) & (x <= threshold) & (F.get(velocity, i + 1) > threshold))
-        ),
-    )
+    found = T.passes_upwards(velocity, threshold, T.argmin(velocity, start, end), end - 1)
     return F.when((start + 1 < end) & (end <= F.size(velocity)), found + 1)
 
 
 def stabilised(force: Column, weight: Column, start: Column, dwell: int, percent: float = 5.0) -> Column:
     """End of the first `dwell` samples in a row within percent of the weight, from start on."""
     half = weight * percent / 100
-    inside = lambda x: (x >= weight - half) & (x <= weight + half)
-    return A.first(A.sustained(force, inside, dwell, start, F.size(force))) + dwell - 1
+    return T.band(force, weight - half, weight + half, start, span=dwell, inside=True) + dwell - 1
 
 
 def dropoff(smoothed: Column, start: Column, percent: float = 5.0) -> Column:
     """First sample after start below (1 - percent) of the running maximum since start."""
-    state = F.struct(F.get(smoothed, start).alias("top"), F.lit(None).cast("int").alias("at"))
-    later = F.transform(smoothed, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-    step = lambda s, y: F.when(
-        s["at"].isNotNull() | (y["i"] <= start) | (y["x"] > s["top"]) | ~(y["x"] < s["top"] * (1 - percent / 100)),
-        F.struct(F.when(s["at"].isNull() & (y["i"] > start), F.greatest(s["top"], y["x"])).otherwise(s["top"]).alias("top"), s["at"].alias("at")),
-    ).otherwise(F.struct(s["top"].alias("top"), y["i"].alias("at")))
-    return F.aggregate(later, state, step)["at"]
+    return T.drop_from_top(smoothed, start, percent)
 
 
-def sticking_region(velocity: Column, start: int, end: int) -> Column:
+def sticking_region(velocity: Column, start, end) -> Column:
     """struct(start, stop): first local maximum after start, and the next local minimum that velocity rises from; both or neither."""
-    up = lambda i: F.get(velocity, i) > F.get(velocity, i - 1)
-    down = lambda i: F.get(velocity, i) < F.get(velocity, i - 1)
-    inside = lambda i, low: (i > low) & (i < end)
-    top = A.first(A.hits(velocity, lambda x, i: inside(i, start) & up(i) & ~up(i + 1)))
-    bottom = lambda t: A.first(A.hits(velocity, lambda x, i: inside(i, t) & down(i) & ~down(i + 1)))
-    pair = lambda t: A.let(bottom(t), lambda b: F.struct(F.when(b.isNotNull(), t).alias("start"), b.alias("stop")))
-    return A.let(top, pair)
+    return T.crest_and_dip(velocity, start, end)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import cols as c
-from ..functions.scans import integrated
+from ..functions import traces as T
+from ..functions.scans import motion
 from .landmarks import GRAVITY
 
 #: Published populations of peak power from jump height (watts): per unit of height, height unit in metres, per kilogram, constant.
@@ -23,16 +24,13 @@ def acceleration(g: float = GRAVITY) -> Column:
 
 def with_motion(placed: DataFrame, g: float = GRAVITY, rule: str = "trapezoid") -> DataFrame:
     """Adds velocity and displacement arrays, zero up to onset, and net_power."""
-    run = integrated(rule)
-    d = placed.withColumn("velocity", run(acceleration(g), c.onset, c.dt))
-    d = d.withColumn("displacement", run(F.col("velocity"), c.onset, c.dt))
-    return d.withColumn("net_power", F.zip_with("force", "velocity", lambda f, v: (f - c.weight) * v))
+    d = placed.withColumn("_m", motion(rule, g)(c.force, c.weight, c.onset, c.dt))
+    return d.withColumns({x: F.col(f"_m.{x}") for x in ("velocity", "displacement", "net_power")}).drop("_m")
 
 
 def impulse(force: Column, start: Column, end: Column, offset: Column | float = 0.0) -> Column:
     """Trapezoid area of force less offset over samples start..end, both inside."""
-    part = F.transform(A.between(force, start, end + 1), lambda x: x - offset)
-    return A.let(part, lambda p: F.when(~A.has_bad(p), A.trapezoid(p, c.dt)))
+    return T.area(force, offset, start, end, c.dt)
 
 
 def takeoff_velocity(g: float = GRAVITY) -> Column:
@@ -64,7 +62,7 @@ def default_quantities(placed: DataFrame, g: float = GRAVITY) -> DataFrame:
 
 def level_crossing(values: Column, level: Column, start: Column, end: Column) -> Column:
     """Interpolated position of the first sample at or over level in start..end."""
-    i = A.first(A.hits(values, lambda x, k: (k >= start) & (k <= end) & (x >= level)))
+    i = T.find(values, ">=", level, start, end + 1)
     before = A.at(values, i - 1)
     return F.when(i == start, i.cast("double")).otherwise((i - 1) + (level - before) / (A.at(values, i) - before))
 
@@ -79,10 +77,7 @@ def centred_derivative(values: Column, position: Column, dt: Column) -> Column:
 
 def steepest_chord(values: Column, width: int, start: Column, end: Column, dt: Column) -> Column:
     """Greatest rise over `width` samples in start..end, per second."""
-    last = F.least(end, F.size(values) - 1)
-    begins = F.when(start + width <= last, F.sequence(start, last - width))
-    rises = F.transform(begins, lambda i: F.get(values, i + width) - F.get(values, i))
-    return F.array_max(rises) / (width * dt)
+    return T.steepest(values, width, start, end)["rise"] / (width * dt)
 
 
 def rise(values: Column, start: Column, end: Column, dt: Column) -> Column:
@@ -91,10 +86,4 @@ def rise(values: Column, start: Column, end: Column, dt: Column) -> Column:
 
 def moving_average(values: Column, width: int) -> Column:
     """Boxcar mean, centred for an odd width; the ends hold the mean of the end window."""
-    before, after = (width - 1) // 2, width // 2
-    n = F.size(values)
-    sums = lambda a, b: A.total(A.between(values, a, b)) / width
-    return F.transform(
-        values,
-        lambda x, i: F.when(i < before, sums(0, width)).when(i + after >= n, sums(n - width, n)).otherwise(sums(i - before, i + after + 1)),
-    )
+    return T.moving_average(values, width)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import filters as X
+from ..functions import traces as T
 
 
 def by_rows(column: str, out: str, kind: str, f: Callable[[np.ndarray], list]):
@@ -18,11 +20,9 @@ def by_rows(column: str, out: str, kind: str, f: Callable[[np.ndarray], list]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.asarray(x, float) for x in batch.column(column).to_pylist()]
-            values: list = [None] * len(rows)
-            for n in {len(x) for x in rows}:
-                at = [i for i, x in enumerate(rows) if len(x) == n]
-                for i, v in zip(at, f(np.stack([rows[i] for i in at]))):
+            values: list = [None] * batch.num_rows
+            for rows, x in T.blocks(batch.column(column)):
+                for i, v in zip(rows.tolist(), f(x)):
                     values[i] = v
             keep = [c for c in batch.schema.names if c != column]
             values = [v.tolist() if isinstance(v, np.ndarray) else v for v in values]
@@ -43,23 +43,27 @@ def points(curves: DataFrame, key: str, value: str, *keep: str) -> DataFrame:
 
 
 def covariance(curves: DataFrame, value: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """(curves, mean, covariance) from each task's own sums: a row of p * (p + 1) numbers per task reaches the driver."""
+    """(curves, mean, covariance) of curves of one length: tasks' sums are added up by Spark, and p * (p + 1) numbers reach the driver."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, q = 0, None, None
         for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), float)
-            if len(x):
+            for _, x in T.blocks(batch.column(0)):
                 n += len(x)
                 s = x.sum(0) + (0 if s is None else s)
                 q = x.T @ x + (0 if q is None else q)
         if n:
-            yield pa.record_batch([pa.array([n]), pa.array([s.tolist()]), pa.array([q.ravel().tolist()])], names=["n", "s", "q"])
+            rows = [*zip(range(len(s)), q), (len(s), s), (len(s) + 1, np.full(1, float(n)))]
+            yield pa.record_batch([pa.array([r for r, _ in rows], pa.int32()), pa.array([v.tolist() for _, v in rows])], names=["row", "v"])
 
-    parts = curves.select(F.col(value).cast("array<double>").alias("y")).mapInArrow(sums, "n long, s array<double>, q array<double>").collect()
-    n = sum(r.n for r in parts)
-    s, q = sum(np.array(r.s) for r in parts), sum(np.array(r.q).reshape(len(r.s), -1) for r in parts)
-    return n, s / n, (q - np.outer(s, s) / n) / (n - 1)
+    parts = curves.select(F.col(value).cast("array<double>").alias("y")).mapInArrow(sums, "row int, v array<double>")
+    cells = parts.select("row", F.posexplode("v").alias("col", "x")).groupBy("row", "col").agg(F.sum("x").alias("x"))
+    found = {r.row: r.v for r in cells.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("col", "x"))), lambda z: z["x"]).alias("v")).collect()}
+    if not found:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    p = len(found) - 2
+    n, s, q = int(found[p + 1][0]), np.array(found[p]), np.array([found[i] for i in range(p)])
+    return n, s / n, (q - np.outer(s, s) / n) / max(n - 1, 1)
 
 
 def components(cov: np.ndarray, share: float = 0.99) -> tuple[np.ndarray, np.ndarray]:
@@ -96,17 +100,35 @@ def clusters(field: DataFrame, threshold: float) -> DataFrame:
 def sign_flip_maxima(curves: DataFrame, key: str, value: str, permutations: int) -> DataFrame:
     """Per permutation, the greatest |t| over the points of one-sample t with each curve's sign drawn by a hash of both.
 
-    Sums by (permutation, point) are made before rows travel.
+    A task draws the signs of its curves as a matrix and sends one row of sums by point for each permutation.
     """
-    d = curves.select(key, F.col(value).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
-    hexes = F.substring(F.md5(F.concat_ws("_", "perm", key)), 1, 1)
-    sign = F.when((F.col("perm") == 0) | hexes.isin(*"01234567"), 1.0).otherwise(-1.0)
-    d = d.select("perm", F.posexplode(F.transform("y", lambda x: x.cast("double") * sign)).alias("point", "x"))
-    t = d.groupBy("perm", "point").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"), F.count("*").alias("n"))
-    t = t.select("perm", F.when(F.col("s") > 0, F.abs(F.col("m") / (F.col("s") / F.sqrt("n")))).otherwise(0.0).alias("t"))
+    d = curves.select(F.col(key).cast("string").alias("k"), F.col(value).cast("array<double>").alias("y"))
+    sums = d.mapInArrow(_signed_sums(permutations), "perm int, n long, s array<double>, q array<double>")
+    sums = sums.select("perm", "n", F.posexplode(F.arrays_zip("s", "q")).alias("point", "z"))
+    t = sums.groupBy("perm", "point").agg(F.sum("n").alias("n"), F.sum("z.s").alias("s"), F.sum("z.q").alias("q"))
+    spread = F.expr("(q - s * s / n) / (n - 1)")
+    t = t.select("perm", F.when(spread > 0, F.abs(F.col("s") / F.col("n")) / F.sqrt(spread / F.col("n"))).otherwise(0.0).alias("t"))
     return t.groupBy("perm").agg(F.max("t").alias("greatest"))
 
 
+def _signed_sums(permutations: int):
+    """For mapInArrow over rows (key, curve): per permutation, the curves and their signed sums and squares by point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, q = 0, None, None
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            for rows, x in T.blocks(batch.column(1)):
+                signs = np.ones((permutations, len(rows)))
+                for j, i in enumerate(rows.tolist()):
+                    signs[1:, j] = [1.0 if hashlib.md5(f"{p}_{keys[i]}".encode()).digest()[0] < 128 else -1.0 for p in range(1, permutations)]
+                n, s, q = n + len(rows), signs @ x + (0 if s is None else s), (x * x).sum(0) + (0 if q is None else q)
+        if n:
+            yield pa.record_batch([pa.array(range(permutations), pa.int32()), pa.array([n] * permutations), pa.array(s.tolist()), pa.array([q.tolist()] * permutations)], names=["perm", "n", "s", "q"])
+
+    return run
+
+
 def label_shuffle_maxima(curves: DataFrame, key: str, group: str, value: str, first, second, permutations: int) -> DataFrame:
     """Per permutation from 1, the greatest |t| over the points of two_sample_t with the labels shuffled.
 
