@@ -16,9 +16,11 @@ from .common import chunks, crc_mod, text_buffers
 SAMPLE_BYTES = 48_000
 #: Of one document at most so many bytes enter the sample, so that a sample holds several documents.
 SAMPLE_DOC_BYTES = 4_000
+#: All languages together have so many bytes of samples at most, so that the tables that are broadcast have a bound.
+TOTAL_BYTES = 4_800_000
 #: Texts of the lowest hashes that hold about so many samples' bytes are sorted for the sample.
 SPARE = 8
-#: A text is parsed in blocks of so many bytes; a phrase ends where its block ends.
+#: A text is parsed in blocks of so many bytes, all at once; a phrase goes on where its block ends.
 BLOCK = 512
 #: Sign bit of a transition: the phrase could not be extended and a new one starts with this byte.
 NEW_PHRASE = -(1 << 31)
@@ -89,20 +91,47 @@ def parse_table(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return table.astype(np.int32).ravel(), column[SYMBOLS].astype(np.int32), columns
 
 
+def _settle(table: np.ndarray, cols: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per block, how many more phrases begin in it when it is entered in `state` and not at the root, and the state it ends in.
+
+    Both parses are followed until they are in one state, from where on they are the same; -1 where they end so.
+    """
+    more, end = np.zeros(len(start), np.int64), np.full(len(start), -1, np.int64)
+    live = np.flatnonzero(state != 0)
+    true, plain = state[live], np.zeros(len(live), np.int32)
+    for step in range(BLOCK):
+        if not len(live):
+            break
+        col = cols[start[live] + step]
+        a, b = table[true + col], table[plain + col]
+        more[live] += (a < 0).astype(np.int64) - (b < 0)
+        true, plain = a & 0x7FFFFFFF, b & 0x7FFFFFFF
+        over = size[live] == step + 1
+        end[live[over]] = np.where(true[over] == plain[over], -1, true[over])
+        go = ~over & (true != plain)
+        live, true, plain = live[go], true[go], plain[go]
+    return more, end
+
+
 def phrases(offsets: np.ndarray, data: np.ndarray, model: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
-    """Number of phrases of every text: each longest match with the automaton's text, plus one per unfinished block."""
+    """Number of phrases of every text: each longest match with the automaton's text, plus the unfinished one.
+
+    The blocks of all texts are parsed from the root at once. Then each is entered in the state that the one before it
+    ends in, until that parse meets the first one; where it never does, the block after it is entered anew.
+    """
     table, column, _ = model
     lengths = np.diff(offsets)
     blocks = -(-lengths // BLOCK)
     text = np.repeat(np.arange(len(lengths)), blocks)
     first = np.concatenate(([0], np.cumsum(blocks)))[:-1]
-    start = offsets[:-1][text] + (np.arange(len(text)) - first[text]) * BLOCK
-    size = np.minimum(BLOCK, offsets[1:][text] - start)
-    order = np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
+    number = np.arange(len(text)) - first[text]
+    begin = offsets[:-1][text] + number * BLOCK
+    length = np.minimum(BLOCK, offsets[1:][text] - begin)
+    order = np.argsort(-length, kind="stable")
+    start, size = begin[order], length[order]
     cols = column[data]
     state = np.zeros(len(start), np.int32)
-    count = np.ones(len(start), np.int64)
+    count = np.zeros(len(start), np.int64)
     live = np.searchsorted(-size, -np.arange(1, BLOCK + 1), side="right")
     for step in range(BLOCK):
         n = live[step]
@@ -111,7 +140,19 @@ def phrases(offsets: np.ndarray, data: np.ndarray, model: tuple[np.ndarray, np.n
         to = table[state[:n] + cols[start[:n] + step]]
         count[:n] += to < 0
         state[:n] = to & 0x7FFFFFFF
-    return np.bincount(text[order], count, len(lengths))
+    ends, plain = np.zeros(len(text), np.int32), np.zeros(len(text), np.int64)
+    ends[order], plain[order] = state, count
+    more, again = np.zeros(len(text), np.int64), np.flatnonzero(number > 0)
+    alone = ends.copy()  # the state a block ends in when it is entered at the root
+    while len(again):
+        more[again], end = _settle(table, cols, begin[again], length[again], ends[again - 1])
+        new = np.where(end < 0, alone[again], end).astype(np.int32)
+        changed = again[new != ends[again]]
+        ends[again] = new
+        nxt = changed + 1
+        nxt = nxt[nxt < len(text)]
+        again = nxt[number[nxt] > 0]
+    return np.bincount(text, plain + more, len(lengths)) + (lengths > 0)
 
 
 def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, bytes]:
@@ -121,17 +162,18 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> dic
         F.xxhash64(F.col(text_col)).alias("h"),
         F.least(F.octet_length(text_col), F.lit(SAMPLE_DOC_BYTES)).alias("n"),
         F.substring(text_col, 1, SAMPLE_DOC_BYTES).alias("t"),
-    ).where("lang is not null and n > 0")
+    ).where("lang is not null and t <> ''")
     # the share of a language's hashes that holds SPARE samples: only texts below it are sorted
     size = d.groupBy("lang", "h").agg(F.max("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("bytes"))
-    near = d.join(F.broadcast(size), "lang").where(F.col("h") / 2.0**64 + 0.5 <= SPARE * SAMPLE_BYTES / F.col("bytes"))
+    each = min(SAMPLE_BYTES, TOTAL_BYTES // max(labelled.select(lang_col).distinct().count(), 1))
+    near = d.join(F.broadcast(size), "lang").where(F.col("h") / 2.0**64 + 0.5 <= SPARE * each / F.col("bytes"))
     near = near.groupBy("lang", "h", "t").agg(F.max("n").alias("n"))
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("h", "t")) - F.col("n")
-    rows = near.withColumn("before", before).where(F.col("before") < SAMPLE_BYTES).select("lang", "h", "t").collect()
+    rows = near.withColumn("before", before).where(F.col("before") < each).select("lang", "h", "t").collect()
     parts: dict[str, list[bytes]] = {}
     for lang, _, t in sorted(rows):
         parts.setdefault(lang, []).append(t.encode()[:SAMPLE_DOC_BYTES])
-    return {lang: b"\n".join(x)[:SAMPLE_BYTES] for lang, x in parts.items()}
+    return {lang: b"\n".join(x)[:each] for lang, x in parts.items()}
 
 
 def identify_language(
@@ -144,8 +186,9 @@ def identify_language(
     """Language of every whole text: id, lang_pred, score (0 to 1).
 
     Per language, a suffix automaton of a bounded sample of labelled text gives the longest match at each place of a
-    parse; the text is cut greedily into such phrases, in blocks of BLOCK bytes. The phrases, times the logarithm of
-    the sample's length, per byte, estimate the cross entropy; the least wins, ties by name. score is 1 minus the ratio
+    parse; the whole text is cut greedily into such phrases. The phrases, times the logarithm of the sample's length,
+    per byte, estimate the cross entropy; the least wins, ties by name. Every language is learned; beyond
+    TOTAL_BYTES / SAMPLE_BYTES (100) of them each sample shrinks. score is 1 minus the ratio
     of least to second least (1 where only one language is learned). Texts that are null or hold no letter, and all
     texts if nothing was learned, are `und` with score 0. Repeated rows each get a row; other columns are not read.
     """
