@@ -29,7 +29,8 @@ class Encoder:
     """Token ids of texts. Words between single spaces or newlines are encoded once and then looked up.
 
     The pre-tokenizer of a byte-level vocabulary never joins characters across such a boundary (a space belongs to the
-    word after it), so a text's ids are those of its words. Texts with other white space are encoded as they stand.
+    word after it), nor does a special token, so a text's ids are those of its words. Texts with other white space are
+    encoded as they stand.
     """
 
     def __init__(self, path: str):
@@ -37,7 +38,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.encoder.encode_special_tokens = True
         self.line_end = self.encoder.encode("\n", add_special_tokens=False).ids
         self.clear()
 
