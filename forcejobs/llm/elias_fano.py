@@ -106,7 +106,7 @@ class Trie:
             for values, bound in (
                 (contexts - np.uint64(base), (int(contexts[-1]) if len(contexts) else 0) - base + 1),
                 (pointers, len(words) + 1),
-                (vocabulary, 1 << 40),
+                (vocabulary, 1 << 64),
                 (relative, len(contexts) * len(vocabulary) + 1),
             ):
                 low, high, n, width = EliasFano.encode(values, bound)
