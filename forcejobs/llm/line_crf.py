@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import chunks, text_buffers
 
-#: The field is fitted on at most so many labelled documents (the first by hash of the id), and of each on so many lines.
-TRAIN_DOCS, TRAIN_LINES = 4000, 128
+#: The field is fitted on at most so many labelled documents, the first by hash of the id, and on so many lines of them: a
+#: document is taken with all its lines, or left out where they no longer fit.
+TRAIN_DOCS, TRAIN_LINES = 4000, 200_000
 #: Steps and rate of the fit, and the weight of its L2 penalty.
 STEPS, RATE, PENALTY = 150, 0.1, 1e-3
 #: Kinds of byte that a line's features count.
@@ -134,22 +135,33 @@ def fit_field(n_lines: np.ndarray, x: np.ndarray, good: np.ndarray) -> Field:
     return Field(mean, scale, params[:-4], params[-4:].reshape(2, 2))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Field | None:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Field | None:
     """Field fitted on a bounded sample of the labelled documents; None where they are all of one label, or none."""
     marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)")
     marks = marks.groupBy("i").agg(F.min("y").alias("y"))
-    marks = marks.orderBy(F.xxhash64("i"), "i").limit(TRAIN_DOCS)
-    d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(marks), "i").select("y", "t")
+    marks = marks.orderBy(F.xxhash64("i"), "i").limit(train_docs)
+    d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(marks), "i")
+    lines = F.length(F.coalesce("t", F.lit(""))) - F.length(F.replace(F.coalesce("t", F.lit("")), F.lit("\n"))) + 1
+    # rows of one id: the text of the least hash is the one that is fitted
+    sizes = d.groupBy("i").agg(F.min(F.struct(F.xxhash64("t").alias("h"), lines.alias("n"))).alias("x"))
+    chosen, room = [], train_lines
+    for r in sizes.orderBy(F.xxhash64("i"), "i").select("i", "x.h", "x.n").collect():  # at most TRAIN_DOCS rows
+        if r.n <= room:
+            chosen.append((r.i, r.h))
+            room -= r.n
+    kind = docs.schema[id_col].dataType.simpleString()
+    held = docs.sparkSession.createDataFrame(chosen, f"i {kind}, h long")
+    d = d.withColumn("h", F.xxhash64("t")).join(F.broadcast(held), ["i", "h"]).dropDuplicates(["i", "h"]).select("y", "t")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "t"):
                 n, _, x = line_features(*text_buffers(part.column("t")))
                 ends = np.cumsum(n)
-                rows = [x[e - k : e][:TRAIN_LINES].astype("<f4").tobytes() for e, k in zip(ends.tolist(), n.tolist())]
+                rows = [x[e - k : e].astype("<f4").tobytes() for e, k in zip(ends.tolist(), n.tolist())]
                 yield pa.record_batch([part.column("y"), pa.array(rows, pa.binary())], names=["y", "x"])
 
-    rows = sorted((r.y, bytes(r.x)) for r in d.mapInArrow(features, "y int, x binary").limit(2 * TRAIN_DOCS).collect())
+    rows = sorted((r.y, bytes(r.x)) for r in d.mapInArrow(features, "y int, x binary").collect())
     if len({y for y, _ in rows}) < 2:
         return None
     lines = [np.frombuffer(x, "<f4").reshape(-1, FEATURES).astype(float) for _, x in rows]
@@ -164,18 +176,21 @@ def score_quality(
     text_col: str = "text",
     label_col: str = "quality",
     carry: bool = False,
+    train_docs: int = TRAIN_DOCS,
+    train_lines: int = TRAIN_LINES,
 ) -> DataFrame:
     """Quality of every whole text: id, score (0 to 1, higher is better), predicted (1 if score is at least 0.5).
 
     With carry the whole input row stands in place of the id.
 
-    A field over the lines of a text, with features of each line and its neighbours, is fitted on at most TRAIN_DOCS of
-    the `labelled` documents that `labels` marks 0 or 1; forward-backward gives each line's marginal of being good, and
+    A field over the lines of a text, with features of each line and its neighbours, is fitted on at most train_docs of
+    the `labelled` documents that `labels` marks 0 or 1, the first by hash of the id, as far as train_lines hold their
+    lines (of rows that share an id, on one text); forward-backward gives each line's marginal of being good, and
     their mean weighted by the line's bytes plus one is the score. A null or empty text is one empty line. Ids with
     several labels count with the least. Without labels of both kinds every score is 0.5. Repeated rows and null ids
     are scored as they stand; an empty table gives no rows. Other columns are not read.
     """
-    field = docs.sparkSession.sparkContext.broadcast(learn(labelled, labels, id_col, text_col, label_col))
+    field = docs.sparkSession.sparkContext.broadcast(learn(labelled, labels, id_col, text_col, label_col, train_docs, train_lines))
     d = docs if carry else docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     text, kept = (text_col, docs.columns) if carry else ("t", ["i"])
 
