@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, discard, text_buffers, within, written
+from .common import SALTS, chunks, components, discard, text_buffers, within, written
 
 #: Words in a shingle, seed of its hash, and differing bits up to which two fingerprints link.
 WORDS, SEED, BITS = 4, 42, 4
@@ -142,11 +142,11 @@ def _linker(bits: int):
     return run
 
 
-def _finer(bits: int):
-    """For mapInArrow over rows (key, fp) of large groups: bits + 1 exact segments of the bits outside the key's one.
+def _finer(bits: int, parts: int):
+    """For mapInArrow over rows (key, fp) of large groups: `parts` exact segments of the bits outside the key's one.
 
-    Fingerprints within bits of each other agree on one of them, so no link is lost. Keys are mixed into 64 bits; a
-    collision only adds comparisons, as links are verified.
+    A pair within bits of each other agrees on parts - bits of them, so with more than bits of them no link is lost.
+    Keys are mixed into 64 bits; a collision only adds comparisons, as links are verified.
     """
     cut = np.array([next(i for i, (s, n) in enumerate(segments(bits)) if s <= b < s + n) for b in range(64)])
     shift, width = np.array(segments(bits)).T.astype(np.uint64)
@@ -159,8 +159,8 @@ def _finer(bits: int):
             turn = shift[at] + width[at]  # rotated right by this, the segment is on top
             rest = np.where(turn == 64, fps, fps >> (turn % 64) | fps << (64 - turn) % 64)
             free = 64 - width[at].astype(np.int64)
-            for part in range(bits + 1):
-                low, high = free * part // (bits + 1), free * (part + 1) // (bits + 1)
+            for part in range(parts):
+                low, high = free * part // parts, free * (part + 1) // parts
                 value = rest >> low.astype(np.uint64) & (np.uint64(1) << (high - low).astype(np.uint64)) - np.uint64(1)
                 mixed = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + value) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(part)
                 yield pa.record_batch([pa.array(mixed.view(np.int64)), batch.column(1)], names=["key", "fp"])
@@ -168,12 +168,38 @@ def _finer(bits: int):
     return run
 
 
+def _finer_pairs(bits: int):
+    """The same by every pair of bits + 2 segments: fingerprints within bits of each other agree on two of them."""
+    one = _finer(bits, bits + 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in one(iter([batch]))]
+            for i in range(len(keys)):
+                for j in range(i):
+                    mixed = (keys[i] ^ keys[j] * np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)
+                    yield pa.record_batch([pa.array(mixed.view(np.int64)), batch.column(1)], names=["key", "fp"])
+
+    return run
+
+
 def near_fingerprints(fps: DataFrame, bits: int = BITS, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Links (a, b) between distinct fingerprints of fps(fp) that join exactly what pairs within bits join."""
+    """Links (a, b) between distinct fingerprints of fps(fp) that join exactly what pairs within bits join.
+
+    A group over group_limit is cut by bits + 1 exact segments, and what is still over it by pairs of them: of bits + 2
+    segments a linked pair shares two. Groups that are larger even then hold fingerprints that agree on over half of
+    their bits, and are compared by spanning forest.
+    """
     index = variants(fps, bits)
     large = index.groupBy("key").count().where(F.col("count") > group_limit).select("key")
     if not large.isEmpty():
-        finer = index.join(large, "key", "left_semi").mapInArrow(_finer(bits), "key long, fp long")
+        big = index.join(large, "key", "left_semi")
+        finer = big.mapInArrow(_finer(bits, bits + 1), "key long, fp long")
+        still = finer.groupBy("key").count().where(F.col("count") > group_limit).select("key")
+        if not still.isEmpty():
+            again = finer.join(still, "key", "left_semi").select("fp").distinct()
+            pairs = big.join(again, "fp", "left_semi").select("key", "fp").mapInArrow(_finer_pairs(bits), "key long, fp long")
+            finer = finer.join(still, "key", "left_anti").unionByName(pairs)
         index = index.join(large, "key", "left_anti").unionByName(finer)
     return index.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(bits), "a long, b long")
 
@@ -196,11 +222,15 @@ def simhash_groups(
     """
     d = written(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
     least = written(d.groupBy("fp").agg(F.min("i").alias("least")), "distinct")
-    roots = components(near_fingerprints(least.select("fp"), bits)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    rooted = least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = written(rooted.join(named, "root").select("fp", "component_id"), "groups")
+    roots = written(components(near_fingerprints(least.select("fp"), bits)).select(F.col("node").alias("fp"), F.col("component").alias("root")), "roots")
+    linked = least.join(roots, "fp").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    # a large group's root is one key: its name is joined under several
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    alone = least.join(roots.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    by_fp = written(linked.join(named, ["root", "salt"]).select("fp", "component_id").unionByName(alone), "groups")
     discard(least)
+    discard(roots)
     return d.join(by_fp, "fp").select(
         F.col("i").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
