@@ -95,7 +95,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    row = lambda turn, role: F.struct(F.lit(turn).alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text"))
+    more = spark.range(1).select(F.lit(-1).alias("conv_id"), F.inline(F.array(row(0, "user"), row(1, "assistant"))))
     return chat_format.read_back(chat_format.format_examples(turns.unionByName(more)))
 
 

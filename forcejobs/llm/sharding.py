@@ -93,9 +93,8 @@ def shard_documents(
 
     Rows are ordered by (hash of the text, hash of the id). Splitters of that order are refined until the bytes below
     each are within tolerance of a shard, and the payload columns then move once. Equal texts are neighbours in the
-    order and stay together unless a splitter within tolerance needs to fall among them, as for a text with more than
-    a shard's bytes. slot numbers a shard's rows from 0 without gaps, by (spread of the id hash, order): a shard
-    is numbered in parts of about PART_BYTES. Null texts count as empty. Rows with equal id and text are
+    order; a splitter may fall among them, also in a small group, where no other key holds its target. slot numbers a shard's rows from 0 without gaps, by (spread of the id and text hashes, order): a
+    shard is numbered in parts of about PART_BYTES. Null texts count as empty. Rows with equal id and text are
     interchangeable, share a shard, and each has its slot; null ids hash alike. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -124,7 +123,7 @@ def shard_documents(
     parts = 8
     while parts * PART_BYTES * shards < total:
         parts *= 2
-    part: Column = F.pmod(F.xxhash64("g"), F.lit(parts)).cast("int")
+    part: Column = F.pmod(F.xxhash64("g", "h"), F.lit(parts)).cast("int")
     # rows of each part before it in its shard: shards x parts counts
     sizes = keys.select(shard.alias("s"), part.alias("p")).groupBy("s", "p").count().collect()
     discard(keys)
