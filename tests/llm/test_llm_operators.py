@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from forcejobs.llm import chat_format, common, packing, simhash
+from forcejobs.llm import chat_format, common, ngram_lm, packing, sharding, simhash
 from forcejobs.llm.elias_fano import EliasFano, Trie
 from forcejobs.llm.language_id import identify_language, parse_table, phrases, suffix_automaton
 from forcejobs.llm.line_crf import forward_backward, score_quality
@@ -452,3 +452,82 @@ def test_chat_examples_and_round_trip(spark):
         assert back[c].turns_sha256 == hashlib.sha256(told.encode()).hexdigest()
         assert (back[c].n_turns, back[c].loss_chars, back[c].loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat_format.read_back(chat_format.format_examples(d.where("1 = 0"))).collect() == []
+
+
+def test_language_model_with_contexts_dealt_over_shards(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [(i, " ".join(["the" if rng.random() < 0.4 else f"w{rng.integers(0, 60)}" for _ in range(80)])) for i in range(120)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(ngram_lm, "HOT_PART", 1)
+    hashes, slots = ngram_lm._hot_words(d.selectExpr("doc_id i", "text t"), 16)
+    assert max(slots) > 8
+    hot = {r.doc_id: r for r in score_texts(d, F.col("doc_id") % 3 > 0).collect()}
+    monkeypatch.setattr(ngram_lm, "_hot_words", lambda *a: (np.array([ngram_lm.START]), np.array([1])))
+    plain = {r.doc_id: r for r in score_texts(d, F.col("doc_id") % 3 > 0).collect()}
+    for i, r in hot.items():
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (plain[i].n_tokens, plain[i].n_known, plain[i].train_tokens)
+        assert r.score == pytest.approx(plain[i].score, abs=1e-9) and r.base_score == pytest.approx(plain[i].base_score)
+
+
+def test_counts_beyond_32_bits_survive_a_message():
+    many = np.array([5, 1 << 40, 254], np.int64)
+    large = np.flatnonzero(many >= ngram_lm.LARGE)
+    arrays = (np.array([7], np.uint64), np.array([3], "<u4"), np.array([1 << 35], np.int64), np.array([1, 2, 3], np.uint64), np.minimum(many, ngram_lm.LARGE).astype("u1"), large, many[large])
+    words, sizes, counts, pairs, pair_counts = ngram_lm._read(np.array([1, 3, len(large)], "<i8").tobytes() + b"".join(a.tobytes() for a in arrays))
+    assert (words.tolist(), sizes.tolist(), counts.tolist(), pairs.tolist(), pair_counts.tolist()) == ([7], [3], [1 << 35], [1, 2, 3], many.tolist())
+
+
+def test_phrases_go_on_across_blocks():
+    rng = np.random.default_rng(1)
+    words = ["the", "cat", "sat", "mat", "dog", "über", "zeit"]
+    train = " ".join(rng.choice(words, 3000)).encode()
+    model = parse_table(train)
+    table, column, _ = model
+
+    def one_by_one(text):
+        state, n = 0, int(len(text) > 0)
+        for b in text:
+            to = int(table[state + column[b]])
+            n, state = n + (to < 0), to & 0x7FFFFFFF
+        return n
+
+    texts = [b"", " ".join(rng.choice([*words, "zz", "q!"], 900)).encode(), train[100:9000], b"z" * 3000, train[:7000] + b"!!" + train[5000:9000]]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    assert phrases(offsets, np.frombuffer(b"".join(texts), np.uint8), model).tolist() == [one_by_one(t) for t in texts]
+
+
+def test_split_trees_find_the_links(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((300, 32))
+    rows = [(i % 1150, (base[i % 300] + rng.standard_normal(32) * rng.choice([0.1, 0.25]) * (i >= 300)).tolist(), 1) for i in range(1200)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    x = np.array([np.array(r[1], "f4").astype(float) for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = collections.Counter((x @ x.T >= 0.93).sum(1) - 1)
+    for kinds in ({"leaf": 16}, {"leaf": 32, "block": 16}):
+        got = embedding_groups(d, **kinds).collect()
+        links = sum(r.n_links for r in got)
+        total = sum(k * n for k, n in want.items())
+        assert len(got) == len(rows) and 0.9 * total <= links <= total
+    assert embedding_groups(d.where("1 = 0")).collect() == []
+    two = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0)], "vec_id long, embedding array<float>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_groups(two).collect()) == [(1, 1, 1), (2, 1, 1), (2, 1, 2), (3, 1, 2)]
+
+
+def test_still_larger_signature_groups_are_cut_by_pairs_of_segments(spark):
+    rng = np.random.default_rng(9)
+    fps = {int(x) for x in rng.integers(0, 1 << 20, 300)} | {int(x) << 40 for x in rng.integers(0, 1 << 20, 100)}
+    d = spark.createDataFrame([(x,) for x in fps], "fp long")
+    whole, cut = ({r.node: r.component for r in common.components(simhash.near_fingerprints(d, 4, k)).collect()} for k in (20_000, 3))
+    assert whole == cut
+
+
+def test_splitters_against_sorting(spark):
+    rows = [(i, f"text {i % 500} " + "z" * (i % 53)) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = d.select(F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("size"))
+    order = sorted((r.h, r.size) for r in keys.collect())
+    total = sum(s for _, s in order)
+    below = lambda cut: sum(s for h, s in order if h < cut)
+    for target, (cut, rest) in zip([total / 4, total / 2], sharding.find_splitters(keys, "h", [total / 4, total / 2], 0.002 * total)):
+        assert abs(below(cut) + rest - target) <= 0.002 * total
