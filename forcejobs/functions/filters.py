@@ -89,9 +89,12 @@ def durbin_watson(r: np.ndarray) -> np.ndarray:
 
 
 def exponential_rise(y: np.ndarray, dt: float) -> tuple[float, float, float, float]:
-    """(base, size, time constant, residual in percent of size) of b + A (1 - exp(-t / tau)), by golden section over ln tau."""
+    """(base, size, time constant, mean absolute residual in percent of the fit) of b + A (1 - exp(-t / tau)).
+
+    tau is sought by golden section over its logarithm, from one sample to the whole span.
+    """
     t = np.arange(len(y)) * dt
-    if len(y) < 4 or t[-1] <= 0:
+    if len(y) < 3 or t[-1] <= 0 or not np.isfinite(y).all():
         return (np.nan,) * 4
 
     def solve(log_tau: float):
@@ -101,11 +104,11 @@ def exponential_rise(y: np.ndarray, dt: float) -> tuple[float, float, float, flo
         base = y.mean() - size * g.mean()
         return base, size, float(((y - base - size * g) ** 2).sum())
 
-    low, high, ratio = np.log(dt / 10), np.log(t[-1] * 100), (np.sqrt(5) - 1) / 2
+    low, high, ratio = np.log(dt), np.log(t[-1]), (np.sqrt(5) - 1) / 2
     a, b = high - ratio * (high - low), low + ratio * (high - low)
     fa, fb = solve(a)[2], solve(b)[2]
     for _ in range(200):
-        if fa < fb:
+        if fa <= fb:
             high, b, fb = b, a, fa
             a = high - ratio * (high - low)
             fa = solve(a)[2]
@@ -114,50 +117,98 @@ def exponential_rise(y: np.ndarray, dt: float) -> tuple[float, float, float, flo
             b = low + ratio * (high - low)
             fb = solve(b)[2]
     base, size, error = solve((low + high) / 2)
-    return base, size, float(np.exp((low + high) / 2)), 100 * np.sqrt(error / len(y)) / max(abs(size), 1e-300)
+    tau = float(np.exp((low + high) / 2))
+    held = np.abs(y) >= np.finfo(float).eps
+    apart = np.abs(base + size * (1 - np.exp(-t[held] / tau)) - y[held]) / np.abs(y[held])
+    return base, size, tau, float(100 * apart.mean()) if held.any() else np.nan
 
 
 def spline_resample(y: np.ndarray, points: int) -> np.ndarray:
-    """Not-a-knot cubic spline through a row's values, read at evenly spaced points."""
-    n = len(y)
+    """Not-a-knot cubic spline through a row's (or every row's) values, read at evenly spaced points.
+
+    The ends make the second and the last but one curvature their own equations; between them the band is solved forth
+    and back, all rows at once.
+    """
+    rows = np.atleast_2d(y)
+    n = rows.shape[1]
     if n < 4:
-        return np.interp(np.linspace(0, n - 1, points), np.arange(n), y)
-    m = np.zeros((n, n))
-    r = np.zeros(n)
-    i = np.arange(1, n - 1)
-    m[i, i - 1], m[i, i], m[i, i + 1] = 1, 4, 1
-    r[1:-1] = 6 * (y[2:] - 2 * y[1:-1] + y[:-2])
-    m[0, :3] = m[-1, -3:] = 1, -2, 1
-    k = np.linalg.solve(m, r)
+        out = np.stack([np.interp(np.linspace(0, n - 1, points), np.arange(n), r) for r in rows])
+        return out if np.ndim(y) > 1 else out[0]
+    r = np.zeros_like(rows, dtype=float)
+    r[:, 1:-1] = 6 * (rows[:, 2:] - 2 * rows[:, 1:-1] + rows[:, :-2])
+    k = np.zeros_like(r)
+    k[:, 1], k[:, -2] = r[:, 1] / 6, r[:, -2] / 6
+    if n > 4:
+        right, scale = r[:, 2 : n - 2].copy(), np.zeros(n - 4)
+        if n > 5:
+            right[:, 0] -= k[:, 1]
+            right[:, -1] -= k[:, -2]
+        else:
+            right[:, 0] -= k[:, 1] + k[:, -2]
+        pivot = 4.0
+        right[:, 0] /= pivot
+        for i in range(1, n - 4):
+            scale[i] = 1 / pivot
+            pivot = 4 - scale[i]
+            right[:, i] = (right[:, i] - right[:, i - 1]) / pivot
+        for i in range(n - 6, -1, -1):
+            right[:, i] -= scale[i + 1] * right[:, i + 1]
+        k[:, 2 : n - 2] = right
+    k[:, 0], k[:, -1] = 2 * k[:, 1] - k[:, 2], 2 * k[:, -2] - k[:, -3]
     x = np.linspace(0, n - 1, points)
     j = np.minimum(x.astype(int), n - 2)
     u = x - j
     v = 1 - u
-    return v * y[j] + u * y[j + 1] + ((v**3 - v) * k[j] + (u**3 - u) * k[j + 1]) / 6
+    out = v * rows[:, j] + u * rows[:, j + 1] + ((v**3 - v) * k[:, j] + (u**3 - u) * k[:, j + 1]) / 6
+    return out if np.ndim(y) > 1 else out[0]
 
 
-def warp_to(reference: np.ndarray, y: np.ndarray, band: int) -> tuple[float, np.ndarray]:
-    """Band-limited dynamic time warping: (total absolute cost, mean place in y of each reference point)."""
-    n, m = len(reference), len(y)
+def warp_rows(reference: np.ndarray, x: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band-limited dynamic time warping of every row: (total absolute cost, mean place in the row of each reference point).
+
+    A cell of the recurrence is computed for all rows at once; ties go diagonal, then up, then left.
+    """
+    n, m, rows = len(reference), x.shape[1], np.arange(len(x))
     band = max(band, abs(n - m))
-    cost = np.full((n + 1, m + 1), np.inf)
+    cost = np.full((n + 1, m + 1, len(x)), np.inf)
     cost[0, 0] = 0
     for i in range(1, n + 1):
         for j in range(max(1, i - band), min(m, i + band) + 1):
-            cost[i, j] = abs(reference[i - 1] - y[j - 1]) + min(cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1])
-    i, j = n, m
-    total, count = np.zeros(n), np.zeros(n)
-    while i > 0 and j > 0:
-        total[i - 1] += j - 1
-        count[i - 1] += 1
-        ways = (cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1])
-        step = ways.index(min(ways))  # diagonal before up before left
-        i, j = i - (step != 2), j - (step != 1)
-    return float(cost[n, m]), total / np.maximum(count, 1)
+            least = np.minimum(np.minimum(cost[i - 1, j - 1], cost[i - 1, j]), cost[i, j - 1])
+            cost[i, j] = np.abs(reference[i - 1] - x[:, j - 1]) + least
+    i, j = np.full(len(x), n), np.full(len(x), m)
+    total, count = np.zeros((len(x), n)), np.zeros((len(x), n))
+    while (live := (i > 0) & (j > 0)).any():
+        at = rows[live]
+        total[at, i[live] - 1] += j[live] - 1
+        count[at, i[live] - 1] += 1
+        ways = np.stack([cost[i[live] - 1, j[live] - 1, at], cost[i[live] - 1, j[live], at], cost[i[live], j[live] - 1, at]])
+        step = ways.argmin(0)
+        i[live] -= step != 2
+        j[live] -= step != 1
+    return cost[n, m], total / np.maximum(count, 1)
+
+
+def warp_to(reference: np.ndarray, y: np.ndarray, band: int) -> tuple[float, np.ndarray]:
+    """warp_rows() of one row."""
+    cost, place = warp_rows(reference, y[None], band)
+    return float(cost[0]), place[0]
 
 
 def smoothing_matrix(points: int, basis: int, penalty: float) -> np.ndarray:
     """points x points matrix of a clamped cubic B-spline fit with a second-difference penalty."""
+    b = spline_basis(points, basis)
+    return b @ np.linalg.solve(b.T @ b + penalty * roughness(basis), b.T)
+
+
+def roughness(basis: int) -> np.ndarray:
+    """Penalty matrix of second differences of basis coefficients."""
+    d = np.diff(np.eye(basis), 2, axis=0)
+    return d.T @ d
+
+
+def spline_basis(points: int, basis: int) -> np.ndarray:
+    """points x basis matrix of a clamped uniform cubic B-spline basis."""
     inner = np.linspace(0, 1, basis - 2)
     knots = np.concatenate(([0] * 3, inner, [1] * 3))
     x = np.linspace(0, 1, points)
@@ -174,8 +225,7 @@ def smoothing_matrix(points: int, basis: int, penalty: float) -> np.ndarray:
             if right > 0:
                 nxt[:, i] += (knots[i + p + 1] - x) / right * b[:, i + 1]
         b = nxt
-    d = np.diff(np.eye(basis), 2, axis=0)
-    return b @ np.linalg.solve(b.T @ b + penalty * d.T @ d, b.T)
+    return b
 
 
 def best_penalty(x: np.ndarray, basis: int) -> list[float]:

@@ -381,3 +381,81 @@ def residuals(values: Column, start, stop) -> Column:
         return pa.StructArray.from_arrays([pa.array(v, mask=~np.isfinite(v)) for v in found], ["rms", "durbin_watson", "slope"])
 
     return run(values, *_bounds(values, start, stop))
+
+
+def landing_shape(force: Column, weight, rate_hz, threshold: float = 20.0) -> Column:
+    """struct(takeoff, landings): start of the first low-force run that ends in a landing, and how many do.
+
+    Runs across small gaps are one (SHAPE: gap seconds and height); a run is a flight if the rise out of it is steep and
+    high enough, up to the first place where smoothed force stops rising, within the longest rise.
+    """
+
+    @F.arrow_udf("takeoff int, landings int")
+    def run(force: pa.Array, weight: pa.Array, rate: pa.Array) -> pa.Array:
+        weight, rate = numbers(weight), numbers(rate)
+        takeoff, landings = np.full(len(force), -1, np.int32), np.zeros(len(force), np.int32)
+        for rows, x in blocks(force):
+            low = x < threshold
+            for i in np.flatnonzero(low.any(1)).tolist():
+                r = rows[i]
+                found = [a for a, b in _merged(x[i], low[i], weight[r], rate[r]) if _lands(x[i, b : b + int(SHAPE["rise_s"] * rate[r])], weight[r], rate[r])]
+                landings[r] = len(found)
+                if found:
+                    takeoff[r] = found[0]
+        none = np.isnan(weight)
+        return pa.StructArray.from_arrays([pa.array(takeoff, mask=none | (takeoff < 0)), pa.array(landings, mask=none)], ["takeoff", "landings"])
+
+    return run(force, _number(weight), _number(rate_hz))
+
+
+#: Fixed values of the landing-shape rule: rise rate in weights per second, peak and gap height in weights, times in seconds.
+SHAPE = {"rate": 20.0, "peak": 0.5, "rise_s": 0.6, "slope_s": 0.01, "run_s": 0.008, "gap_s": 0.02, "gap": 0.1, "climb": 0.2}
+
+
+def _merged(x: np.ndarray, low: np.ndarray, weight: float, rate: float) -> list[tuple[int, int]]:
+    """Low runs [start, stop) of a trace, those with a small gap between them as one, the short ones left out."""
+    step = np.diff(np.pad(low.astype(np.int8), 1))
+    out: list[list[int]] = []
+    for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()):
+        if out and a - out[-1][1] <= int(SHAPE["gap_s"] * rate) and x[out[-1][1] : a].max() <= SHAPE["gap"] * max(weight, 0.0):
+            out[-1][1] = b
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out if b - a >= max(int(SHAPE["run_s"] * rate), 1)]
+
+
+def _lands(y: np.ndarray, weight: float, rate: float) -> bool:
+    """Whether the samples after a run rise as a landing does."""
+    if not weight > 0 or len(y) < 4:
+        return False
+    span = max(int(SHAPE["slope_s"] * rate), 3)
+    lead = (span - 1) // 2
+    smooth = np.convolve(y, np.full(span, 1 / span))[lead : lead + len(y)]
+    slope = np.diff(smooth)
+    flat = np.flatnonzero(_held(slope[None] <= 0, span)[0])
+    flat = flat[(flat >= span) & (flat < len(slope) - span)]
+    top = int(flat[0]) if len(flat) else int(smooth.argmax())
+    if top < span or not (slope[:top] > 0).any():
+        return False
+    climb = y[: top + 1].max() - y[0]
+    rises = (y[span:] - y[:-span])[:top] * rate / span
+    steep = len(rises) > 0 and rises.max() / weight >= SHAPE["rate"]
+    return bool(climb >= SHAPE["climb"] * weight and steep and y[: top + 1].max() / weight >= SHAPE["peak"])
+
+
+def trough_to_peak(values: Column, start, stop) -> Column:
+    """struct(low, high): the least sample of the span (first on ties), and the greatest after it (last on ties)."""
+
+    @F.arrow_udf("low int, high int")
+    def run(values: pa.Array, start: pa.Array, stop: pa.Array) -> pa.Array:
+        start, stop = numbers(start), numbers(stop)
+        found, ok = np.zeros((2, len(values)), np.int32), np.zeros(len(values), bool)
+        for rows, x in blocks(values):
+            inside = _within(x.shape[1], start[rows], stop[rows])
+            low = np.where(inside, x, np.inf).argmin(1)
+            after = inside & (np.arange(x.shape[1]) > low[:, None])
+            high = x.shape[1] - 1 - np.where(after, x, -np.inf)[:, ::-1].argmax(1)
+            found[0, rows], found[1, rows], ok[rows] = low, high, after.any(1)
+        return pa.StructArray.from_arrays([pa.array(v, mask=~ok) for v in found], ["low", "high"])
+
+    return run(values, *_bounds(values, start, stop))

@@ -291,8 +291,11 @@ hv AS (SELECT vr.trial_id, vr.subject, 'k' || kk || '_back' || bb AS rule, CASE
 )
 
 
-def variants(spark, sf_dir) -> DataFrame:
-    """Jump height of every trial under each onset variant (k x step back); weighing and takeoff are placed once."""
+def variants_in_rows(spark, sf_dir) -> DataFrame:
+    """Jump height of every trial under each onset variant (k x step back), in an array `v` of the trial's row.
+
+    Weighing and takeoff are placed once.
+    """
     d = placed(spark, sf_dir)
     rows = []
     for k in (3, 5, 8):
@@ -303,7 +306,12 @@ def variants(spark, sf_dir) -> DataFrame:
             v = Q.impulse(c.force, start, c.last, c.weight) / (c.weight / G)
             ok = F.col(f"k{k}").isNotNull() & (start < c.takeoff)
             rows.append(F.struct(F.lit(f"k{k}_back{back}").alias("rule"), F.when(ok, v * v / (2 * G)).alias("value")))
-    return d.select("trial_id", "subject", F.inline(F.array(*rows)))
+    return d.select("trial_id", "subject", F.array(*rows).alias("v"))
+
+
+def variants(spark, sf_dir) -> DataFrame:
+    """The same, a row per trial and variant."""
+    return variants_in_rows(spark, sf_dir).select("trial_id", "subject", F.inline("v"))
 
 
 @query("sweep_variants", VARIANTS_SQL + "SELECT trial_id, subject, rule, round(value, 6) AS value FROM hv")
@@ -319,7 +327,7 @@ def sweep_variants(spark, sf_dir):
 )
 def sweep_headline(spark, sf_dir):
     """How far the choice of rule moves each trial's number."""
-    d = C.headline(variants(spark, sf_dir))
+    d = C.headline_in_rows(variants_in_rows(spark, sf_dir), "v")
     return d.select("trial_id", "counted", *rounded(**{n: F.col(n) for n in ("least", "greatest", "middle", "spread")}), F.round("percent", 4).alias("percent"))
 
 
@@ -329,9 +337,12 @@ def sweep_headline(spark, sf_dir):
 )
 def sweep_cohort(spark, sf_dir):
     """Median within-trial spread over the trials that every variant answers."""
-    d = variants(spark, sf_dir).groupBy("trial_id").agg(F.count("value").alias("n"), (F.max("value") - F.min("value")).alias("s"), F.median("value").alias("md"))
-    m, q = F.median("s"), F.median("md")
-    return d.where("n = 6").agg(F.count("*").alias("complete_trials"), F.round(m, 6).alias("median_spread"), F.round(100 * m / q, 4).alias("percent_of_median"))
+    d = variants_in_rows(spark, sf_dir).select(F.transform("v", lambda x: x["value"]).alias("v")).where(~F.exists("v", lambda x: x.isNull()))
+    d = d.select(F.array_max("v") - F.array_min("v"), A.median(F.col("v"))).toDF("s", "md")
+    both = d.select(F.inline(F.array(*[F.struct(F.lit(x).alias("what"), F.col(x).alias("x")) for x in ("s", "md")])))
+    both = both.groupBy("what").agg(F.count("*").alias("n")).join(C.exact_quantiles(both, "what", "x", {"m": 0.5}), "what")
+    of = lambda what: F.max(F.when(F.col("what") == what, F.col("m")))
+    return both.agg(F.coalesce(F.max("n"), F.lit(0)).alias("complete_trials"), F.round(of("s"), 6).alias("median_spread"), F.round(100 * of("s") / of("md"), 4).alias("percent_of_median"))
 
 
 @query(
@@ -340,7 +351,7 @@ def sweep_cohort(spark, sf_dir):
 )
 def rule_correlations(spark, sf_dir):
     """Pearson's r of every pair of rules over the trials both answer: pairs are made inside a trial's row."""
-    d = variants(spark, sf_dir).where("value IS NOT NULL").groupBy("trial_id").agg(F.sort_array(F.collect_list(F.struct("rule", "value"))).alias("v"))
+    d = variants_in_rows(spark, sf_dir).select(F.filter("v", lambda x: x["value"].isNotNull()).alias("v"))
     pairs = F.flatten(F.transform("v", lambda a: F.transform(F.filter("v", lambda b: b["rule"] > a["rule"]), lambda b: F.struct(a["rule"].alias("rule_a"), b["rule"].alias("rule_b"), a["value"].alias("x"), b["value"].alias("y")))))
     return d.select(F.inline(pairs)).groupBy("rule_a", "rule_b").agg(F.count("*").alias("n"), F.round(F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y")), 6).alias("r"))
 
@@ -352,15 +363,16 @@ def rule_correlations(spark, sf_dir):
 def failure_rates(spark, sf_dir):
     """Per rule: failures, values over a limit, and the upper tail."""
     over = F.count(F.when(F.col("value") > 0.3, 1))
-    return variants(spark, sf_dir).groupBy("rule").agg(
+    d = variants(spark, sf_dir)
+    q = C.exact_quantiles(d, "rule", "value", {"median": 0.5, "p95": 0.95})
+    found = d.groupBy("rule").agg(
         F.count("*").alias("trials"),
         (F.count("*") - F.count("value")).alias("failed"),
         over.alias("over"),
         F.round(100.0 * over / F.count("*"), 6).alias("percent_over"),
-        F.round(F.median("value"), 6).alias("median"),
-        F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"),
         F.round(F.max("value"), 6).alias("most"),
     )
+    return found.join(q, "rule", "left").withColumns({x: F.round(x, 6) for x in ("median", "p95")})
 
 
 RANKED_SQL = (
@@ -460,8 +472,8 @@ def reliability_icc(spark, sf_dir):
 )
 def paired_rules(spark, sf_dir):
     """Trials that two named rules both answer, side by side."""
-    d = variants(spark, sf_dir).where("rule IN ('k5_back3', 'k8_back0')").groupBy("trial_id").pivot("rule", ["k5_back3", "k8_back0"]).agg(F.max("value"))
-    d = d.where("k5_back3 IS NOT NULL AND k8_back0 IS NOT NULL")
+    of = lambda rule: F.get(F.filter("v", lambda x: x["rule"] == rule), F.lit(0))["value"].alias(rule)
+    d = variants_in_rows(spark, sf_dir).select("trial_id", of("k5_back3"), of("k8_back0")).where("k5_back3 IS NOT NULL AND k8_back0 IS NOT NULL")
     return d.select("trial_id", F.col("k5_back3").isNotNull().alias("first_given"), F.round("k5_back3", 6).alias("first_value"), F.round("k8_back0", 6).alias("second_value"))
 
 

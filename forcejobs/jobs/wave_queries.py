@@ -206,15 +206,16 @@ def cutoff_by_whiteness(spark, sf_dir):
 
 @query("exponential_rate")
 def exponential_rate(spark, sf_dir):
-    """Rate of force development by an exponential rise fitted from onset to the peak."""
+    """Rate of force development by an exponential rise fitted from onset to the peak, and its residual in percent."""
     d = placed(spark, sf_dir).where(c.ordered)
-    d = d.select("trial_id", A.between(c.force, A.argmin(c.force, c.onset, c.takeoff), A.argmax(c.force, c.onset, c.takeoff) + 1).alias("rise"))
+    d = d.select("trial_id", A.between(c.force, c.onset, A.argmax(c.force, c.onset, c.takeoff) + 1).alias("rise"))
 
-    def rate(x: np.ndarray) -> list:
+    def fit(x: np.ndarray) -> list:
         fits = [X.exponential_rise(y, 1 / RATE_HZ) for y in x]
-        return [None if not np.isfinite(a) else a / tau for _, a, tau, _ in fits]
+        return [None if not np.isfinite(a) else [a / tau, residual] for _, a, tau, residual in fits]
 
-    return V.per_trace(d, "rise", "rate", rate, array=False)
+    d = V.per_trace(d, "rise", "fit", fit)
+    return d.select("trial_id", F.get("fit", F.lit(0)).alias("rate"), F.get("fit", F.lit(1)).alias("residual_percent"))
 
 
 def curves(spark, sf_dir) -> DataFrame:
@@ -294,25 +295,25 @@ def sign_flip_threshold(spark, sf_dir):
 
 @query("label_shuffle_clusters")
 def label_shuffle_clusters(spark, sf_dir):
-    """Clusters of the two-group test over the 5 % threshold of 1,000 label shuffles."""
+    """The two-group test against the 5 % threshold of 1,000 label shuffles, with the clusters over it."""
     d = curves(spark, sf_dir)
     threshold = V.permutation_threshold(V.label_shuffle_maxima(d, "vec_id", "label", "y", 0, 1, 1000))
-    return V.clusters(V.two_sample_t(d, "label", "y", 0, 1), threshold).withColumn("threshold", F.lit(threshold))
+    return V.inference(V.two_sample_t(d, "label", "y", 0, 1), threshold)
 
 
 @query("random_field_clusters")
 def random_field_clusters(spark, sf_dir):
-    """Clusters over the random-field threshold of the two-group test."""
+    """The two-group test against the random-field threshold, with the clusters over it."""
     d = curves(spark, sf_dir).where("label IN (0, 1)")
     threshold = V.random_field_threshold(V.smoothness(d, "y"), 64, d.count() - 2)
-    return V.clusters(V.two_sample_t(d, "label", "y", 0, 1), threshold).withColumn("threshold", F.lit(threshold))
+    return V.inference(V.two_sample_t(d, "label", "y", 0, 1), threshold)
 
 
 @query("normalised_curves")
 def normalised_curves(spark, sf_dir):
     """The movement, onset to takeoff, as 101 points of a not-a-knot spline."""
     d = placed(spark, sf_dir).where(c.ordered).select("trial_id", A.between(c.force, c.onset, c.takeoff).alias("phase"))
-    return V.per_trace(d, "phase", "curve", lambda x: [X.spline_resample(y, 101) for y in x])
+    return V.per_trace(d, "phase", "curve", lambda x: list(X.spline_resample(x, 101)))
 
 
 @query("registered_curves")
@@ -326,11 +327,32 @@ def registered_curves(spark, sf_dir):
 def warped_curves(spark, sf_dir):
     """Cost of warping each movement, at 51 points, to the mean movement."""
     d = placed(spark, sf_dir).where(c.ordered).select("trial_id", A.between(c.force, c.onset, c.takeoff).alias("phase"))
-    d = V.per_trace(d, "phase", "y", lambda x: [X.spline_resample(y, 51) for y in x])
+    d = V.per_trace(d, "phase", "y", lambda x: list(X.spline_resample(x, 51)))
     _, mean, _ = V.covariance(d, "y")
     return V.warped_cost(d, "trial_id", "y", mean.tolist(), 10)
 
 
+@query("functional_scores")
+def functional_scores(spark, sf_dir):
+    """Functional components: curves as 20 basis coefficients, their covariance, and every curve's scores for 90 % of the variance."""
+    basis = X.spline_basis(64, 20)
+    solve = np.linalg.solve(basis.T @ basis + 1e-2 * X.roughness(20), basis.T)
+    d = V.per_trace(curves(spark, sf_dir).select("vec_id", "y"), "y", "c", lambda x: list(x @ solve.T))
+    _, mean, cov = V.covariance(d, "c")
+    _, vectors = V.components(cov, 0.9)
+    return V.per_trace(d, "c", "scores", lambda x: list((x - mean) @ vectors))
+
+
+@query("filter_gain")
+def filter_gain(spark, sf_dir):
+    """Gain of the zero-lag low pass at ten frequencies on the length of each trace: root mean square of a filtered sine times root two."""
+    d = trials(spark, sf_dir).select(F.size("force").alias("n")).groupBy("n").agg(F.count("*").alias("trials"))
+    d = d.select("n", "trials", F.explode(F.array(*[F.lit(float(f)) for f in range(2, 21, 2)])).alias("hz"))
+    wave = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.sin(2 * np.pi * F.col("hz") * i / RATE_HZ))
+    gain = lambda x: (np.sqrt(2 * (X.low_pass(x, 10.0, RATE_HZ)[:, 60:-60] ** 2).mean(1))).tolist()
+    return V.per_trace(d.withColumn("wave", wave), "wave", "gain", gain, array=False)
+
+
 @query("smoothing_penalties")
 def smoothing_penalties(spark, sf_dir):
     """The penalty that cross-validation picks for each curve."""

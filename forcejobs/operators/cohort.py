@@ -176,3 +176,43 @@ def headline(variants: DataFrame, key: str = "trial_id", value: str = "value", f
     if flagged:
         cols |= of(usable & ~F.col(flagged), "clean_") | {"excluded": F.count(F.when(usable & F.col(flagged), 1))}
     return variants.groupBy(key).agg(*[c.alias(n) for n, c in cols.items()])
+
+
+def headline_in_rows(trials: DataFrame, variants: str, key: str = "trial_id") -> DataFrame:
+    """headline() of variants that stand in an array of (.., value) in the trial's row: nothing is shuffled."""
+    v = F.sort_array(F.transform(F.filter(variants, lambda x: x["value"].isNotNull()), lambda x: x["value"]))
+    d = trials.select(key, v.alias("v"))
+    n = F.size("v")
+    middle, spread = F.get("v", F.floor(n / 2).cast("int")), F.when(n >= 2, F.get("v", n - 1) - F.get("v", F.lit(0)))
+    return d.select(
+        key, n.cast("long").alias("counted"), F.get("v", F.lit(0)).alias("least"), F.get("v", n - 1).alias("greatest"),
+        middle.alias("middle"), spread.alias("spread"), (100 * spread / F.abs(middle)).alias("percent"),
+    )
+
+
+def exact_quantiles(d: DataFrame, group: str, value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
+    """Per group the quantiles of a value, interpolated between neighbours: group and a column for each share, by its name.
+
+    Meant for few groups of any size. The rows are counted in even bins between a group's least and greatest value; only
+    the distinct values of the bins that hold a wanted rank are then put in order, so that no task holds a group.
+    Nulls are left out; a group without values is absent.
+    """
+    rows = d.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    ends = rows.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    at = F.least(F.floor(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")) * bins), F.lit(bins - 1))
+    binned = rows.join(F.broadcast(ends), "g").select("g", "n", "v", F.coalesce(at, F.lit(0)).cast("int").alias("bin"))
+    counts = binned.groupBy("g", "bin").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    below = F.sum("k").over(Window.partitionBy("g").orderBy("bin")) - F.col("k")
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("n") - 1)).alias("r")) for name, p in shares.items()])
+    ranks = counts.withColumn("below", below).withColumn("w", F.explode(wanted))
+    ranks = ranks.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("w.r"), F.ceil("w.r")))))
+    ranks = ranks.where((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("k"))).select("g", "bin", "below", "rank", "w")
+    cells = ranks.select("g", "bin", "below").distinct()
+    held = binned.join(F.broadcast(cells), ["g", "bin"]).groupBy("g", "bin", "v").agg(F.count("*").alias("k"), F.first("below").alias("below"))
+    upto = F.col("below") + F.sum("k").over(Window.partitionBy("g", "bin").orderBy("v"))
+    held = held.select("g", "bin", "v", "k", upto.alias("upto"))
+    found = ranks.drop("below").join(held, ["g", "bin"]).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("k")))
+    pairs = found.groupBy("g", "w").agg(F.min(F.struct("rank", "v")).alias("a"), F.max(F.struct("rank", "v")).alias("b"))
+    value_at = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("w.r") - F.col("a.rank"))
+    out = pairs.select("g", F.col("w.name").alias("name"), value_at.alias("q")).groupBy("g").pivot("name", list(shares)).agg(F.first("q"))
+    return out.withColumnRenamed("g", group)

@@ -16,6 +16,13 @@ POWER_REGRESSIONS = {
     "harman1991": (61.9, 0.01, 36.0, -1822.0),
     "sayers1999_squat_jump": (60.7, 0.01, 45.3, -2055.0),
     "sayers1999_countermovement": (51.9, 0.01, 48.9, -2007.0),
+    "shetty2002": (1925.72, 1.0, 14.74, -666.3),
+    "canavan2004": (65.1, 0.01, 25.8, -1413.1),
+    "lara2006_male_sport_science": (62.5, 0.01, 50.3, -2184.7),
+    "lara2006_female_elite_volleyball": (83.1, 0.01, 42.0, -2488.0),
+    "lara2006_female_medium_volleyball": (53.6, 0.01, 67.5, -2624.1),
+    "lara2006_female_sport_science": (56.7, 0.01, 47.2, -1772.6),
+    "lara2006_female_university": (68.2, 0.01, 40.8, -1731.1),
 }
 
 def acceleration(g: float = GRAVITY) -> Column:

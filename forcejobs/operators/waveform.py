@@ -15,6 +15,10 @@ from ..functions import filters as X
 from ..functions import traces as T
 
 
+#: Rows that are warped at a time.
+STRIP = 1024
+
+
 def by_rows(column: str, out: str, kind: str, f: Callable[[np.ndarray], list]):
     """mapInArrow-style step: rows of equal length go to f as one matrix; f gives a value or an array per row."""
 
@@ -97,6 +101,12 @@ def clusters(field: DataFrame, threshold: float) -> DataFrame:
     return d.groupBy("grp").agg(F.min("point").alias("start"), F.max("point").alias("stop"), F.count("*").alias("extent"), F.max(F.abs("t")).alias("peak")).drop("grp")
 
 
+def inference(field: DataFrame, threshold: float) -> DataFrame:
+    """Every point of a field with its t, the threshold, and the start of the cluster it belongs to (null: none)."""
+    held = clusters(field, threshold).select("start", "stop")
+    return field.join(F.broadcast(held), F.col("point").between(F.col("start"), F.col("stop")), "left").select("point", "t", F.lit(threshold).alias("threshold"), F.col("start").alias("cluster"))
+
+
 def sign_flip_maxima(curves: DataFrame, key: str, value: str, permutations: int) -> DataFrame:
     """Per permutation, the greatest |t| over the points of one-sample t with each curve's sign drawn by a hash of both.
 
@@ -206,9 +216,15 @@ def warped_cost(curves: DataFrame, key: str, value: str, reference: list[float],
     """Per curve the cost of warping it to a reference, and its greatest departure from a straight path."""
     ref = np.asarray(reference, float)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [X.warp_to(ref, np.asarray(y, float), band) for y in b[value]]
-            yield pd.DataFrame({key: b[key], "cost": [c for c, _ in found], "departure": [float(np.abs(p - np.arange(len(ref))).max()) for _, p in found]})
-
-    return curves.select(key, value).mapInPandas(run, f"{key} {dict(curves.dtypes)[key]}, cost double, departure double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cost, departure = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.nan)
+            for rows, x in T.blocks(batch.column(1)):
+                for at in range(0, len(rows), STRIP):
+                    own = rows[at : at + STRIP]
+                    cost[own], place = X.warp_rows(ref, x[at : at + STRIP], band)
+                    departure[own] = np.abs(place - np.arange(len(ref))).max(1)
+            yield pa.record_batch([batch.column(0), pa.array(cost), pa.array(departure)], names=[key, "cost", "departure"])
+
+    d = curves.select(key, F.col(value).cast("array<double>").alias("y"))
+    return d.mapInArrow(run, f"{key} {dict(curves.dtypes)[key]}, cost double, departure double")
