@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from forcejobs.llm import chat_format, common, ngram_lm, packing, sharding, simhash
+from forcejobs.llm import quality_rules as quality_rules_module
 from forcejobs.llm.elias_fano import EliasFano, Trie
 from forcejobs.llm.language_id import identify_language, parse_table, phrases, suffix_automaton
 from forcejobs.llm.line_crf import forward_backward, score_quality
@@ -531,3 +532,31 @@ def test_splitters_against_sorting(spark):
     below = lambda cut: sum(s for h, s in order if h < cut)
     for target, (cut, rest) in zip([total / 4, total / 2], sharding.find_splitters(keys, "h", [total / 4, total / 2], 0.002 * total)):
         assert abs(below(cut) + rest - target) <= 0.002 * total
+
+
+def test_verdict_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    prose, junk = [f"good{i}" for i in range(60)], [f"junk{i}" for i in range(40)]
+    texts = [(i, " ".join(rng.choice(prose if i % 3 else junk, 70).tolist())) for i in range(60)] + [(70, "too short"), (71, None)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    trusted = d.where("doc_id % 3 = 1")
+    bits = quality_rules_module.BUCKET_BITS
+    end = xxhash.xxh64_intdigest((3).to_bytes(4, "little"), 42)
+
+    def grams(t):
+        w = [x.encode() for x in (t or "").split()]
+        one = [xxhash.xxh64_intdigest(x, 42) for x in w]
+        tails = [xxhash.xxh64_intdigest(x[-3:], end) for x in w]
+        return [x >> (64 - bits) for x in one + tails + [xxhash.xxh64_intdigest(b, a) for a, b in zip(one, w[1:])]]
+
+    raw = collections.Counter(g for _, t in texts for g in grams(t))
+    good = collections.Counter(g for i, t in texts if i % 3 == 1 for g in grams(t))
+    share = lambda c, g: (c[g] + 0.5) / (sum(c.values()) + 0.5 * 2**bits)
+    verdicts = set()
+    for r in quality_rules(d, trusted).collect():
+        g = grams(dict(texts)[r.doc_id])
+        llr = sum(math.log(share(good, x) / share(raw, x)) for x in g) / len(g) if g else 0.0
+        assert r.llr == pytest.approx(llr, abs=1e-9)
+        assert r.kept == (not r.base_failed and llr >= quality_rules_module.THRESHOLD)
+        verdicts.add((r.base_failed, r.kept))
+    assert verdicts == {(False, True), (False, False), (True, False)}
