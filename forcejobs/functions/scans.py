@@ -76,19 +76,19 @@ def motion(rule: str, g: float):
 
 
 def steadiest_window(n: int):
-    """Column function (force): start and variance of the steadiest n samples (first on ties) and what was considered.
+    """Column function (force): start and variance of the steadiest n samples (first on ties), what was considered, and the ties.
 
     Windows with a sample at or under 0.025 of the median are left out. Variances come from sums of the samples less
     their median, and count to nine digits.
     """
 
-    @F.pandas_udf("start int, variance double, candidates int, rejected int")
+    @F.pandas_udf("start int, variance double, candidates int, rejected int, tied int, tied_low double, tied_high double")
     def run(force: pd.Series) -> pd.DataFrame:
         rows = []
         for a in force:
             a = np.asarray(a, float)
             if len(a) < n:
-                rows.append((None, None, 0, 0))
+                rows.append((None, None, 0, 0, 0, None, None))
                 continue
             centre = np.median(a)
             x = a - centre
@@ -98,8 +98,10 @@ def steadiest_window(n: int):
             bad = low[n:] > low[:-n]
             ok = np.flatnonzero(~bad)
             at = ok[var[ok].argmin()] if len(ok) else None
-            rows.append((at, None if at is None else abs(var[at]), len(ok), int(bad.sum())))
-        return pd.DataFrame(rows, columns=["start", "variance", "candidates", "rejected"]).astype({"start": "Int32"})
+            tied = (s[n:] - s[:-n])[ok[var[ok] == var[at]]] / n + centre if at is not None else s[:0]
+            ends = (tied.min(), tied.max()) if len(tied) else (None, None)
+            rows.append((at, None if at is None else abs(var[at]), len(ok), int(bad.sum()), len(tied), *ends))
+        return pd.DataFrame(rows, columns=["start", "variance", "candidates", "rejected", "tied", "tied_low", "tied_high"]).astype({"start": "Int32"})
 
     return run
 

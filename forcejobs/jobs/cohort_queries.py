@@ -291,7 +291,7 @@ hv AS (SELECT vr.trial_id, vr.subject, 'k' || kk || '_back' || bb AS rule, CASE
 )
 
 
-def variants_in_rows(spark, sf_dir) -> DataFrame:
+def variants_in_rows(spark, sf_dir, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """Jump height of every trial under each onset variant (k x step back), in an array `v` of the trial's row.
 
     Weighing and takeoff are placed once.
@@ -306,7 +306,7 @@ def variants_in_rows(spark, sf_dir) -> DataFrame:
             v = Q.impulse(c.force, start, c.last, c.weight) / (c.weight / G)
             ok = F.col(f"k{k}").isNotNull() & (start < c.takeoff)
             rows.append(F.struct(F.lit(f"k{k}_back{back}").alias("rule"), F.when(ok, v * v / (2 * G)).alias("value")))
-    return d.select("trial_id", "subject", F.array(*rows).alias("v"))
+    return d.select("trial_id", "subject", *keep, F.array(*rows).alias("v"))
 
 
 def variants(spark, sf_dir) -> DataFrame:

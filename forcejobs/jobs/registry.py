@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cohort_queries, model_queries, phase_queries, run_queries, trial_queries, wave_queries
+from . import cohort_queries, detail_queries, model_queries, phase_queries, run_queries, trial_queries, wave_queries
 
-MODULES = (trial_queries, phase_queries, model_queries, cohort_queries, run_queries, wave_queries)
+MODULES = (trial_queries, phase_queries, model_queries, cohort_queries, run_queries, detail_queries, wave_queries)
 
 
 def queries() -> dict:

@@ -178,14 +178,14 @@ def headline(variants: DataFrame, key: str = "trial_id", value: str = "value", f
     return variants.groupBy(key).agg(*[c.alias(n) for n, c in cols.items()])
 
 
-def headline_in_rows(trials: DataFrame, variants: str, key: str = "trial_id") -> DataFrame:
+def headline_in_rows(trials: DataFrame, variants: str, key: str = "trial_id", keep: list[str] = []) -> DataFrame:  # noqa: B006
     """headline() of variants that stand in an array of (.., value) in the trial's row: nothing is shuffled."""
     v = F.sort_array(F.transform(F.filter(variants, lambda x: x["value"].isNotNull()), lambda x: x["value"]))
-    d = trials.select(key, v.alias("v"))
+    d = trials.select(key, *keep, v.alias("v"))
     n = F.size("v")
     middle, spread = F.get("v", F.floor(n / 2).cast("int")), F.when(n >= 2, F.get("v", n - 1) - F.get("v", F.lit(0)))
     return d.select(
-        key, n.cast("long").alias("counted"), F.get("v", F.lit(0)).alias("least"), F.get("v", n - 1).alias("greatest"),
+        key, *keep, n.cast("long").alias("counted"), F.get("v", F.lit(0)).alias("least"), F.get("v", n - 1).alias("greatest"),
         middle.alias("middle"), spread.alias("spread"), (100 * spread / F.abs(middle)).alias("percent"),
     )
 
