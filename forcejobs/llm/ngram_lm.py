@@ -18,7 +18,7 @@ from .common import chunks, text_buffers, written
 from .elias_fano import Trie
 
 #: Bytes of text in a split of the documents; there are as many shards of the trie as splits.
-SPLIT_BYTES = 16 << 20
+SPLIT_BYTES = 12 << 20
 LEAST_SPLITS = 16
 #: Mass taken from each seen successor and given to the lower level.
 DISCOUNT = 0.8
@@ -80,10 +80,11 @@ class Split:
         to = (home[context] + slot) % shards
         extra = np.flatnonzero(slots > 1)
         # a shard is asked for a hot context only if one of its successors is dealt there
-        asked = np.unique(np.column_stack((to, context))[np.isin(context, extra)], axis=0) if len(extra) else np.zeros((0, 2), np.int64)
-        asked = asked[asked[:, 0] != home[asked[:, 1]]]
-        word_to = np.concatenate((home, asked[:, 0]))
-        word_at = np.concatenate((np.arange(len(self.words)), asked[:, 1]))
+        busy = np.flatnonzero(slots[context] > 1) if len(extra) else extra
+        shard, word = np.divmod(np.unique(to[busy] * len(self.words) + context[busy]), len(self.words))
+        away = shard != home[word]
+        word_to = np.concatenate((home, shard[away]))
+        word_at = np.concatenate((np.arange(len(self.words)), word[away]))
         by_word, by_pair = np.lexsort((word_at, word_to)), np.argsort(to, kind="stable")
         cut_w = np.searchsorted(word_to[by_word], np.arange(shards + 1))
         cut_p = np.searchsorted(to[by_pair], np.arange(shards + 1))
@@ -115,7 +116,7 @@ def _one(table: pa.Table, name: str) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def _read(blob: bytes) -> list[np.ndarray]:
+def _read(blob: bytes | pa.Buffer) -> list[np.ndarray]:
     """(words, their numbers of pairs, their counts, the pairs' words, the pairs' counts) of what one split asks."""
     n, m, large = np.frombuffer(blob, "<i8", 3).tolist()
     out, at = [], 24
@@ -123,8 +124,10 @@ def _read(blob: bytes) -> list[np.ndarray]:
         out.append(np.frombuffer(blob, kind, k, at))
         at += out[-1].nbytes
     place, many = out[5:]
-    counts = out[4].astype(np.int64)
-    counts[place] = many
+    counts = out[4]
+    if large:
+        counts = counts.astype(np.int64 if many.max() >= 1 << 31 else np.int32)
+        counts[place] = many
     return [*out[:4], counts]
 
 
@@ -137,9 +140,8 @@ def _answer(shards: int, hot: tuple[np.ndarray, np.ndarray], discount: float):
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        splits, asked = _one(table, "split"), [_read(x.as_buffer().to_pybytes()) for x in _one(table, "asked")]
+        splits, asked = _one(table, "split"), [_read(x.as_buffer()) for x in _one(table, "asked")]
         words, sizes, counts, pair_words, pair_counts = (np.concatenate(x) for x in zip(*asked))
-        owners = np.repeat(words, sizes)
         known, at = np.unique(words, return_inverse=True)
         count = np.zeros(len(known), np.int64)
         np.add.at(count, at, counts)
@@ -148,12 +150,16 @@ def _answer(shards: int, hot: tuple[np.ndarray, np.ndarray], discount: float):
         sums = [own.sum(), len(own), (own == 1).sum(), (own == 2).sum()]
         # the trie: distinct trained pairs by context and word
         use = pair_counts > 0
-        order = np.lexsort((pair_words[use], owners[use]))
-        b, c, n = owners[use][order], pair_words[use][order], pair_counts[use][order]
+        b, c, n = np.repeat(at.astype(np.int32), sizes)[use], pair_words[use], pair_counts[use]
+        del pair_words, pair_counts, use
+        order = np.lexsort((c, b))
+        b, c, n = b[order], c[order], n[order]
+        del order
         first = np.flatnonzero(np.concatenate((b[:1] == b[:1], (b[1:] != b[:-1]) | (c[1:] != c[:-1]))))
-        n = np.add.reduceat(n, first) if len(first) else n
+        n = np.add.reduceat(n, first, dtype=np.int64) if len(first) else n
         b, c = b[first], c[first]
         contexts, size = np.unique(b, return_counts=True)
+        contexts = known[contexts]
         codes = np.clip(np.ceil((MOST - np.log10(np.maximum(n - discount, 1e-30))) * STEPS), 0, ABSENT - 1)
         handle, path = tempfile.mkstemp(suffix=".trie")
         os.close(handle)
