@@ -339,7 +339,7 @@ def sweep_cohort(spark, sf_dir):
     """Median within-trial spread over the trials that every variant answers."""
     d = variants_in_rows(spark, sf_dir).select(F.transform("v", lambda x: x["value"]).alias("v")).where(~F.exists("v", lambda x: x.isNull()))
     d = d.select(F.array_max("v") - F.array_min("v"), A.median(F.col("v"))).toDF("s", "md")
-    both = d.select(F.inline(F.array(*[F.struct(F.lit(x).alias("what"), F.col(x).alias("x")) for x in ("s", "md")])))
+    both = store.written(d.select(F.inline(F.array(*[F.struct(F.lit(x).alias("what"), F.col(x).alias("x")) for x in ("s", "md")]))), "spreads")
     both = both.groupBy("what").agg(F.count("*").alias("n")).join(C.exact_quantiles(both, "what", "x", {"m": 0.5}), "what")
     of = lambda what: F.max(F.when(F.col("what") == what, F.col("m")))
     return both.agg(F.coalesce(F.max("n"), F.lit(0)).alias("complete_trials"), F.round(of("s"), 6).alias("median_spread"), F.round(100 * of("s") / of("md"), 4).alias("percent_of_median"))
@@ -363,7 +363,7 @@ def rule_correlations(spark, sf_dir):
 def failure_rates(spark, sf_dir):
     """Per rule: failures, values over a limit, and the upper tail."""
     over = F.count(F.when(F.col("value") > 0.3, 1))
-    d = variants(spark, sf_dir)
+    d = store.written(variants(spark, sf_dir).select("rule", "value"), "variants")
     q = C.exact_quantiles(d, "rule", "value", {"median": 0.5, "p95": 0.95})
     found = d.groupBy("rule").agg(
         F.count("*").alias("trials"),

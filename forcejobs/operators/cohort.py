@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+
 #: Trials that each rule takes, and the least number a group must hold for it.
 RULES = {"best_of_n_by_peak_force": (1, 1), "mean_of_best_three_of_at_least_five": (3, 5), "mean_of_best_two": (2, 2)}
 
@@ -197,7 +199,7 @@ def exact_quantiles(d: DataFrame, group: str, value: str, shares: dict[str, floa
     the distinct values of the bins that hold a wanted rank are then put in order, so that no task holds a group.
     Nulls are left out; a group without values is absent.
     """
-    rows = d.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    rows = written(d.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")), "values")
     ends = rows.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
     at = F.least(F.floor(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")) * bins), F.lit(bins - 1))
     binned = rows.join(F.broadcast(ends), "g").select("g", "n", "v", F.coalesce(at, F.lit(0)).cast("int").alias("bin"))
