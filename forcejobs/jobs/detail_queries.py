@@ -251,3 +251,52 @@ def suffix_walk(spark, sf_dir):
     name = F.when(k % 13 == 0, F.concat(F.lit("notes_"), k, F.lit(".csv"))).when(k % 5 == 0, F.concat(F.lit("T"), k, F.lit(".txt"))).otherwise(F.concat(F.lit("T"), k, F.lit(".force.txt")))
     suffix, stem = files.longest_suffix(name, [".txt", ".force.txt"])
     return d.select("trial_id", suffix.alias("suffix"), stem.alias("stem"))
+
+
+@query(
+    "propulsion_split",
+    BASE
+    + TOPS
+    + ZERO
+    + """, fa AS (SELECT trial_id, min(idx) AS fall FROM m JOIN tp USING (trial_id) WHERE idx BETWEEN top AND takeoff AND f <= w GROUP BY trial_id),
+sp AS (SELECT e.trial_id, e.zero, e.takeoff, e.zero + (e.takeoff - e.zero) // 2 AS half, CASE WHEN fall > e.top THEN fall END AS fall FROM e LEFT JOIN fa USING (trial_id))
+SELECT trial_id, CASE WHEN half > zero AND half < takeoff THEN half END AS by_time, CASE WHEN fall > zero AND fall < takeoff THEN fall END AS by_force, coalesce(fall <= zero OR fall >= takeoff, false) AS force_refused FROM sp""",
+)
+def propulsion_split(spark, sf_dir):
+    """Propulsion parted in two by time and by force falling through the weight; a part on or outside its ends is refused."""
+    d = moving(spark, sf_dir).where(c.ordered)
+    d = d.withColumns({"zero": P.velocity_crossing(F.col("velocity"), c.onset, c.takeoff), "top": A.argmax(c.force, c.onset, c.takeoff)}).where("zero IS NOT NULL")
+    d = d.withColumns({"half": F.col("zero") + F.floor((c.takeoff - F.col("zero")) / 2).cast("int"), "fall": P.falling_crossing(c.force, c.weight, F.col("top"), c.takeoff)})
+    inside = lambda x: (F.col(x) > F.col("zero")) & (F.col(x) < c.takeoff)
+    return d.select("trial_id", F.when(inside("half"), F.col("half")).alias("by_time"), F.when(inside("fall"), F.col("fall")).alias("by_force"), F.coalesce(~inside("fall"), F.lit(False)).alias("force_refused"))
+
+
+@query(
+    "velocity_anchors",
+    BASE
+    + """, a AS (SELECT trial_id, max(v) FILTER (idx = takeoff - 1) AS last, max(v) FILTER (idx = onset) AS first, max(v) FILTER (idx = onset + 10) AS mid, any_value(takeoff - 1 - onset) AS span FROM k WHERE onset < takeoff GROUP BY trial_id)
+SELECT trial_id, round(last - mid, 6) AS single_point, round(last - mid + 0.1e0, 6) AS stated_value, round(mid - first - (last - first) * 10 / span, 6) AS two_point FROM a WHERE mid IS NOT NULL AND span > 10""",
+)
+def velocity_anchors(spark, sf_dir):
+    """Takeoff velocity anchored at zero or at a stated value ten samples after onset, and there with a line between both ends taken out."""
+    d = moving(spark, sf_dir).where(c.ordered & (c.last - c.onset > 10))
+    v = lambda i: A.at(F.col("velocity"), i)
+    first, mid, last = v(c.onset), v(c.onset + 10), v(c.last)
+    return d.select("trial_id", *rounded(single_point=last - mid, stated_value=last - mid + 0.1, two_point=mid - first - (last - first) * 10 / (c.last - c.onset)))
+
+
+@query(
+    "registration_coverage",
+    BASE
+    + """, lv AS (SELECT trial_id, min(f) AS lf, any_value(onset) AS onset, any_value(takeoff) AS takeoff FROM m WHERE onset < takeoff AND idx >= onset AND idx < takeoff GROUP BY trial_id),
+la AS (SELECT trial_id, min(idx) - any_value(lv.onset) AS place, any_value(lv.takeoff - lv.onset) AS n FROM m JOIN lv USING (trial_id) WHERE idx >= lv.onset AND idx < lv.takeoff AND f = lf GROUP BY trial_id)
+SELECT count(*) AS curves, count(*) FILTER (place > 0 AND place < n - 1) AS with_landmark, count(*) FILTER (NOT (place > 0 AND place < n - 1)) AS without_landmark, round(avg(place / (n - 1)::DOUBLE) FILTER (place > 0 AND place < n - 1), 6) AS mean_place FROM la""",
+)
+def registration_coverage(spark, sf_dir):
+    """How many movements have the landmark that a registration needs inside them, and its mean relative place."""
+    d = placed(spark, sf_dir).where(c.ordered).select((A.argmin(c.force, c.onset, c.takeoff) - c.onset).alias("at"), (c.takeoff - c.onset).alias("n"))
+    held = (F.col("at") > 0) & (F.col("at") < F.col("n") - 1)
+    return d.agg(
+        F.count("*").alias("curves"), F.count(F.when(held, 1)).alias("with_landmark"), F.count(F.when(~held, 1)).alias("without_landmark"),
+        F.round(F.avg(F.when(held, F.col("at") / (F.col("n") - 1))), 6).alias("mean_place"),
+    )
