@@ -12,6 +12,7 @@ from .language_id import identify_language
 from .line_crf import score_quality
 from .ngram_lm import score_texts
 from .packing import pack_documents
+from .periodic_runs import digests, find_runs, made_periodic
 from .piece_sampling import sample_pieces
 from .quality_rules import quality_rules
 from .rp_forest import embedding_groups
@@ -100,6 +101,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_examples(turns.unionByName(more)))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(find_runs(docs.withColumn("text", made_periodic(F.col("doc_id"), F.col("text")))))
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -112,6 +118,7 @@ def queries() -> dict:
         "op8_simhash": op8_simhash,
         "op9_sharding": op9_sharding,
         "op10_chat_format": op10_chat_format,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
