@@ -9,6 +9,7 @@ from . import chat_format
 from .common import crc_mod
 from .language_id import held_out as language_fold
 from .language_id import identify_language
+from .license_scan import scan_licenses
 from .line_crf import score_quality
 from .ngram_lm import score_texts
 from .packing import pack_documents
@@ -106,6 +107,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_runs(docs.withColumn("text", made_periodic(F.col("doc_id"), F.col("text")))))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_t(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -119,6 +124,7 @@ def queries() -> dict:
         "op9_sharding": op9_sharding,
         "op10_chat_format": op10_chat_format,
         "op11_periodic_runs": op11_periodic_runs,
+        "op13_license_scan": op13_license_scan,
     }
 
 
