@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format
+from . import chat_format, conversation_repair
 from .common import crc_mod
 from .language_id import held_out as language_fold
 from .language_id import identify_language
@@ -107,6 +107,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_runs(docs.withColumn("text", made_periodic(F.col("doc_id"), F.col("text")))))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _t(spark, sf_dir, "conversations")
+    repair = conversation_repair.repair_conversations(conversation_repair.damaged(turns))
+    return conversation_repair.repair_digests(turns, repair)
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_t(spark, sf_dir, "documents"))
 
@@ -124,6 +130,7 @@ def queries() -> dict:
         "op9_sharding": op9_sharding,
         "op10_chat_format": op10_chat_format,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_license_scan": op13_license_scan,
     }
 
@@ -148,4 +155,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_embedding_dedup": EMBEDDING_SQL,
         "op10_chat_format": chat_format.ORACLE_SQL,
+        "op12_conversation_repair": conversation_repair.ORACLE_SQL,
     }
