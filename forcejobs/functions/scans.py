@@ -86,7 +86,7 @@ def steadiest_window(n: int):
     def run(force: pd.Series) -> pd.DataFrame:
         rows = []
         for a in force:
-            a = np.asarray(a, float)
+            a = np.asarray([] if a is None else a, float)
             if len(a) < n:
                 rows.append((None, None, 0, 0, 0, None, None))
                 continue

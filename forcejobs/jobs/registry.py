@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cohort_queries, detail_queries, model_queries, phase_queries, run_queries, trial_queries, wave_queries
+from . import batch_queries, cohort_queries, detail_queries, model_queries, phase_queries, run_queries, trial_queries, wave_queries
 
-MODULES = (trial_queries, phase_queries, model_queries, cohort_queries, run_queries, detail_queries, wave_queries)
+MODULES = (trial_queries, phase_queries, model_queries, cohort_queries, run_queries, detail_queries, wave_queries, batch_queries)
 
 
 def queries() -> dict:

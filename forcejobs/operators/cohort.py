@@ -218,3 +218,27 @@ def exact_quantiles(d: DataFrame, group: str, value: str, shares: dict[str, floa
     value_at = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("w.r") - F.col("a.rank"))
     out = pairs.select("g", F.col("w.name").alias("name"), value_at.alias("q")).groupBy("g").pivot("name", list(shares)).agg(F.first("q"))
     return out.withColumnRenamed("g", group)
+
+
+def cv_with_rules(df: DataFrame, subject: str, value: str, dispersion: str) -> DataFrame:
+    """One row: cv_percent over the athletes with two values or more, and `rules`, what was counted and how (map of text)."""
+    spread = {"sample": F.stddev_samp, "population": F.stddev_pop}[dispersion]
+    d = df.select(F.col(subject).alias("who"), F.col(value).alias("x"))
+    per = d.groupBy("who").agg(spread("x").alias("s"), F.avg("x").alias("m"), F.count("x").alias("k")).where("k >= 2 AND m <> 0")
+    rules = {"construct": "coefficient_of_variation", "quantity": value, "dispersion": dispersion, "unit": subject}
+    return per.agg(F.avg(100 * F.col("s") / F.col("m")).alias("cv_percent"), F.count("*").alias("subjects")).withColumn(
+        "rules", F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
+    )
+
+
+def cv_difference(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Difference of two rows of cv_with_rules(): null with status unlike_conventions where their rules count unlike."""
+    a, b = (d.select(F.col("cv_percent").alias(f"{n}_cv"), F.col("rules").alias(f"{n}_rules")) for n, d in (("first", first), ("second", second)))
+    told = lambda n: F.col(f"{n}_rules")["dispersion"]
+    alike = told("first").eqNullSafe(told("second")) & F.col("first_rules")["unit"].eqNullSafe(F.col("second_rules")["unit"])
+    return a.join(b).select(
+        told("first").alias("first_dispersion"),
+        told("second").alias("second_dispersion"),
+        F.when(alike, F.col("first_cv") - F.col("second_cv")).alias("difference"),
+        F.when(alike, "ok").otherwise("unlike_conventions").alias("status"),
+    )
