@@ -13,7 +13,7 @@ from ..operators import landmarks as L
 from ..operators import phases as P
 from ..operators import quantities as Q
 from ..sources import store
-from .trial_queries import BASE, RESULTS_SQL, moving, placed, results_frame, rounded, sql_rounded
+from .trial_queries import BASE, RESULTS_SQL, answerable, moving, needs, placed, results_frame, rounded, sql_rounded, whole, whole_sql
 
 G = L.GRAVITY
 QUERIES: dict = {}
@@ -47,13 +47,15 @@ SELECT trial_id, vmin AS braking_start_velocity, CASE WHEN r < fmax THEN r END A
   vmax AS propulsion_end_velocity, CASE WHEN fall > fmax THEN fall END AS propulsion_end_force, zero_v + (takeoff - zero_v) // 2 AS propulsion_middle
 FROM ex JOIN ix USING (trial_id) LEFT JOIN fm USING (trial_id) LEFT JOIN ri USING (trial_id) LEFT JOIN fa USING (trial_id) LEFT JOIN vc USING (trial_id)""",
 )
+@whole
 def phase_boundaries(spark, sf_dir):
     """Starts and ends of braking and propulsion by each rule."""
     v = F.col("velocity")
-    d = moving(spark, sf_dir).where(c.ordered)
+    d = moving(spark, sf_dir).transform(answerable)
     d = d.withColumns({"top": A.argmax(c.force, c.onset, c.takeoff), "zero": P.velocity_crossing(v, c.onset, c.takeoff), "slow": P.velocity_crossing(v, c.onset, c.takeoff, 0.01)})
     return d.select(
         "trial_id",
+        "code",
         A.argmin(v, c.onset, c.takeoff).alias("braking_start_velocity"),
         P.rising_crossing(c.force, c.weight, c.onset, F.col("top")).alias("braking_start_force"),
         A.argmin(c.force, c.onset, F.col("top")).alias("braking_start_min_force"),
@@ -78,15 +80,17 @@ bd AS (SELECT trial_id, idx, min(f) OVER z >= 0.95e0 * w AND max(f) OVER z <= 1.
 sb AS (SELECT trial_id, min(idx) + 1 AS stable FROM bd WHERE idx >= touchdown AND ok AND c = 2 GROUP BY trial_id)
 SELECT lm.trial_id, landing_end, impact_peak, round((stable - touchdown) / 100e0, 6) AS seconds_to_stability FROM lm LEFT JOIN le USING (trial_id) LEFT JOIN lp USING (trial_id) LEFT JOIN sb USING (trial_id) WHERE touchdown IS NOT NULL AND onset < takeoff""",
 )
+@whole
 def landing_phases(spark, sf_dir):
     """End of landing (velocity back at zero from minus the takeoff velocity), impact peak, and time to stability."""
     from ..functions.scans import integrated
 
-    d = moving(spark, sf_dir).where(c.ordered & c.touchdown.isNotNull())
+    d = moving(spark, sf_dir).transform(answerable).transform(needs("touchdown"))
     d = d.withColumn("landing", integrated()(Q.acceleration(), c.touchdown, c.dt))
     d = d.withColumn("landing_end", T.find(F.col("landing"), ">=", A.at(F.col("velocity"), c.last), c.touchdown))
     return d.select(
         "trial_id",
+        "code",
         "landing_end",
         A.argmax(c.force, c.touchdown, F.col("landing_end")).alias("impact_peak"),
         *rounded(seconds_to_stability=(P.stabilised(c.force, c.weight, c.touchdown, 2) - c.touchdown) * c.dt),
@@ -477,3 +481,5 @@ def paired_rules(spark, sf_dir):
     return d.select("trial_id", F.col("k5_back3").isNotNull().alias("first_given"), F.round("k5_back3", 6).alias("first_value"), F.round("k8_back0", 6).alias("second_value"))
 
 
+for _name in ("phase_boundaries", "landing_phases"):
+    ORACLES[_name] = whole_sql(ORACLES[_name])

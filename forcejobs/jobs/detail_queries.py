@@ -16,7 +16,7 @@ from ..sources.trials import SAMPLES_CTE, trials
 from .cohort_queries import GATES_SQL, LONG, RANKED_SQL, VARIANTS_SQL, gate_rows, ranked, variants_in_rows
 from .phase_queries import TOPS, ZERO
 from .run_queries import NAME
-from .trial_queries import BASE, RESULTS_SQL, RUNS, moving, placed, results_frame, rounded
+from .trial_queries import BASE, RESULTS_SQL, RUNS, answerable, moving, needs, placed, results_frame, rounded, whole, whole_sql
 
 G = L.GRAVITY
 QUERIES: dict = {}
@@ -55,11 +55,12 @@ sx AS (SELECT trial_id, min(idx) AS steep FROM c2 JOIN st USING (trial_id) WHERE
 rm AS (SELECT trial_id, idx, g, steep, max(g) OVER (PARTITION BY trial_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS top FROM sm JOIN sx USING (trial_id) WHERE idx >= steep)
 SELECT sx.trial_id, steep AS steepest, dropoff FROM sx LEFT JOIN (SELECT trial_id, min(idx) AS dropoff FROM rm WHERE idx > steep AND g < 0.95e0 * top GROUP BY trial_id) USING (trial_id)""",
 )
+@whole
 def dropoff_smoothed(spark, sf_dir):
     """End of the window where force, smoothed over 100 ms, is under 95 % of its running maximum since the steepest rise."""
-    d = placed(spark, sf_dir).where(c.ordered)
+    d = placed(spark, sf_dir).transform(answerable)
     d = d.withColumns({"steepest": T.steepest(c.force, 2, c.onset, c.takeoff)["start"], "smooth": T.moving_average(c.force, 10)})
-    return d.select("trial_id", "steepest", P.dropoff(F.col("smooth"), F.col("steepest")).alias("dropoff"))
+    return d.select("trial_id", "code", "steepest", P.dropoff(F.col("smooth"), F.col("steepest")).alias("dropoff"))
 
 
 @query(
@@ -73,14 +74,15 @@ sa AS (SELECT trial_id, min(idx) AS crest FROM nl JOIN zv USING (trial_id) JOIN
 sb AS (SELECT trial_id, min(idx) AS dip FROM nl JOIN sa USING (trial_id) JOIN lm USING (trial_id) WHERE idx > crest AND idx < n AND v < pv AND NOT coalesce(nv < v, false) GROUP BY trial_id)
 SELECT trial_id, 120 AS stated_start, CASE WHEN fall > e.top THEN fall END AS end_at_no_force, CASE WHEN dip IS NOT NULL THEN crest END AS sticking_start, dip AS sticking_stop FROM e LEFT JOIN fz USING (trial_id) LEFT JOIN sa USING (trial_id) LEFT JOIN sb USING (trial_id)""",
 )
+@whole
 def lift_ends(spark, sf_dir):
     """A lift from a stated start to where force is gone, shortly past takeoff; and the sticking region of velocity after it turns upward."""
     v = F.col("velocity")
-    d = moving(spark, sf_dir).where(c.ordered)
-    d = d.withColumns({"zero": P.velocity_crossing(v, c.onset, c.takeoff), "top": A.argmax(c.force, c.onset, c.takeoff)}).where("zero IS NOT NULL")
+    d = moving(spark, sf_dir).transform(answerable)
+    d = d.withColumns({"zero": P.velocity_crossing(v, c.onset, c.takeoff), "top": A.argmax(c.force, c.onset, c.takeoff)}).transform(needs("zero"))
     d = d.withColumn("st", P.sticking_region(v, F.col("zero"), F.size(v)))
     fall = T.find(c.force, "<=", 0.0, F.col("top"), F.least(c.takeoff + 6, F.size(c.force)))
-    return d.select("trial_id", F.lit(120).alias("stated_start"), F.when(fall > F.col("top"), fall).alias("end_at_no_force"), F.col("st.start").alias("sticking_start"), F.col("st.stop").alias("sticking_stop"))
+    return d.select("trial_id", "code", F.lit(120).alias("stated_start"), F.when(fall > F.col("top"), fall).alias("end_at_no_force"), F.col("st.start").alias("sticking_start"), F.col("st.stop").alias("sticking_stop"))
 
 
 @query(
@@ -262,13 +264,14 @@ def suffix_walk(spark, sf_dir):
 sp AS (SELECT e.trial_id, e.zero, e.takeoff, e.zero + (e.takeoff - e.zero) // 2 AS half, CASE WHEN fall > e.top THEN fall END AS fall FROM e LEFT JOIN fa USING (trial_id))
 SELECT trial_id, CASE WHEN half > zero AND half < takeoff THEN half END AS by_time, CASE WHEN fall > zero AND fall < takeoff THEN fall END AS by_force, coalesce(fall <= zero OR fall >= takeoff, false) AS force_refused FROM sp""",
 )
+@whole
 def propulsion_split(spark, sf_dir):
     """Propulsion parted in two by time and by force falling through the weight; a part on or outside its ends is refused."""
-    d = moving(spark, sf_dir).where(c.ordered)
-    d = d.withColumns({"zero": P.velocity_crossing(F.col("velocity"), c.onset, c.takeoff), "top": A.argmax(c.force, c.onset, c.takeoff)}).where("zero IS NOT NULL")
+    d = moving(spark, sf_dir).transform(answerable)
+    d = d.withColumns({"zero": P.velocity_crossing(F.col("velocity"), c.onset, c.takeoff), "top": A.argmax(c.force, c.onset, c.takeoff)}).transform(needs("zero"))
     d = d.withColumns({"half": F.col("zero") + F.floor((c.takeoff - F.col("zero")) / 2).cast("int"), "fall": P.falling_crossing(c.force, c.weight, F.col("top"), c.takeoff)})
     inside = lambda x: (F.col(x) > F.col("zero")) & (F.col(x) < c.takeoff)
-    return d.select("trial_id", F.when(inside("half"), F.col("half")).alias("by_time"), F.when(inside("fall"), F.col("fall")).alias("by_force"), F.coalesce(~inside("fall"), F.lit(False)).alias("force_refused"))
+    return d.select("trial_id", "code", F.when(inside("half"), F.col("half")).alias("by_time"), F.when(inside("fall"), F.col("fall")).alias("by_force"), F.coalesce(~inside("fall"), F.lit(False)).alias("force_refused"))
 
 
 @query(
@@ -277,12 +280,13 @@ def propulsion_split(spark, sf_dir):
     + """, a AS (SELECT trial_id, max(v) FILTER (idx = takeoff - 1) AS last, max(v) FILTER (idx = onset) AS first, max(v) FILTER (idx = onset + 10) AS mid, any_value(takeoff - 1 - onset) AS span FROM k WHERE onset < takeoff GROUP BY trial_id)
 SELECT trial_id, round(last - mid, 6) AS single_point, round(last - mid + 0.1e0, 6) AS stated_value, round(mid - first - (last - first) * 10 / span, 6) AS two_point FROM a WHERE mid IS NOT NULL AND span > 10""",
 )
+@whole
 def velocity_anchors(spark, sf_dir):
     """Takeoff velocity anchored at zero or at a stated value ten samples after onset, and there with a line between both ends taken out."""
-    d = moving(spark, sf_dir).where(c.ordered & (c.last - c.onset > 10))
+    d = moving(spark, sf_dir).transform(answerable).transform(needs(F.when(c.last - c.onset > 10, 1)))
     v = lambda i: A.at(F.col("velocity"), i)
     first, mid, last = v(c.onset), v(c.onset + 10), v(c.last)
-    return d.select("trial_id", *rounded(single_point=last - mid, stated_value=last - mid + 0.1, two_point=mid - first - (last - first) * 10 / (c.last - c.onset)))
+    return d.select("trial_id", "code", *rounded(single_point=last - mid, stated_value=last - mid + 0.1, two_point=mid - first - (last - first) * 10 / (c.last - c.onset)))
 
 
 @query(
@@ -300,3 +304,7 @@ def registration_coverage(spark, sf_dir):
         F.count("*").alias("curves"), F.count(F.when(held, 1)).alias("with_landmark"), F.count(F.when(~held, 1)).alias("without_landmark"),
         F.round(F.avg(F.when(held, F.col("at") / (F.col("n") - 1))), 6).alias("mean_place"),
     )
+
+
+for _name in ("dropoff_smoothed", "lift_ends", "propulsion_split", "velocity_anchors"):
+    ORACLES[_name] = whole_sql(ORACLES[_name])

@@ -12,7 +12,7 @@ from ..operators import landmarks as L
 from ..operators import phases as P
 from ..operators import quantities as Q
 from .phase_queries import TOPS, ZERO
-from .trial_queries import BASE, RESULTS_SQL, moving, placed, results_frame, rounded, sql_rounded
+from .trial_queries import BASE, RESULTS_SQL, answerable, moving, placed, results_frame, rounded, sql_rounded, whole, whole_sql
 
 G = L.GRAVITY
 QUERIES: dict = {}
@@ -54,13 +54,14 @@ SELECT lm.trial_id, CASE WHEN back < top THEN dep END AS single_start, CASE WHEN
 FROM lm LEFT JOIN sd USING (trial_id) LEFT JOIN se USING (trial_id) LEFT JOIN tp USING (trial_id) LEFT JOIN un USING (trial_id) LEFT JOIN um USING (trial_id) LEFT JOIN wm USING (trial_id) LEFT JOIN wz USING (trial_id) LEFT JOIN zv USING (trial_id) LEFT JOIN ag USING (trial_id)
 WHERE lm.onset < lm.takeoff""",
 )
+@whole
 def phase_models(spark, sf_dir):
     """Boundaries of each phase model: one unweighting phase, the five-part split, downward and upward, a fixed epoch.
 
     A model is placed whole or not at all. acceleration_start is the first sample of the way up without a fall freer than -g.
     """
     v = F.col("velocity")
-    d = moving(spark, sf_dir).where(c.ordered)
+    d = moving(spark, sf_dir).transform(answerable)
     d = d.withColumns({"top": A.argmax(c.force, c.onset, c.takeoff), "zero": P.velocity_crossing(v, c.onset, c.takeoff)})
     d = d.withColumns({"dep": T.find(c.force, "<", c.weight, c.onset, F.col("top")), "un": T.find(c.force, "<", 0.975 * c.weight, c.onset, c.takeoff)})
     d = d.withColumns({"back": P.rising_crossing(c.force, c.weight, F.col("dep"), F.col("top")), "least": A.argmin(c.force, F.col("un"), F.col("top"))})
@@ -69,6 +70,7 @@ def phase_models(spark, sf_dir):
     whole = lambda x: F.when(F.col("rising").isNotNull(), x)
     return d.select(
         "trial_id",
+        "code",
         F.when(F.col("back").isNotNull(), F.col("dep")).alias("single_start"),
         F.col("back").alias("single_end"),
         whole(F.col("un")).alias("split_unloading"),
@@ -193,7 +195,7 @@ hq AS (SELECT trial_id, min(idx) AS later FROM z JOIN lp USING (trial_id) WHERE
 ip AS (SELECT trial_id, later - 1 + (0.8e0 * hf - pf) / (f - pf) AS pos FROM z JOIN hq USING (trial_id) JOIN lp USING (trial_id) WHERE idx = later AND later > onset + 20),
 cd AS (SELECT trial_id, max((nf - pf) / 0.02e0) FILTER (idx = floor(pos)) AS d0, max((nf - pf) / 0.02e0) FILTER (idx = floor(pos) + 1) AS d1, any_value(pos - floor(pos)) AS fr FROM z JOIN ip USING (trial_id) GROUP BY trial_id),
 rv AS (SELECT trial_id, max(v) FILTER (idx = takeoff) AS ramp FROM z GROUP BY trial_id),
-st AS (SELECT trial_id, avg(f) AS w2 FROM m WHERE idx >= n - 20 GROUP BY trial_id),
+st AS (SELECT trial_id, nullif(avg(f), 0) AS w2 FROM m WHERE idx >= n - 20 GROUP BY trial_id),
 av AS (SELECT trial_id, idx, n, takeoff, sum(CASE WHEN idx > 100 THEN 0.005e0 * ((f - w2) + (pf - w2)) / (w2 / """
     + str(G)
     + """) ELSE 0e0 END) OVER (PARTITION BY trial_id ORDER BY idx) AS av FROM (SELECT *, lag(f) OVER (PARTITION BY trial_id ORDER BY idx) AS pf FROM m) JOIN st USING (trial_id) WHERE onset < takeoff),
@@ -206,19 +208,20 @@ SELECT trial_id, """
         impulse_to_half_peak="CASE WHEN half > q.onset THEN 0.01e0 * imp ELSE 0 END",
         rfd_at_share_of_peak="d0 + (d1 - d0) * fr",
         velocity_at_takeoff="ramp",
-        arrival_velocity="0 - standing",
-        height_from_arrival=f"CASE WHEN at_takeoff - standing > 0 THEN (at_takeoff - standing) ** 2 / (2 * {G}) END",
+        arrival_velocity="CASE WHEN q.touchdown IS NOT NULL THEN 0 - standing END",
+        height_from_arrival=f"CASE WHEN q.touchdown IS NOT NULL AND at_takeoff - standing > 0 THEN (at_takeoff - standing) ** 2 / (2 * {G}) END",
         mass_scaled_threshold="250e0 * (system_mass / 87.5e0) ** 0.667e0",
     )
-    + " FROM q JOIN l2 USING (trial_id) LEFT JOIN hp USING (trial_id) LEFT JOIN lt USING (trial_id) LEFT JOIN ht USING (trial_id) LEFT JOIN hi USING (trial_id) LEFT JOIN cd USING (trial_id) LEFT JOIN rv USING (trial_id) LEFT JOIN am USING (trial_id) WHERE q.onset < q.takeoff AND q.n > 240",
+    + " FROM q JOIN l2 USING (trial_id) LEFT JOIN hp USING (trial_id) LEFT JOIN lt USING (trial_id) LEFT JOIN ht USING (trial_id) LEFT JOIN hi USING (trial_id) LEFT JOIN cd USING (trial_id) LEFT JOIN rv USING (trial_id) LEFT JOIN am USING (trial_id) WHERE q.onset < q.takeoff",
 )
+@whole
 def further_quantities(spark, sf_dir):
     """Reactive strength by flight time, rate of power from trough to peak, impulse and rate at a share of peak force.
 
     Also velocity at takeoff by the impulse up to it, and a height whose velocity is put right by the standing after landing
     (the last 20 samples, which give weight too; integration starts at sample 100).
     """
-    d = Q.with_motion(results_frame(spark, sf_dir)).where(c.ordered & (F.size("force") > 240))
+    d = Q.with_motion(results_frame(spark, sf_dir)).transform(answerable)
     n, peak = F.size("force"), F.array_max(A.between(c.force, c.onset, c.takeoff + 1))
     d = d.withColumn("power", F.zip_with("force", "velocity", lambda f, v: f * v)).withColumn("hf", peak)
     d = d.withColumns(
@@ -229,13 +232,14 @@ def further_quantities(spark, sf_dir):
             "w2": T.level(c.force, n - 20, n)["level"],
         }
     )
-    w2 = F.col("w2")
+    w2 = F.when(c.touchdown.isNotNull() & (F.col("w2") > 0), F.col("w2"))
     d = d.withColumn("av", integrated()(F.transform("force", lambda x: (x - w2) / (w2 / G)), F.lit(100), c.dt))
     d = d.withColumn("standing", A.mean(A.between(F.col("av"), n - 20, n)))
     v0 = A.at(F.col("av"), c.takeoff) - F.col("standing")
     climb = A.at(F.col("power"), F.col("tp.high")) - A.at(F.col("power"), F.col("tp.low"))
     return d.select(
         "trial_id",
+        "code",
         *rounded(
             rsi_flight=F.col("height_flight") / F.col("time_to_takeoff"),
             flight_over_contraction=F.col("flight_time") / F.col("time_to_takeoff"),
@@ -243,8 +247,12 @@ def further_quantities(spark, sf_dir):
             impulse_to_half_peak=Q.impulse(c.force, c.onset, F.col("half"), c.weight),
             rfd_at_share_of_peak=F.when(F.col("share") > c.onset + 20, Q.centred_derivative(c.force, F.col("share"), c.dt)),
             velocity_at_takeoff=Q.impulse(c.force, c.onset, c.takeoff, c.weight) / (c.weight / G),
-            arrival_velocity=0 - F.col("standing"),
-            height_from_arrival=F.when(v0 > 0, v0 * v0 / (2 * G)),
+            arrival_velocity=F.when(c.touchdown.isNotNull(), 0 - F.col("standing")),
+            height_from_arrival=F.when(c.touchdown.isNotNull() & (v0 > 0), v0 * v0 / (2 * G)),
             mass_scaled_threshold=250.0 * F.pow(F.col("system_mass") / 87.5, F.lit(0.667)),
         ),
     )
+
+
+for _name in ("phase_models", "further_quantities"):
+    ORACLES[_name] = whole_sql(ORACLES[_name])

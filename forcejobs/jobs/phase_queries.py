@@ -9,7 +9,7 @@ from ..functions import cols as c
 from ..functions import traces as T
 from ..operators import landmarks as L
 from ..operators import phases as P
-from .trial_queries import BASE, moving, placed, rounded, sql_rounded
+from .trial_queries import BASE, answerable, moving, needs, placed, rounded, sql_rounded, whole, whole_sql
 
 G = L.GRAVITY
 QUERIES: dict = {}
@@ -72,13 +72,15 @@ fa AS (SELECT trial_id, min(idx) AS fall FROM m JOIN tp USING (trial_id) WHERE i
 hf AS (SELECT trial_id, min(idx) AS half FROM m JOIN hi USING (trial_id) WHERE idx BETWEEN onset AND takeoff AND f >= 0.5e0 * hf GROUP BY trial_id)
 SELECT trial_id, steep AS steepest, dropoff, CASE WHEN r < top THEN r END AS positive_start, CASE WHEN fall > top THEN fall END AS positive_end, half AS half_peak FROM sx LEFT JOIN dp USING (trial_id) LEFT JOIN tp USING (trial_id) LEFT JOIN ri USING (trial_id) LEFT JOIN fa USING (trial_id) LEFT JOIN hf USING (trial_id)""",
 )
+@whole
 def analysis_windows(spark, sf_dir):
     """Ends of the analysis window: drop-off from the running maximum, positive net impulse, half of peak force."""
-    d = placed(spark, sf_dir).where(c.ordered)
+    d = placed(spark, sf_dir).transform(answerable)
     d = d.withColumns({"steepest": T.steepest(c.force, 2, c.onset, c.takeoff)["start"], "top": A.argmax(c.force, c.onset, c.takeoff)})
     half = T.find(c.force, ">=", 0.5 * A.at(c.force, F.col("top")), c.onset, c.takeoff + 1)
     return d.select(
         "trial_id",
+        "code",
         "steepest",
         P.dropoff(c.force, F.col("steepest")).alias("dropoff"),
         P.rising_crossing(c.force, c.weight, c.onset, F.col("top")).alias("positive_start"),
@@ -93,10 +95,11 @@ def analysis_windows(spark, sf_dir):
     + """, n AS (SELECT trial_id, idx, f, onset, takeoff, lag(f) OVER y AS pf, lead(f) OVER y AS nf FROM m WHERE onset < takeoff WINDOW y AS (PARTITION BY trial_id ORDER BY idx))
 SELECT trial_id, count(*) FILTER (idx > onset AND idx < takeoff - 1 AND f > pf AND nf <= f) AS peaks, count(*) FILTER (idx > onset AND idx < takeoff - 1 AND f > pf AND nf <= f) > 3 AS fired FROM n GROUP BY trial_id""",
 )
+@whole
 def transient_peaks(spark, sf_dir):
     """Local peaks between onset and takeoff, and whether there are too many."""
-    d = placed(spark, sf_dir).where(c.ordered)
-    return d.select("trial_id", T.peaks(c.force, c.onset, c.takeoff).alias("peaks")).withColumn("fired", F.col("peaks") > 3)
+    d = placed(spark, sf_dir).transform(answerable)
+    return d.select("trial_id", "code", T.peaks(c.force, c.onset, c.takeoff).alias("peaks")).withColumn("fired", F.col("peaks") > 3)
 
 
 @query(
@@ -138,16 +141,18 @@ e AS (SELECT trial_id, any_value(zero) AS zero, any_value(takeoff) AS takeoff, a
     )
     + " FROM e",
 )
+@whole
 def push_off(spark, sf_dir):
     """Push-off index, rates over the propulsion phase, and peak velocity less a line between two anchors."""
     v, disp = F.col("velocity"), F.col("displacement")
-    d = moving(spark, sf_dir).where(c.ordered)
-    d = d.withColumns({"zero": P.velocity_crossing(v, c.onset, c.takeoff), "top": A.argmax(c.force, c.onset, c.takeoff)}).where("zero IS NOT NULL")
+    d = moving(spark, sf_dir).transform(answerable)
+    d = d.withColumns({"zero": P.velocity_crossing(v, c.onset, c.takeoff), "top": A.argmax(c.force, c.onset, c.takeoff)}).transform(needs("zero"))
     zero, top = F.col("zero"), F.col("top")
     vt, rise = A.at(v, c.last), A.at(disp, c.last) - A.at(disp, zero)
     leant = F.transform(v, lambda x, i: x - (i - c.onset) / (c.last - c.onset) * 0.1)
     return d.select(
         "trial_id",
+        "code",
         *rounded(
             push_off_index=F.when((rise > 0) & (vt > 0), vt * vt / (2 * G) / (rise / (vt / 2))),
             secant_rate=F.when(top != zero, F.try_divide(A.at(c.force, top) - A.at(c.force, zero), (top - zero) * c.dt)),
@@ -169,13 +174,19 @@ dm AS (SELECT trial_id, max(d) AS dm FROM k WHERE onset < takeoff AND idx >= ons
 dx AS (SELECT trial_id, min(idx) AS highest FROM k JOIN dm USING (trial_id) WHERE idx >= onset AND idx < takeoff AND d = dm GROUP BY trial_id)
 SELECT trial_id, zero AS lift_start, CASE WHEN fall > e.top THEN fall END AS lift_end_net_force, highest AS lift_end_displacement FROM e LEFT JOIN db USING (trial_id) LEFT JOIN dx USING (trial_id)""",
 )
+@whole
 def lift_phases(spark, sf_dir):
     """A lift from the velocity's zero crossing to where net force is gone (10 N of deadband), or to the highest place."""
-    d = moving(spark, sf_dir).where(c.ordered)
-    d = d.withColumns({"lift_start": P.velocity_crossing(F.col("velocity"), c.onset, c.takeoff), "top": A.argmax(c.force, c.onset, c.takeoff)}).where("lift_start IS NOT NULL")
+    d = moving(spark, sf_dir).transform(answerable)
+    d = d.withColumns({"lift_start": P.velocity_crossing(F.col("velocity"), c.onset, c.takeoff), "top": A.argmax(c.force, c.onset, c.takeoff)}).transform(needs("lift_start"))
     return d.select(
         "trial_id",
+        "code",
         "lift_start",
         P.falling_crossing(c.force, c.weight - 10, F.col("top"), c.takeoff).alias("lift_end_net_force"),
         A.argmax(F.col("displacement"), c.onset, c.takeoff).alias("lift_end_displacement"),
     )
+
+
+for _name in ("analysis_windows", "transient_peaks", "push_off", "lift_phases"):
+    ORACLES[_name] = whole_sql(ORACLES[_name])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,37 @@ def moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.with_motion(placed(spark, sf_dir))
 
 
+def answerable(d: DataFrame) -> DataFrame:
+    """Adds code, why a movement has no answer (null where it has one), and blanks onset and takeoff where it has none."""
+    code = F.when(c.takeoff.isNull(), "no_takeoff").when(c.onset.isNull() & (F.col("weight_sd") <= 0), "collapsed_band")
+    code = code.when(c.onset.isNull(), "no_onset").when(~c.ordered, "not_ordered")
+    d = d.withColumn("code", code)
+    return d.withColumns({x: F.when(F.col("code").isNull(), F.col(x)) for x in ("onset", "takeoff")})
+
+
+def needs(column: str | Column):
+    """For transform(): a trial without the column gets the code no_answer, unless it has another."""
+    found = F.col(column) if isinstance(column, str) else column
+    return lambda d: d.withColumn("code", F.coalesce("code", F.when(found.isNull(), "no_answer")))
+
+
+def whole(f):
+    """A query of one row for every trial: where its code tells that there is no answer, every other column is null."""
+
+    @functools.wraps(f)
+    def run(spark, sf_dir):
+        d = f(spark, sf_dir)
+        return d.select(*[x if x in ("trial_id", "code") else F.when(F.col("code").isNull(), F.col(x)).alias(x) for x in d.columns])
+
+    return run
+
+
+def whole_sql(sql: str) -> str:
+    """The same for the checking SQL: trials that it leaves out come back with a code."""
+    code = "CASE WHEN lm.takeoff IS NULL THEN 'no_takeoff' WHEN lm.onset IS NULL AND lm.sd <= 0 THEN 'collapsed_band' WHEN lm.onset IS NULL THEN 'no_onset' WHEN NOT lm.onset < lm.takeoff THEN 'not_ordered' WHEN z.trial_id IS NULL THEN 'no_answer' END"
+    return f"{BASE} SELECT lm.trial_id, {code} AS code, z.* EXCLUDE (trial_id) FROM lm LEFT JOIN ({sql}) z ON z.trial_id = lm.trial_id"
+
+
 def rounded(**cols: Column) -> list[Column]:
     return [F.round(c, 6).alias(name) for name, c in cols.items()]
 
@@ -269,9 +302,10 @@ SELECT trial_id, """
     )
     + " FROM e",
 )
+@whole
 def jump_heights(spark, sf_dir):
     """Jump height by every rule, metres. Ankle shift, box and segment lengths are stated parameters."""
-    d = moving(spark, sf_dir).where(c.ordered)
+    d = moving(spark, sf_dir).transform(answerable)
     v, disp, ft = A.at(F.col("velocity"), c.last), F.col("displacement"), (c.touchdown - c.takeoff) * c.dt
     drop = v - F.sqrt(F.lit(2 * G * 0.01))
     work = T.area(F.col("net_power"), 0.0, c.onset, c.last, c.dt)
@@ -279,6 +313,7 @@ def jump_heights(spark, sf_dir):
     flight = G * ft * ft / 8
     return d.select(
         "trial_id",
+        "code",
         *rounded(
             peak_velocity=F.pow(F.array_max("velocity"), F.lit(2)) / (2 * G),
             work_energy=work / c.weight,
@@ -326,15 +361,17 @@ SELECT trial_id, """
     )
     + " FROM pk LEFT JOIN pa USING (trial_id) LEFT JOIN cd USING (trial_id) LEFT JOIN ip USING (trial_id) LEFT JOIN il USING (trial_id)",
 )
+@whole
 def force_and_rates(spark, sf_dir):
     """Peak forces, force and impulse at 200 ms, rates of force development by every rule."""
-    d = placed(spark, sf_dir).where(c.ordered)
+    d = placed(spark, sf_dir).transform(answerable)
     peak = F.array_max(A.between(c.force, c.onset, c.takeoff + 1))
     f = lambda i: A.at(c.force, c.onset + i)
     hi, lo = (Q.level_crossing(c.force, x * c.weight, c.onset + 20, c.takeoff) for x in (1.5, 1.2))
     d = d.withColumn("hi", hi).withColumn("lo", lo)
     return d.select(
         "trial_id",
+        "code",
         *rounded(
             peak_gross=peak,
             peak_net=peak - c.weight,
@@ -375,9 +412,10 @@ SELECT trial_id, peak_at, """
     )
     + " FROM e JOIN t USING (trial_id)",
 )
+@whole
 def power_and_work(spark, sf_dir):
     """Peak and mean power, work, rate of power, regressions from height, and normalised peak power."""
-    d = moving(spark, sf_dir).where(c.ordered)
+    d = moving(spark, sf_dir).transform(answerable)
     d = d.withColumn("power", A.between(F.zip_with("force", "velocity", lambda f, v: f * v), c.onset, c.takeoff)).withColumn("peak", F.array_max("power"))
     mass, flight = c.weight / G, G * F.pow((c.touchdown - c.takeoff) * c.dt, F.lit(2)) / 8
     peak_at = c.onset + F.size("power") - F.array_position(F.reverse("power"), F.col("peak")).cast("int")
@@ -386,6 +424,7 @@ def power_and_work(spark, sf_dir):
     regression = lambda x: x[0] * flight / x[1] + x[2] * mass + x[3]
     return d.select(
         "trial_id",
+        "code",
         peak_at.alias("peak_at"),
         *rounded(
             peak_power=F.col("peak"),
@@ -401,3 +440,7 @@ def power_and_work(spark, sf_dir):
             dimensionless=F.col("peak") / (mass * G**1.5 * F.sqrt(F.lit(0.9))),
         ),
     )
+
+
+for _name in ("jump_heights", "force_and_rates", "power_and_work"):
+    ORACLES[_name] = whole_sql(ORACLES[_name])

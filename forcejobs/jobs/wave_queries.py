@@ -15,7 +15,7 @@ from ..operators import quantities as Q
 from ..operators import waveform as V
 from ..sources import files
 from ..sources.trials import RATE_HZ, SAMPLES_CTE, trials
-from .trial_queries import placed, rounded
+from .trial_queries import answerable, placed, rounded, whole
 
 G = L.GRAVITY
 QUERIES: dict = {}
@@ -205,9 +205,10 @@ def cutoff_by_whiteness(spark, sf_dir):
 
 
 @query("exponential_rate")
+@whole
 def exponential_rate(spark, sf_dir):
     """Rate of force development by an exponential rise fitted from onset to the peak, and its residual in percent."""
-    d = placed(spark, sf_dir).where(c.ordered)
+    d = placed(spark, sf_dir).transform(answerable)
     d = d.select("trial_id", A.between(c.force, c.onset, A.argmax(c.force, c.onset, c.takeoff) + 1).alias("rise"))
 
     def fit(x: np.ndarray) -> list:
@@ -215,7 +216,7 @@ def exponential_rate(spark, sf_dir):
         return [None if not np.isfinite(a) else [a / tau, residual] for _, a, tau, residual in fits]
 
     d = V.per_trace(d, "rise", "fit", fit)
-    return d.select("trial_id", F.get("fit", F.lit(0)).alias("rate"), F.get("fit", F.lit(1)).alias("residual_percent"))
+    return d.select("trial_id", "code", F.get("fit", F.lit(0)).alias("rate"), F.get("fit", F.lit(1)).alias("residual_percent"))
 
 
 def curves(spark, sf_dir) -> DataFrame:
