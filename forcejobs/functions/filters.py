@@ -82,6 +82,29 @@ def residual_cutoff(residual: np.ndarray, cutoffs: np.ndarray, tail: int) -> np.
     return cutoffs[np.abs(residual - intercept[:, None]).argmin(1)]
 
 
+def step_place(x: np.ndarray, wide: int, ratio: float) -> np.ndarray:
+    """Per row the first sample at which the level changes at once, -1 where none does.
+
+    The means of `wide` samples on both sides of a step differ by over `ratio` times their noise, which the row's usual
+    change from sample to sample tells (the median of its size, over 0.9539 for noise without memory), and over half of
+    that comes at once, as on a slope it does not.
+    """
+    n = x.shape[1]
+    if n < 4 * wide:
+        return np.full(len(x), -1)
+    total = np.pad(np.cumsum(x, axis=1), ((0, 0), (1, 0)))
+    mean = (total[:, wide:] - total[:, :-wide]) / wide
+    rise = mean[:, wide:] - mean[:, :-wide]  # at place i: samples i+wide.. less the wide ones before
+    usual = np.median(np.abs(np.diff(x, axis=1)), axis=1, keepdims=True) / 0.9539
+    noise = np.maximum(usual * np.sqrt(2 / wide), 1e-9 * np.maximum(np.abs(x).max(1, keepdims=True), 1.0))
+    jump = np.abs(np.diff(x, axis=1))[:, wide - 1 : wide - 1 + rise.shape[1]]  # the change at the place itself
+    ok = (np.abs(rise) > ratio * noise) & (jump > 0.5 * np.abs(rise))
+    # a step shows a little before its place, and most at it
+    near = np.minimum(ok.argmax(1)[:, None] + np.arange(wide), ok.shape[1] - 1)
+    size = np.where(np.take_along_axis(ok, near, 1), np.abs(np.take_along_axis(rise, near, 1)), -1)
+    return np.where(ok.any(1), np.take_along_axis(near, size.argmax(1)[:, None], 1)[:, 0] + wide, -1)
+
+
 def durbin_watson(r: np.ndarray) -> np.ndarray:
     """Durbin-Watson statistic of each row of residuals; 2 where they are all zero."""
     power = (r * r).sum(1)
@@ -163,12 +186,12 @@ def spline_resample(y: np.ndarray, points: int) -> np.ndarray:
     return out if np.ndim(y) > 1 else out[0]
 
 
-def warp_rows(reference: np.ndarray, x: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band-limited dynamic time warping of every row: (total absolute cost, mean place in the row of each reference point).
+def _warp_costs(reference: np.ndarray, x: np.ndarray, band: int) -> tuple[np.ndarray, int, int]:
+    """Least cost up to every pair of places, one row of x in the last axis; ties go diagonal, then up, then left.
 
-    A cell of the recurrence is computed for all rows at once; ties go diagonal, then up, then left.
+    A cell of the recurrence is computed for all rows at once.
     """
-    n, m, rows = len(reference), x.shape[1], np.arange(len(x))
+    n, m = len(reference), x.shape[1]
     band = max(band, abs(n - m))
     cost = np.full((n + 1, m + 1, len(x)), np.inf)
     cost[0, 0] = 0
@@ -176,17 +199,35 @@ def warp_rows(reference: np.ndarray, x: np.ndarray, band: int) -> tuple[np.ndarr
         for j in range(max(1, i - band), min(m, i + band) + 1):
             least = np.minimum(np.minimum(cost[i - 1, j - 1], cost[i - 1, j]), cost[i, j - 1])
             cost[i, j] = np.abs(reference[i - 1] - x[:, j - 1]) + least
-    i, j = np.full(len(x), n), np.full(len(x), m)
-    total, count = np.zeros((len(x), n)), np.zeros((len(x), n))
+    return cost, n, m
+
+
+def warp_path(reference: np.ndarray, x: np.ndarray, band: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(total cost, pairs (place in the reference, place in the row) from start to end) of the cheapest path of every row."""
+    cost, n, m = _warp_costs(reference, x, band)
+    rows, i, j = np.arange(len(x)), np.full(len(x), n), np.full(len(x), m)
+    steps: list[np.ndarray] = []
     while (live := (i > 0) & (j > 0)).any():
         at = rows[live]
-        total[at, i[live] - 1] += j[live] - 1
-        count[at, i[live] - 1] += 1
+        steps.append(np.column_stack((at, i[live] - 1, j[live] - 1)))
         ways = np.stack([cost[i[live] - 1, j[live] - 1, at], cost[i[live] - 1, j[live], at], cost[i[live], j[live] - 1, at]])
         step = ways.argmin(0)
         i[live] -= step != 2
         j[live] -= step != 1
-    return cost[n, m], total / np.maximum(count, 1)
+    flat = np.concatenate(steps)[::-1]
+    order = np.argsort(flat[:, 0], kind="stable")
+    return cost[n, m], np.split(flat[order][:, 1:], np.cumsum(np.bincount(flat[:, 0], minlength=len(x)))[:-1])
+
+
+def carried(path: np.ndarray, n: int) -> np.ndarray:
+    """Mean place in the row that each of the reference's n points was carried to."""
+    return np.bincount(path[:, 0], path[:, 1], n) / np.maximum(np.bincount(path[:, 0], minlength=n), 1)
+
+
+def warp_rows(reference: np.ndarray, x: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band-limited dynamic time warping of every row: (total absolute cost, mean place in the row of each reference point)."""
+    cost, paths = warp_path(reference, x, band)
+    return cost, np.array([carried(p, len(reference)) for p in paths]).reshape(len(x), len(reference))
 
 
 def warp_to(reference: np.ndarray, y: np.ndarray, band: int) -> tuple[float, np.ndarray]:

@@ -14,10 +14,11 @@ from ..functions import cols as c
 from ..operators import batch, chains
 from ..operators import cohort as C
 from ..operators import landmarks as L
+from ..operators import quantities as Q
 from ..sources import bundle, folders, store
 from ..sources.trials import RATE_HZ, SAMPLES_CTE, trials
 from .cohort_queries import ranked
-from .trial_queries import BASE, RESULTS_SQL
+from .trial_queries import BASE, RESULTS_SQL, rounded
 
 G = L.GRAVITY
 QUERIES: dict = {}
@@ -299,3 +300,63 @@ def rule_grid(spark, sf_dir):
     variants, capped = chains.expand(GRID, GRID_CAP)
     d = chains.by_variant(chains.heights(trials(spark, sf_dir), variants), variants)
     return d.withColumns({x: F.round(x, 6) for x in ("mean", "least", "greatest")}).withColumn("capped", F.lit(capped))
+
+
+@query(
+    "drift_ramp",
+    BASE
+    + f""", ra AS (SELECT *, (f - w) / (w / {G}) AS a, lag(f) OVER (PARTITION BY trial_id ORDER BY idx) AS pf FROM m WHERE onset < takeoff),
+rv AS (SELECT *, sum(CASE WHEN idx > onset THEN 0.005e0 * (a + (pf - w) / (w / {G})) ELSE 0e0 END) OVER x AS vt, sum(CASE WHEN idx > onset THEN 0.01e0 * (pf - w) / (w / {G}) ELSE 0e0 END) OVER x AS vr FROM ra WHERE idx >= onset WINDOW x AS (PARTITION BY trial_id ORDER BY idx ROWS UNBOUNDED PRECEDING)),
+rm AS (SELECT trial_id, any_value(onset) AS onset, any_value(takeoff) AS takeoff, max(vt) FILTER (idx = takeoff) AS goal, max(vt - vr) FILTER (idx = takeoff) AS residual,
+  max(vr) FILTER (idx = onset) AS v0, max(vr) FILTER (idx = (onset + takeoff) // 2) AS v1, max(vr) FILTER (idx = takeoff) AS v2, max(vr) FILTER (idx = least(takeoff + 10, n - 1)) AS v3, max(vt) FILTER (idx = (onset + takeoff) // 2) AS t1 FROM rv GROUP BY trial_id)
+SELECT lm.trial_id, round(residual, 6) AS residual, round(v0, 6) AS at_onset, round(v1 + residual * ((rm.onset + rm.takeoff) // 2 - rm.onset) / (rm.takeoff - rm.onset), 6) AS at_middle, round(v2 + residual, 6) AS at_takeoff,
+  round(v3 + residual, 6) AS after_takeoff, round(goal, 6) AS by_impulse, round(t1, 6) AS trapezoid_at_middle FROM lm LEFT JOIN rm USING (trial_id)""",
+)
+def drift_ramp(spark, sf_dir):
+    """Velocity by the sum of the left samples, put right by a line to the impulse's velocity at takeoff; by trapezoids nothing is left over."""
+    d = L.place(trials(spark, sf_dir)).withColumn("n", F.size("force"))
+    d = Q.ramp_to_impulse(d, "rectangle").withColumnsRenamed({"ramp_residual": "residual", "ramped": "left"})
+    d = Q.ramp_to_impulse(d).withColumn("middle", F.floor((c.onset + c.takeoff) / 2).cast("int"))
+    v = lambda i: A.at(F.col("left"), i)
+    told = {
+        "residual": F.col("residual"), "at_onset": v(c.onset), "at_middle": v(F.col("middle")), "at_takeoff": v(c.takeoff), "after_takeoff": v(F.least(c.takeoff + 10, F.col("n") - 1)),
+        "by_impulse": F.when(c.ordered, Q.impulse(c.force, c.onset, c.takeoff, c.weight) / (c.weight / G)), "trapezoid_at_middle": A.at(F.col("ramped"), F.col("middle")),
+    }
+    return d.select("trial_id", *rounded(**told))
+
+
+#: Foot markers of a jump at takeoff and landing, and an athlete's stature, from columns of lines and customers.
+MARKERS = (
+    "SELECT l_orderkey AS trial_id, CASE WHEN l_linenumber = 1 THEN 'takeoff' ELSE 'landing' END AS event, 0.02e0 * l_tax AS knee_x, 0.4e0 + 0.001e0 * l_quantity AS knee_y, 0e0 AS ankle_x, 0e0 AS ankle_y, "
+    "0.1e0 + 0.0004e0 * l_quantity AS toe_x, CASE WHEN l_linenumber = 1 THEN -0.11e0 - 0.2e0 * l_discount ELSE -0.02e0 - 0.2e0 * l_discount END AS toe_y FROM lineitem WHERE l_linenumber <= 2"
+)
+STATURES = "SELECT c_custkey % 20 AS subject, 1.5e0 + 0.02e0 * max(c_nationkey) AS stature FROM customer WHERE c_custkey % 20 < 18 GROUP BY 1"
+
+
+def _bent(event: str) -> str:
+    angle = "degrees(atan2(knee_y - ankle_y, knee_x - ankle_x)) - degrees(atan2(toe_y - ankle_y, toe_x - ankle_x)) - 90e0"
+    return f"max({angle}) FILTER (event = '{event}')"
+
+
+_RISE, _REACH = f"{Q.ANKLE_HEIGHT}e0 * stature", f"{Q.FOOT_LENGTH}e0 * {Q.AHEAD_OF_ANKLE}e0 * stature"
+_LEANT = f"degrees(atan2({Q.ANKLE_HEIGHT}e0, {Q.FOOT_LENGTH}e0 * {Q.AHEAD_OF_ANKLE}e0))"
+
+
+@query(
+    "ankle_projection",
+    RESULTS_SQL
+    + f""", mk AS ({MARKERS}), su AS ({STATURES}), an AS (SELECT trial_id, {_bent("takeoff")} AS off, {_bent("landing")} AS bon, count(*) FILTER (event = 'takeoff') AS n1, count(*) FILTER (event = 'landing') AS n2 FROM mk GROUP BY trial_id),
+sf AS (SELECT q.trial_id, q.flight_time AS ft, CASE WHEN n1 = 1 AND n2 = 1 THEN sqrt(({_RISE}) ** 2 + ({_REACH}) ** 2) * (sin(radians(off + {_LEANT})) - sin(radians(bon + {_LEANT}))) END AS shift, stature IS NULL AS unknown
+  FROM q LEFT JOIN an USING (trial_id) LEFT JOIN su USING (subject))
+SELECT trial_id, round(shift, 6) AS shift, round(CASE WHEN ft > 0 THEN {G} * ft ** 2 / 8 END, 6) AS uncorrected, round(CASE WHEN ft > 0 THEN {G} * ft ** 2 / 8 * (1 - 2 * shift / ({G} * ft ** 2)) ** 2 END, 6) AS corrected, unknown AS stature_missing FROM sf""",
+)
+def ankle_projection(spark, sf_dir):
+    """Flight-time height less what the ankles give: segments of the foot from markers, projected at takeoff and landing."""
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    markers = spark.sql(MARKERS.replace("FROM lineitem", "FROM {lines}"), lines=table("lineitem"))
+    statures = spark.sql(STATURES.replace("FROM customer", "FROM {people}"), people=table("customer"))
+    d = Q.default_quantities(L.place(trials(spark, sf_dir))).select("trial_id", "subject", "flight_time")
+    d = Q.ankle_shift(d, markers, statures).join(F.broadcast(statures.select("subject", F.lit(True).alias("known"))), "subject", "left")
+    ft = F.col("flight_time")
+    told = {"shift": F.col("ankle_shift"), "uncorrected": F.when(ft > 0, G * ft * ft / 8), "corrected": Q.height_with_shift(ft, F.col("ankle_shift"))}
+    return d.select("trial_id", *rounded(**told), F.col("known").isNull().alias("stature_missing"))

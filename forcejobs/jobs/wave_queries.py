@@ -14,6 +14,7 @@ from ..operators import landmarks as L
 from ..operators import quantities as Q
 from ..operators import waveform as V
 from ..sources import files
+from ..sources import store
 from ..sources.trials import RATE_HZ, SAMPLES_CTE, trials
 from .trial_queries import answerable, placed, rounded, whole
 
@@ -193,6 +194,27 @@ def cutoff_by_residuals(spark, sf_dir):
     return V.per_trace(trials(spark, sf_dir).select("trial_id", "force"), "force", "cutoff_hz", pick, array=False)
 
 
+#: Samples on each side of a step, and how many times the noise of their means it must be.
+STEP_WIDE, STEP_RATIO = 10, 12.0
+
+
+@query("quiet_cutoff")
+def quiet_cutoff(spark, sf_dir):
+    """Cutoff by residual analysis of the quiet stance and of the flight's way down; null where a step lies inside, told with its place."""
+    names = {"stance": A.between(c.force, 0, 150), "to_landing": A.between(c.force, F.size("force") - 100, F.size("force"))}
+    rows = F.array(*[F.struct(F.lit(n).alias("part"), v.alias("x")) for n, v in names.items()])
+    d = trials(spark, sf_dir).select("trial_id", F.inline(rows))
+
+    def pick(x: np.ndarray) -> list:
+        step = X.step_place(x, STEP_WIDE, STEP_RATIO)
+        best = X.residual_cutoff(np.sqrt((_residuals(x) ** 2).mean(2)), CUTOFFS, 6)
+        return np.column_stack((step, best)).tolist()
+
+    d = V.per_trace(d, "x", "found", pick)
+    step = F.get("found", F.lit(0)).cast("int")
+    return d.select("trial_id", "part", F.when(step >= 0, step).alias("step_at"), F.when(step < 0, F.get("found", F.lit(1))).alias("cutoff_hz"))
+
+
 @query("cutoff_by_whiteness")
 def cutoff_by_whiteness(spark, sf_dir):
     """Low-pass cutoff whose residuals look most like white noise."""
@@ -333,6 +355,15 @@ def warped_curves(spark, sf_dir):
     return V.warped_cost(d, "trial_id", "y", mean.tolist(), 10)
 
 
+@query("warp_pairs")
+def warp_pairs(spark, sf_dir):
+    """The path that carries each movement, at 51 points, to the mean movement: a row for each pair of places."""
+    d = placed(spark, sf_dir).where(c.ordered).select("trial_id", A.between(c.force, c.onset, c.takeoff).alias("phase"))
+    d = store.written(V.per_trace(d, "phase", "y", lambda x: list(X.spline_resample(x, 51))), "movements")
+    _, mean, _ = V.covariance(d, "y")
+    return V.warped_pairs(d, "trial_id", "y", mean.tolist(), 10)
+
+
 @query("functional_scores")
 def functional_scores(spark, sf_dir):
     """Functional components: curves as 20 basis coefficients, their covariance, and every curve's scores for 90 % of the variance."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import cols as c
 from ..functions import traces as T
-from ..functions.scans import motion
+from ..functions.scans import integrated, motion
 from .landmarks import GRAVITY
 
 #: Published populations of peak power from jump height (watts): per unit of height, height unit in metres, per kilogram, constant.
@@ -94,3 +94,52 @@ def rise(values: Column, start: Column, end: Column, dt: Column) -> Column:
 def moving_average(values: Column, width: int) -> Column:
     """Boxcar mean, centred for an odd width; the ends hold the mean of the end window."""
     return T.moving_average(values, width)
+
+
+def ramp_to_impulse(placed: DataFrame, rule: str = "trapezoid", g: float = GRAVITY) -> DataFrame:
+    """Adds ramp_residual and ramped, a velocity put right by a line so that it is zero at onset and the impulse's at takeoff.
+
+    velocity is integrated by a rule from onset; the residual is what the impulse over onset..takeoff (both samples
+    inside), divided by mass once, has more at takeoff. It is spread evenly over the movement and stays after it. Null
+    where onset does not lie before takeoff.
+    """
+    end = F.least(c.takeoff, F.size(c.force) - 1)
+    start = F.when((c.onset < end) & (c.weight > 0), c.onset)
+    d = placed.withColumn("_v", integrated(rule)(acceleration(g), start, c.dt))
+    residual = impulse(c.force, start, end, c.weight) / (c.weight / g) - A.at(F.col("_v"), end)
+    d = d.withColumn("ramp_residual", residual)
+    share = lambda i: F.greatest(F.least(i, end) - start, F.lit(0)) / (end - start)
+    return d.withColumn("ramped", F.when(start.isNotNull(), F.transform("_v", lambda x, i: x + F.col("ramp_residual") * share(i)))).drop("_v")
+
+
+#: Published shares of stature, of the ankle's height, the foot's length, and of the foot ahead of the ankle.
+ANKLE_HEIGHT, FOOT_LENGTH, AHEAD_OF_ANKLE = 0.039, 0.152, 0.787
+
+
+def ankle_shift(trials: DataFrame, markers: DataFrame, statures: DataFrame) -> DataFrame:
+    """Adds ankle_shift, how far a jumper lands below takeoff, in metres, from markers of the foot.
+
+    markers(trial_id, event, knee_x, knee_y, ankle_x, ankle_y, toe_x, toe_y) has a row for takeoff and one for landing, in
+    the plane of the movement; statures(subject, stature). The foot's lean over the shank, less its lean in quiet
+    standing (a right angle), is the ankle's angle; the body rides on the segment from toe to ankle, whose length and
+    standing lean are shares of stature, and the shift is the difference of its two heights. Markers that are missing,
+    repeated for an event or no numbers, and athletes without a stature, give null. Markers of a trial are put into one
+    row before they join it.
+    """
+    angle = lambda x, y: F.degrees(F.atan2(F.col(y), F.col(x)))
+    d = markers.withColumns({"sx": F.col("knee_x") - F.col("ankle_x"), "sy": F.col("knee_y") - F.col("ankle_y"), "fx": F.col("toe_x") - F.col("ankle_x"), "fy": F.col("toe_y") - F.col("ankle_y")})
+    bend = angle("sx", "sy") - angle("fx", "fy") - 90.0
+    d = d.select("trial_id", "event", F.when(~F.isnan(bend), bend).alias("bend"))
+    one = lambda e: F.when(F.count(F.when(F.col("event") == e, 1)) == 1, F.max(F.when(F.col("event") == e, F.col("bend"))))
+    d = d.groupBy("trial_id").agg(one("takeoff").alias("_off"), one("landing").alias("_on"))
+    rise, reach = ANKLE_HEIGHT * F.col("stature"), FOOT_LENGTH * AHEAD_OF_ANKLE * F.col("stature")
+    leant = F.degrees(F.atan2(F.lit(ANKLE_HEIGHT), F.lit(FOOT_LENGTH * AHEAD_OF_ANKLE)))
+    height = lambda x: F.hypot(rise, reach) * F.sin(F.radians(F.col(x) + leant))
+    out = trials.join(d, "trial_id", "left").join(statures.select("subject", "stature"), "subject", "left")
+    return out.withColumn("ankle_shift", height("_off") - height("_on")).drop("_off", "_on", "stature")
+
+
+def height_with_shift(flight_time: Column, shift: Column, g: float = GRAVITY) -> Column:
+    """Height of a flight that ends `shift` below where it began."""
+    flight = g * flight_time * flight_time
+    return F.when(flight_time > 0, flight / 8 * F.pow(1 - 2 * shift / flight, F.lit(2)))

@@ -228,3 +228,28 @@ def warped_cost(curves: DataFrame, key: str, value: str, reference: list[float],
 
     d = curves.select(key, F.col(value).cast("array<double>").alias("y"))
     return d.mapInArrow(run, f"{key} {dict(curves.dtypes)[key]}, cost double, departure double")
+
+
+def warped_pairs(curves: DataFrame, key: str, value: str, reference: list[float], band: int) -> DataFrame:
+    """The path of every curve's warp to a reference, a row for each pair: key, step, reference_place, place, carried_to.
+
+    carried_to is the mean place in the curve of all pairs of that reference place. Curves without points give no rows.
+    """
+    ref = np.asarray(reference, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, x in T.blocks(batch.column(1)):
+                for at in range(0, len(rows), STRIP):
+                    own = rows[at : at + STRIP]
+                    _, paths = X.warp_path(ref, x[at : at + STRIP], band)
+                    size = np.array([len(p) for p in paths])
+                    flat = np.concatenate(paths)
+                    mean = np.concatenate([X.carried(p, len(ref))[p[:, 0]] for p in paths])
+                    step = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+                    keys = batch.column(0).take(pa.array(np.repeat(own, size)))
+                    cols = [keys, *(pa.array(v.astype(np.int32)) for v in (step, flat[:, 0], flat[:, 1])), pa.array(mean)]
+                    yield pa.record_batch(cols, names=[key, "step", "reference_place", "place", "carried_to"])
+
+    d = curves.select(key, F.col(value).cast("array<double>").alias("y"))
+    return d.mapInArrow(run, f"{key} {dict(curves.dtypes)[key]}, step int, reference_place int, place int, carried_to double")
