@@ -29,6 +29,22 @@ def test_exports_tell_their_format():
     assert files.read_export("1,2\n") == {"problem": "too_few_rows"}
 
 
+def test_a_clock_is_a_line_within_the_last_digit_of_every_stamp():
+    i = np.arange(300)
+    kind = lambda x, digits: (files.clock(np.asarray(x, float), digits) or (None,))[0]
+    assert kind(i / 250, 3) == "even"
+    assert kind(5.5 + i * 0.004, None) == "even"
+    for hz, digits in ((128, 4), (1200, 3), (960, 2)):
+        found = files.clock(np.round(i / hz, digits), digits)
+        assert found[0] == "reconstructed" and abs(found[1] / hz - 1) < 5 * 10.0**-digits / (300 / hz)
+    late = i / 250 + 0.003 * (i >= 150)
+    assert kind(late, 3) == "uneven" and kind(late, 2) == "reconstructed"
+    assert kind(i, 0) == "not_seconds" and kind(i * 0.004 * 1e5, None) == "not_seconds"
+    assert kind(-i / 250, 3) is None and kind([1.0] * 9, 3) is None and kind([0.0, np.nan], 3) is None and kind([1.0], 3) is None
+    assert kind(700 + np.random.default_rng(1).normal(0, 5, 300), 3) is None
+    assert kind([0.0, 0.001, 0.001], 3) == "uneven"  # three stamps that rounding alone could make
+
+
 def test_grids_count_with_the_first_axis_fastest():
     variants, capped = sweeps.grid({"a": [1, 2], "b": "xy"})
     assert [tuple(v.values()) for v in variants] == [(1, "x"), (2, "x"), (1, "y"), (2, "y")] and not capped
