@@ -176,22 +176,27 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """rows (with the columns of pieces(), each piece of 1 to length tokens) plus sequence_id and offset.
+    """rows (with the columns of pieces(), each piece of 1 to length tokens, from a written table) plus sequence_id and offset.
 
-    Pieces are dealt to groups by hash, and each group is packed by itself; group sizes grow with the input up to
-    MOST_GROUP, so that what a group leaves open stays a small part of it. Full pieces are sequences of their own.
+    Full pieces are sequences of their own and are not grouped. The others are dealt to groups by hash, equal rows too,
+    and each group is packed by itself; group sizes grow with the input up to MOST_GROUP, so that what a group leaves
+    open stays a small part of it.
     """
-    n = rows.where(F.col("length") < length).count()
+    part = rows.where(F.col("length") < length)
+    n = part.count()
     groups = max(1, n // min(MOST_GROUP, max(LEAST_GROUP, n // 32)))
-    keyed = rows.withColumn("grp", F.pmod(F.xxhash64("i", "piece", "ids_crc32"), F.lit(groups)))
-    schema = keyed.drop("grp").schema.add("sequence_id", "long").add("offset", "long")
+    keyed = part.withColumn("row", F.monotonically_increasing_id())
+    keyed = keyed.withColumn("grp", F.pmod(F.xxhash64("i", "piece", "ids_crc32", "row"), F.lit(groups)))
+    schema = rows.schema.add("sequence_id", "long").add("offset", "long")
 
     def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop(columns="grp").sort_values(["i", "piece", "start"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["i", "piece", "start", "row"], kind="stable", ignore_index=True).drop(columns=["grp", "row"])
         at, offset = place(pdf["length"].to_numpy(), length)
         return pdf.assign(sequence_id=at * groups + int(key[0]), offset=offset)
 
-    return keyed.groupBy("grp").applyInPandas(packed, schema)
+    whole = rows.where(F.col("length") >= length).withColumn("sequence_id", -1 - F.monotonically_increasing_id())
+    whole = whole.withColumn("offset", F.lit(0).cast("long"))
+    return keyed.groupBy("grp").applyInPandas(packed, schema).unionByName(whole)
 
 
 def pack_documents(

@@ -14,7 +14,8 @@ from .common import SALTS, components, discard, written
 
 #: Cosine from which two vectors link.
 COSINE = 0.93
-#: Trees, and half the width of the band around a split whose vectors go to both sides (for vectors of length 1).
+#: Trees, and half the width of the band around a split whose vectors go to both sides, for vectors of length 1 and 64
+#: dimensions: the band narrows with the square root of the dimension, as the lengths along a direction do.
 TREES, SPILL = 8, 0.02
 #: Vectors of the largest label that a leaf is laid out for, and depth beyond which a tree does not grow.
 LEAF, DEEPEST = 32, 16
@@ -31,8 +32,9 @@ SEED = 17
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of little-endian floats as unit vectors in double precision."""
-    x = np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, dim).astype(float)
+    """Rows of little-endian floats, of 4 or 8 bytes each, as unit vectors in double precision."""
+    raw = b"".join(column.to_pylist())
+    x = np.frombuffer(raw, "<f8" if len(raw) == 8 * dim * len(column) else "<f4").reshape(-1, dim).astype(float)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -59,7 +61,7 @@ class Tree:
     def route(self, x: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of every leaf a row reaches; within spill of a threshold it goes both ways."""
         row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-        spill *= min(1.0, WIDE_DEPTH / max(self.depth, 1))
+        spill *= min(1.0, WIDE_DEPTH / max(self.depth, 1)) * math.sqrt(64 / x.shape[1])
         along = x @ self.pool.T if self.depth else None
         for _ in range(self.depth):
             side = along[row, self.direction[node]] - self.thresholds[node]
@@ -221,7 +223,8 @@ def embedding_groups(
     nothing. Vectors of unlike dimension do not link. The search goes by vector, so several vectors may share an id:
     each row has its own links. Repeated rows count as copies. An empty table gives no rows.
     """
-    d = vectors.select(F.col(id_col).alias("i"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
+    double = vectors.schema[vector_col].dataType.simpleString() != "array<float>"
+    d = vectors.select(F.col(id_col).alias("i"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>" if double else "array<float>").alias("v"))
     ok = usable(F.col("v")) & F.col("label").isNotNull() & F.col("i").isNotNull()
     d = d.withColumn("h", F.when(ok, F.xxhash64("label", "v"))).withColumn("g", F.when(ok, F.xxhash64(F.lit(1), "v", "label")))
     copies = d.where("h is not null").groupBy("h", "g").agg(
@@ -232,7 +235,7 @@ def embedding_groups(
         for b in batches:
             values, offsets = b.column("v").flatten().to_numpy(zero_copy_only=False), b.column("v").value_lengths().to_numpy()
             ends = np.cumsum(offsets)
-            x = [values[e - n : e].astype("<f4").tobytes() for e, n in zip(ends.tolist(), offsets.tolist())]
+            x = [values[e - n : e].astype("<f8" if double else "<f4").tobytes() for e, n in zip(ends.tolist(), offsets.tolist())]
             cols = [b.column(c) for c in ("h", "g", "i", "copies", "label")]
             yield pa.record_batch([*cols, pa.array(offsets.astype(np.int32)), pa.array(x, pa.binary())], names=["h", "g", "i", "copies", "label", "dim", "x"])
 
@@ -254,7 +257,10 @@ def embedding_groups(
     told = written(told, "named")
     discard(found)
     discard(reps)
-    out = d.select("i", "h", "g").join(told, ["h", "g"], "left")
+    # vectors that link with nothing do not meet under one null key
+    alone = d.where("h is null").select("i", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component"))
+    alone = alone.withColumn("component", F.col("component").cast(d.schema["i"].dataType))
+    out = d.where("h is not null").select("i", "h", "g").join(told, ["h", "g"], "left").select("i", "n_links", "component").unionByName(alone)
     component = F.coalesce("component", "i")
     return out.select(
         F.col("i").alias(id_col),

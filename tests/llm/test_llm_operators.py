@@ -20,7 +20,7 @@ from forcejobs.llm.packing import Encoder, pack_documents, place
 from forcejobs.llm.piece_sampling import Lattice, decode_pieces, sample_pieces
 from forcejobs.llm.quality_rules import quality_rules
 from forcejobs.llm.queries import vocabulary
-from forcejobs.llm.rp_forest import embedding_groups
+from forcejobs.llm.rp_forest import SPILL, Tree, embedding_groups
 from forcejobs.llm.sharding import shard_documents
 from forcejobs.llm.simhash import simhash_groups
 
@@ -132,6 +132,25 @@ def test_language_of_texts(spark):
     assert {r.lang_pred for r in identify_language(test, train.where("lang = 'xx'")).collect()} == {"und"}
 
 
+def test_spill_narrows_with_the_dimension():
+    rng = np.random.default_rng(0)
+    for dim in (64, 256, 768):
+        x = rng.standard_normal((3000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        row, _ = Tree(x, 8, [1, dim, 0]).route(x, SPILL)
+        assert 1.5 < len(row) / len(x) < 4, dim
+
+
+def test_cosines_are_compared_in_double(spark):
+    # in single precision both pairs have the cosine of the threshold
+    a = [1.0, 0.0, 0.0]
+    at = lambda c: [c, math.sqrt(1 - c * c), 0.0]
+    rows = [(1, a, 0), (2, at(0.93 + 1e-10), 0), (3, [0.0, 0.0, 1.0], 1), (4, [0.0, math.sqrt(1 - (0.93 - 1e-10) ** 2), 0.93 - 1e-10], 1), (5, None, 1), (6, [0.0, 0.0, 0.0], 1)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_groups(d).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True), 5: (0, 5, True), 6: (0, 6, True)}
+
+
 # packing
 
 
@@ -168,6 +187,25 @@ def test_sum_of_squares_choice_is_the_least():
         bins[at] = gap - sizes[i]
 
 
+def test_full_pieces_and_repeated_rows_do_not_meet_in_one_group(spark):
+    giant = " ".join(f"w{i % 5003}" for i in range(60_000))
+    rows = [(1, giant), *((7, "the same short text") for _ in range(5000))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = pack_documents(d, BPE)
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert "length" in plan and packed.count() > 5000
+    got = packed.collect()
+    full = [r for r in got if r.length == 1024]
+    assert len(full) > 100 and all(r.offset == 0 for r in full) and len({r.sequence_id for r in full}) == len(full)
+    held = collections.Counter()
+    for r in got:
+        held[r.sequence_id] += r.length
+    assert max(held.values()) <= 1024
+    keyed = packing.pack(common.written(packing.pieces(d, BPE, with_ids=False), "pieces"))
+    small = keyed.where("length < 1024").groupBy(F.col("sequence_id") % 2).count().collect()
+    assert sum(r["count"] for r in small) == len(got) - len(full) and len(small) == 2
+
+
 def test_packing_is_whole(spark, docs):
     rows = sorted(pack_documents(docs, BPE, with_ids=True).collect(), key=lambda r: (r.sequence_id, r.offset))
     ends = collections.Counter()
