@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import cols as c
+from ..functions import traces as T
 from ..operators import batch, chains
 from ..operators import cohort as C
 from ..operators import landmarks as L
@@ -360,3 +361,38 @@ def ankle_projection(spark, sf_dir):
     ft = F.col("flight_time")
     told = {"shift": F.col("ankle_shift"), "uncorrected": F.when(ft > 0, G * ft * ft / 8), "corrected": Q.height_with_shift(ft, F.col("ankle_shift"))}
     return d.select("trial_id", *rounded(**told), F.col("known").isNull().alias("stature_missing"))
+
+
+@query(
+    "column_facts",
+    f"""WITH {SAMPLES_CTE}, z AS (SELECT trial_id, idx, 'force' AS name, CASE WHEN trial_id % 31 = 0 AND idx % 50 = 7 THEN 'nan'::DOUBLE ELSE f END AS x FROM s
+UNION ALL SELECT trial_id, idx, 'time', idx / 100e0 + CASE WHEN trial_id % 7 = 0 THEN 0.05e0 * floor(idx / 9) ELSE 0e0 END FROM s),
+d AS (SELECT *, x - lag(x) OVER (PARTITION BY trial_id, name ORDER BY idx) AS step FROM z),
+g AS (SELECT trial_id, name, count(*) AS n, count(*) FILTER (isfinite(x)) AS finite, count(*) FILTER (x = 0) AS zeros, min(x) FILTER (isfinite(x)) AS least, max(x) FILTER (isfinite(x)) AS greatest, avg(x) FILTER (isfinite(x)) AS mean,
+  median(x) FILTER (isfinite(x)) AS median, stddev_samp(x) FILTER (isfinite(x)) AS sd, bool_and(step > 0) AS up, max(step) - min(step) <= 1e-9 AS alike, avg(step) AS pace FROM d GROUP BY trial_id, name)
+SELECT trial_id, name, n, finite, zeros, round(least, 6) AS least, round(greatest, 6) AS greatest, round(mean, 6) AS mean, round(median, 6) AS median, round(sd, 6) AS sd, finite = n AND up AS increasing, finite = n AND alike AS even,
+  CASE WHEN finite = n AND up AND alike AND 1 / pace BETWEEN 20 AND 10000 THEN round(1 / pace, 6) END AS rate_hz FROM g""",
+)
+def column_facts(spark, sf_dir):
+    """Each column of an export: finite and zero counts, spread, whether it rises by even steps, and the rate that implies; nothing is shuffled."""
+    late = F.when(F.col("trial_id") % 7 == 0, F.lit(0.05)).otherwise(0.0)
+    time = F.transform("force", lambda x, i: i / 100.0 + late * F.floor(i / 9))
+    force = F.transform("force", lambda x, i: F.when((F.col("trial_id") % 31 == 0) & (i % 50 == 7), float("nan")).otherwise(x))
+    d = A.settled(trials(spark, sf_dir).select("trial_id", "force"), time=time, bad=force)
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), T.facts(F.col(x)).alias("x")) for n, x in (("force", "bad"), ("time", "time"))])
+    d = d.select("trial_id", F.inline(rows)).select("trial_id", "name", "x.*")
+    return d.withColumns({x: F.round(x, 6) for x in ("least", "greatest", "mean", "median", "sd", "rate_hz")})
+
+
+@query(
+    "jump_types",
+    BASE
+    + f""", dp AS (SELECT trial_id, any_value(w) AS w, any_value(w) - min(f) FILTER (idx < takeoff) AS depth FROM m GROUP BY trial_id), th AS (SELECT *, 250e0 * (w / {G} / 87.5e0) ** 0.667e0 AS scaled FROM dp)
+SELECT trial_id, round(depth, 6) AS depth, round(scaled, 6) AS scaled_threshold, CASE WHEN depth > 250 THEN 'countermovement' WHEN depth <= 250 THEN 'squat' END AS by_fixed, CASE WHEN depth > scaled THEN 'countermovement' WHEN depth <= scaled THEN 'squat' END AS by_mass FROM th""",
+)
+def jump_types(spark, sf_dir):
+    """Countermovement or squat jump by how far force falls under the weight before takeoff: over 250 N, or that scaled by mass. No type without a takeoff."""
+    d = L.place(trials(spark, sf_dir)).withColumn("depth", c.weight - A.at(c.force, A.argmin(c.force, F.lit(0), c.takeoff)))
+    d = d.withColumn("scaled", 250.0 * F.pow(c.weight / G / 87.5, F.lit(0.667)))
+    named = lambda t: F.when(F.col("depth") > t, "countermovement").when(F.col("depth") <= t, "squat")
+    return d.select("trial_id", *rounded(depth=F.col("depth"), scaled_threshold=F.col("scaled")), named(F.lit(250.0)).alias("by_fixed"), named(F.col("scaled")).alias("by_mass"))

@@ -285,12 +285,13 @@ def body_mass_join(spark, sf_dir):
 
 VARIANTS_SQL = (
     BASE
-    + f""", ks AS (SELECT * FROM (VALUES (3), (5), (8)) AS z(kk)), bs AS (SELECT * FROM (VALUES (0), (3)) AS z(bb)),
-w2 AS (SELECT trial_id, kk, min(idx) AS o FROM oq CROSS JOIN ks WHERE idx >= 100 AND idx < takeoff AND c = 3 AND sd > 0 AND w - kk * sd > 0 AND hi < w - kk * sd GROUP BY trial_id, kk),
-vr AS (SELECT lm.trial_id, lm.subject, kk, bb, lm.takeoff, lm.w, CASE WHEN o IS NOT NULL THEN greatest(o - bb, 0) END AS o FROM lm CROSS JOIN ks CROSS JOIN bs LEFT JOIN w2 USING (trial_id, kk)),
-cs AS (SELECT trial_id, idx, f, sum(f) OVER (PARTITION BY trial_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS cf FROM s),
-hv AS (SELECT vr.trial_id, vr.subject, 'k' || kk || '_back' || bb AS rule, CASE WHEN o < takeoff THEN ((b.cf - a.cf + a.f - 0.5e0 * (a.f + b.f) - (takeoff - 1 - o) * w) * 0.01e0 / (w / {G})) ** 2 / (2 * {G}) END AS value
-  FROM vr LEFT JOIN cs a ON a.trial_id = vr.trial_id AND a.idx = o LEFT JOIN cs b ON b.trial_id = vr.trial_id AND b.idx = takeoff - 1)
+    + f""", w3 AS (SELECT trial_id, [min(idx) FILTER (w - 3 * sd > 0 AND hi < w - 3 * sd), min(idx) FILTER (w - 5 * sd > 0 AND hi < w - 5 * sd), min(idx) FILTER (w - 8 * sd > 0 AND hi < w - 8 * sd)] AS os
+  FROM oq WHERE idx >= 100 AND idx < takeoff AND c = 3 AND sd > 0 GROUP BY trial_id),
+vk AS (SELECT lm.trial_id, lm.subject, lm.takeoff, lm.w, [3, 5, 8][z] AS kk, os[z] AS o FROM lm LEFT JOIN w3 USING (trial_id) CROSS JOIN range(1, 4) AS r(z)),
+vr AS (SELECT trial_id, subject, kk, bb, takeoff, w, CASE WHEN o IS NOT NULL THEN greatest(o - bb, 0) END AS o FROM vk CROSS JOIN (VALUES (0), (3)) AS z(bb)),
+cl AS (SELECT trial_id, list(cf ORDER BY idx) AS cs, list(f ORDER BY idx) AS fs FROM (SELECT trial_id, idx, f, sum(f) OVER (PARTITION BY trial_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS cf FROM s) GROUP BY trial_id),
+hv AS (SELECT vr.trial_id, vr.subject, 'k' || kk || '_back' || bb AS rule, CASE WHEN o < takeoff THEN ((cs[takeoff] - cs[o + 1] + fs[o + 1] - 0.5e0 * (fs[o + 1] + fs[takeoff]) - (takeoff - 1 - o) * w) * 0.01e0 / (w / {G})) ** 2 / (2 * {G}) END AS value
+  FROM vr JOIN cl USING (trial_id))
 """
 )
 
