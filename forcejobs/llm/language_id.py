@@ -16,8 +16,9 @@ from .common import chunks, crc_mod, text_buffers
 SAMPLE_BYTES = 48_000
 #: Of one document at most so many bytes enter the sample, so that a sample holds several documents.
 SAMPLE_DOC_BYTES = 4_000
-#: All languages together have so many bytes of samples at most, so that the tables that are broadcast have a bound.
-TOTAL_BYTES = 4_800_000
+#: All languages together have so many bytes of samples at most. A byte of a sample takes up to two states of as many 4-byte
+#: moves as its text has symbols, 160 bytes in Latin and 390 in Chinese script, so that what is broadcast stays under 0.5 GB.
+TOTAL_BYTES = 1_200_000
 #: Texts of the lowest hashes that hold about so many samples' bytes are sorted for the sample.
 SPARE = 8
 #: A text is parsed in blocks of so many bytes, all at once; a phrase goes on where its block ends.
@@ -155,24 +156,24 @@ def phrases(offsets: np.ndarray, data: np.ndarray, model: tuple[np.ndarray, np.n
     return np.bincount(text, plain + more, len(lengths)) + (lengths > 0)
 
 
-def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, bytes]:
+def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_bytes: int, doc_bytes: int, total_bytes: int) -> dict[str, bytes]:
     """Bounded sample of text for each language, the same whatever the order or the layout of the rows."""
     d = labelled.select(
         F.col(lang_col).alias("lang"),
         F.xxhash64(F.col(text_col)).alias("h"),
-        F.least(F.octet_length(text_col), F.lit(SAMPLE_DOC_BYTES)).alias("n"),
-        F.substring(text_col, 1, SAMPLE_DOC_BYTES).alias("t"),
+        F.least(F.octet_length(text_col), F.lit(doc_bytes)).alias("n"),
+        F.substring(text_col, 1, doc_bytes).alias("t"),
     ).where("lang is not null and t <> ''")
     # the share of a language's hashes that holds SPARE samples: only texts below it are sorted
     size = d.groupBy("lang", "h").agg(F.max("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("bytes"))
-    each = min(SAMPLE_BYTES, TOTAL_BYTES // max(labelled.select(lang_col).distinct().count(), 1))
+    each = min(sample_bytes, total_bytes // max(labelled.select(lang_col).distinct().count(), 1))
     near = d.join(F.broadcast(size), "lang").where(F.col("h") / 2.0**64 + 0.5 <= SPARE * each / F.col("bytes"))
     near = near.groupBy("lang", "h", "t").agg(F.max("n").alias("n"))
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("h", "t")) - F.col("n")
     rows = near.withColumn("before", before).where(F.col("before") < each).select("lang", "h", "t").collect()
     parts: dict[str, list[bytes]] = {}
     for lang, _, t in sorted(rows):
-        parts.setdefault(lang, []).append(t.encode()[:SAMPLE_DOC_BYTES])
+        parts.setdefault(lang, []).append(t.encode()[:doc_bytes])
     return {lang: b"\n".join(x)[:each] for lang, x in parts.items()}
 
 
@@ -182,17 +183,21 @@ def identify_language(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
+    sample_bytes: int = SAMPLE_BYTES,
+    doc_bytes: int = SAMPLE_DOC_BYTES,
+    total_bytes: int = TOTAL_BYTES,
 ) -> DataFrame:
     """Language of every whole text: id, lang_pred, score (0 to 1).
 
     Per language, a suffix automaton of a bounded sample of labelled text gives the longest match at each place of a
     parse; the whole text is cut greedily into such phrases. The phrases, times the logarithm of the sample's length,
-    per byte, estimate the cross entropy; the least wins, ties by name. Every language is learned; beyond
-    TOTAL_BYTES / SAMPLE_BYTES (100) of them each sample shrinks. score is 1 minus the ratio
+    per byte, estimate the cross entropy; the least wins, ties by name. Every language is learned, from
+    sample_bytes of its labelled texts, of each text doc_bytes at most; beyond total_bytes / sample_bytes (25) languages
+    each sample shrinks. score is 1 minus the ratio
     of least to second least (1 where only one language is learned). Texts that are null or hold no letter, and all
     texts if nothing was learned, are `und` with score 0. Repeated rows each get a row; other columns are not read.
     """
-    samples = {k: v for k, v in learn(labelled, id_col, text_col, lang_col).items() if v}
+    samples = {k: v for k, v in learn(labelled, id_col, text_col, lang_col, sample_bytes, doc_bytes, total_bytes).items() if v}
     sc = docs.sparkSession.sparkContext
     names = sorted(samples)
     models = sc.broadcast([(parse_table(samples[k]), math.log2(len(samples[k]) + 1)) for k in names])
