@@ -76,15 +76,13 @@ def sweep_grid(spark, sf_dir):
 
 @query(
     "compare_pairs",
-    GRID_SQL
+    GRID_SQL.replace(f"WHERE v < {GRID_CAP}", "WHERE v < 12")
     + """, nn AS (SELECT trial_id, list({'rule': rule, 'value': value} ORDER BY variant) FILTER (value IS NOT NULL) AS held, count(value) AS answered FROM hv GROUP BY trial_id)
-SELECT trial_id, held[1].rule AS first_rule, round(held[1].value, 6) AS first_value, held[2].rule AS second_rule, round(held[2].value, 6) AS second_value, answered = """
-    + str(GRID_CAP)
-    + " AS complete FROM nn WHERE answered >= 2",
+SELECT trial_id, held[1].rule AS first_rule, round(held[1].value, 6) AS first_value, held[2].rule AS second_rule, round(held[2].value, 6) AS second_value, answered = 12 AS complete FROM nn WHERE answered >= 2""",
 )
 def compare_pairs(spark, sf_dir):
     """The first two answers of each trial in table order, and whether every variant gave one. Nothing is shuffled."""
-    d = swept(placed(spark, sf_dir), AXES, GRID_CAP).withColumn("held", F.filter("variants", lambda x: x["value"].isNotNull()))
+    d = swept(placed(spark, sf_dir), AXES, sweeps.CAP).withColumn("held", F.filter("variants", lambda x: x["value"].isNotNull()))
     one = lambda i, f: F.get("held", F.lit(i))[f]
     return d.where(F.size("held") >= 2).select(
         "trial_id",
