@@ -17,8 +17,9 @@ SAMPLE_BYTES = 48_000
 #: Of one document at most so many bytes enter the sample, so that a sample holds several documents.
 SAMPLE_DOC_BYTES = 4_000
 #: All languages together have so many bytes of samples at most. A byte of a sample takes up to two states of as many 4-byte
-#: moves as its text has symbols, 160 bytes in Latin and 390 in Chinese script, so that what is broadcast stays under 0.5 GB.
-TOTAL_BYTES = 1_200_000
+#: moves as its text has symbols, 160 bytes in Latin and 390 in Chinese script: 100 languages take 0.75 to 1.9 GB of a worker.
+#: Lower it where workers have less.
+TOTAL_BYTES = 4_800_000
 #: Texts of the lowest hashes that hold about so many samples' bytes are sorted for the sample.
 SPARE = 8
 #: A text is parsed in blocks of so many bytes, all at once; a phrase goes on where its block ends.
@@ -156,7 +157,7 @@ def phrases(offsets: np.ndarray, data: np.ndarray, model: tuple[np.ndarray, np.n
     return np.bincount(text, plain + more, len(lengths)) + (lengths > 0)
 
 
-def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_bytes: int, doc_bytes: int, total_bytes: int) -> dict[str, bytes]:
+def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample_bytes: int = SAMPLE_BYTES, doc_bytes: int = SAMPLE_DOC_BYTES, total_bytes: int = TOTAL_BYTES) -> dict[str, bytes]:
     """Bounded sample of text for each language, the same whatever the order or the layout of the rows."""
     d = labelled.select(
         F.col(lang_col).alias("lang"),
@@ -192,7 +193,7 @@ def identify_language(
     Per language, a suffix automaton of a bounded sample of labelled text gives the longest match at each place of a
     parse; the whole text is cut greedily into such phrases. The phrases, times the logarithm of the sample's length,
     per byte, estimate the cross entropy; the least wins, ties by name. Every language is learned, from
-    sample_bytes of its labelled texts, of each text doc_bytes at most; beyond total_bytes / sample_bytes (25) languages
+    sample_bytes of its labelled texts, of each text doc_bytes at most; beyond total_bytes / sample_bytes (100) languages
     each sample shrinks. score is 1 minus the ratio
     of least to second least (1 where only one language is learned). Texts that are null or hold no letter, and all
     texts if nothing was learned, are `und` with score 0. Repeated rows each get a row; other columns are not read.

@@ -13,18 +13,18 @@ def test_every_language_is_learned_from_distinct_texts_up_to_the_bound(spark):
 
 
 def test_tables_of_many_languages_have_a_bound(spark):
-    from forcejobs.llm.language_id import TOTAL_BYTES, identify_language, learn, parse_table
+    from forcejobs.llm.language_id import identify_language, learn, parse_table
 
-    letters = "abcdefghijklmnopqrstuvwxyz"
+    letters, total = "abcdefghijklmnopqrstuvwxyz", 1_200_000
     rows = []
     for k in range(100):
         turned = letters[k % 26 :] + letters[: k % 26]
         for n in range(4):
             rows.append((100 * k + n, " ".join(turned[(i * (k + 3) + n) % 26] + turned[(i * i + k) % 26] + turned[i % 7] for i in range(1500)), f"l{k:03}"))
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    samples = learn(d, "doc_id", "text", "lang", 48_000, 4_000, TOTAL_BYTES)
-    assert len(samples) == 100 and sum(map(len, samples.values())) <= TOTAL_BYTES
-    assert sum(parse_table(x)[0].nbytes for x in samples.values()) < 390 * TOTAL_BYTES
+    samples = learn(d, "doc_id", "text", "lang", 48_000, 4_000, total)
+    assert len(samples) == 100 and sum(map(len, samples.values())) <= total
+    assert sum(parse_table(x)[0].nbytes for x in samples.values()) < 390 * total
     small = d.where("doc_id % 100 = 0 AND doc_id < 1000")
     got = identify_language(small, d, sample_bytes=6000, doc_bytes=3000, total_bytes=100_000).collect()
     assert sum(r.lang_pred == f"l{r.doc_id // 100:03}" for r in got) >= 9
