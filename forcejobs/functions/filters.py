@@ -237,9 +237,17 @@ def warp_to(reference: np.ndarray, y: np.ndarray, band: int) -> tuple[float, np.
 
 
 def smoothing_matrix(points: int, basis: int, penalty: float) -> np.ndarray:
-    """points x points matrix of a clamped cubic B-spline fit with a second-difference penalty."""
+    """points x points matrix of a clamped cubic B-spline fit with a second-difference penalty.
+
+    The fit's own shapes are shrunk by 1 / (1 + penalty x roughness) each.
+    Those that the penalty does not see (lines) are not shrunk at all, so that no penalty is too large to be exact.
+    """
     b = spline_basis(points, basis)
-    return b @ np.linalg.solve(b.T @ b + penalty * roughness(basis), b.T)
+    half = np.linalg.inv(np.linalg.cholesky(b.T @ b))
+    rough, shapes = np.linalg.eigh(half @ roughness(basis) @ half.T)
+    rough = np.where(rough < 1e-9 * rough.max(), 0.0, rough)
+    own = b @ half.T @ shapes
+    return (own / (1 + penalty * rough)) @ own.T
 
 
 def roughness(basis: int) -> np.ndarray:

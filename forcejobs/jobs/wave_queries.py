@@ -231,7 +231,7 @@ def cutoff_by_whiteness(spark, sf_dir):
 def exponential_rate(spark, sf_dir):
     """Rate of force development by an exponential rise fitted from onset to the peak, and its residual in percent."""
     d = placed(spark, sf_dir).transform(answerable)
-    d = d.select("trial_id", A.between(c.force, c.onset, A.argmax(c.force, c.onset, c.takeoff) + 1).alias("rise"))
+    d = d.select("trial_id", "code", A.between(c.force, c.onset, A.argmax(c.force, c.onset, c.takeoff) + 1).alias("rise"))
 
     def fit(x: np.ndarray) -> list:
         fits = [X.exponential_rise(y, 1 / RATE_HZ) for y in x]
