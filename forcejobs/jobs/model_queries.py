@@ -221,7 +221,7 @@ def further_quantities(spark, sf_dir):
     Also velocity at takeoff by the impulse up to it, and a height whose velocity is put right by the standing after landing
     (the last 20 samples, which give weight too; integration starts at sample 100).
     """
-    d = Q.with_motion(results_frame(spark, sf_dir)).transform(answerable)
+    d = Q.default_quantities(moving(spark, sf_dir)).transform(answerable)
     n, peak = F.size("force"), F.array_max(A.between(c.force, c.onset, c.takeoff + 1))
     d = d.withColumn("power", F.zip_with("force", "velocity", lambda f, v: f * v)).withColumn("hf", peak)
     d = d.withColumns(
