@@ -14,8 +14,6 @@ BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 #: A document is kept when its mean log-likelihood ratio per n-gram is at least this (natural logarithm).
 THRESHOLD = -0.47
-#: The trusted multinomial is fitted on at most so many of the trusted documents, the first by the hash of their id.
-TRUSTED_LIMIT = 20000
 #: A text counts for the raw and the trusted multinomial with this much added to each bucket.
 PRIOR = 0.5
 
@@ -34,12 +32,12 @@ def _followed(w: Column) -> Column:
 def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """Per bucket, log share in the trusted documents minus log share in all documents.
 
-    The raw counts cover every whole text; the trusted ones those of at most TRUSTED_LIMIT trusted ids, the first by
-    hash, so the side that is broadcast has a fixed bound. One pass over the texts, and BUCKETS rows reach the driver.
+    Raw counts cover every whole text, trusted ones every whole text of a trusted id. The ids are joined as Spark sees
+    fit: where they are too many to broadcast, ids and texts are shuffled once. BUCKETS rows reach the driver.
     """
-    ids = trusted.select(F.col(id_col).alias("i")).where("i is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("i"), "i").limit(TRUSTED_LIMIT).withColumn("good", F.lit(1))
-    t = docs.select(F.col(id_col).alias("i"), words(F.col(text_col)).alias("w")).join(F.broadcast(ids), "i", "left")
+    ids = trusted.select(F.col(id_col).alias("i")).where("i is not null").distinct().withColumn("good", F.lit(1))
+    t = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(ids, "i", "left")
+    t = t.select("good", words(F.col("t")).alias("w"))
     t = t.select("good", F.explode(_followed(F.col("w"))).alias("x"))
     t = t.select("good", F.explode(F.array(*_buckets(F.col("x.a"), F.col("x.b")))).alias("g"))
     counts = {r[0]: r[1:] for r in t.where("g is not null").groupBy("g").agg(F.count("*"), F.count("good")).collect()}
