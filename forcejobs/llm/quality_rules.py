@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import words
 
@@ -16,6 +17,8 @@ BUCKETS = 1 << BUCKET_BITS
 THRESHOLD = -0.47
 #: A text counts for the raw and the trusted multinomial with this much added to each bucket.
 PRIOR = 0.5
+#: Pages of trusted ids that are broadcast (some 50 bytes each on the driver).
+PAGES = 1 << 20
 
 
 def _buckets(x: Column, following: Column) -> list[Column]:
@@ -29,14 +32,30 @@ def _followed(w: Column) -> Column:
     return F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))).alias("b"))
 
 
+def _marked(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """good (1, or null) and text `t` of every document: whether its id is a trusted one.
+
+    Whole-number ids travel as pages of 64 ids, a bit each, so that no text is shuffled while there are up to PAGES of
+    them: neighbouring ids share a page, scattered ones have one each. More pages, and ids of other types, are joined as
+    Spark sees fit, which may shuffle the texts once.
+    """
+    t = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    ids = trusted.select(F.col(id_col).alias("i")).where("i is not null")
+    if not all(isinstance(d.schema["i"].dataType, IntegralType) for d in (t, ids)):
+        return t.join(ids.distinct().withColumn("good", F.lit(1)), "i", "left").select("good", "t")
+    page, bit = F.expr("shiftright(cast(i as long), 6)").alias("page"), F.expr("cast(i & 63 as int)")
+    pages = ids.select(page, F.expr("shiftleft(1L, cast(i & 63 as int))").alias("one")).groupBy("page").agg(F.bit_or("one").alias("bits"))
+    few = pages.count() <= PAGES
+    t = t.select("t", page, bit.alias("bit")).join(F.broadcast(pages) if few else pages, "page", "left")
+    return t.select(F.when(F.getbit("bits", F.col("bit")) == 1, 1).alias("good"), "t")
+
+
 def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """Per bucket, log share in the trusted documents minus log share in all documents.
 
-    Raw counts cover every whole text, trusted ones every whole text of a trusted id. The ids are joined as Spark sees
-    fit: where they are too many to broadcast, ids and texts are shuffled once. BUCKETS rows reach the driver.
+    Raw counts cover every whole text, trusted ones every whole text of a trusted id. BUCKETS rows reach the driver.
     """
-    ids = trusted.select(F.col(id_col).alias("i")).where("i is not null").distinct().withColumn("good", F.lit(1))
-    t = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(ids, "i", "left")
+    t = _marked(docs, trusted, id_col, text_col)
     t = t.select("good", words(F.col("t")).alias("w"))
     t = t.select("good", F.explode(_followed(F.col("w"))).alias("x"))
     t = t.select("good", F.explode(F.array(*_buckets(F.col("x.a"), F.col("x.b")))).alias("g"))
