@@ -112,38 +112,53 @@ def durbin_watson(r: np.ndarray) -> np.ndarray:
 
 
 def exponential_rise(y: np.ndarray, dt: float) -> tuple[float, float, float, float]:
-    """(base, size, time constant, mean absolute residual in percent of the fit) of b + A (1 - exp(-t / tau)).
+    """(base, size, time constant, mean absolute residual in percent of the fit) of b + A (1 - exp(-t / tau))."""
+    return tuple(float(v[0]) for v in exponential_rises(np.asarray(y, float)[None], dt))
 
-    tau is sought by golden section over its logarithm, from one sample to the whole span.
+
+def exponential_rises(y: np.ndarray, dt: float) -> tuple[np.ndarray, ...]:
+    """exponential_rise() of every row at once, its four answers as columns; no number for a row that has none.
+
+    tau is sought by golden section over its logarithm, from one sample to the whole span, until it stands still.
     """
-    t = np.arange(len(y)) * dt
-    if len(y) < 3 or t[-1] <= 0 or not np.isfinite(y).all():
-        return (np.nan,) * 4
-
-    def solve(log_tau: float):
-        g = 1 - np.exp(-t / np.exp(log_tau))
-        gc = g - g.mean()
-        size = (gc @ y) / max(gc @ gc, 1e-300)
-        base = y.mean() - size * g.mean()
-        return base, size, float(((y - base - size * g) ** 2).sum())
-
-    low, high, ratio = np.log(dt), np.log(t[-1]), (np.sqrt(5) - 1) / 2
+    rows, n = y.shape
+    out = np.full((4, rows), np.nan)
+    t = np.arange(n) * dt
+    fine = np.flatnonzero(np.isfinite(y).all(1))
+    if n < 3 or t[-1] <= 0 or not len(fine):
+        return tuple(out)
+    y = y[fine]
+    level = y.mean(1)
+
+    def solve(log_tau: np.ndarray):
+        g = 1 - np.exp(-t / np.exp(log_tau)[:, None])
+        mean = g.mean(1)
+        gc = g - mean[:, None]
+        size = (gc * y).sum(1) / np.maximum((gc * gc).sum(1), 1e-300)
+        base = level - size * mean
+        off = y - base[:, None] - size[:, None] * g
+        return base, size, (off * off).sum(1)
+
+    ratio = (np.sqrt(5) - 1) / 2
+    low, high = np.full(len(y), np.log(dt)), np.full(len(y), np.log(t[-1]))
     a, b = high - ratio * (high - low), low + ratio * (high - low)
     fa, fb = solve(a)[2], solve(b)[2]
     for _ in range(200):
-        if fa <= fb:
-            high, b, fb = b, a, fa
-            a = high - ratio * (high - low)
-            fa = solve(a)[2]
-        else:
-            low, a, fa = a, b, fb
-            b = low + ratio * (high - low)
-            fb = solve(b)[2]
-    base, size, error = solve((low + high) / 2)
-    tau = float(np.exp((low + high) / 2))
+        if (high - low).max() <= 1e-15:
+            break
+        left = fa <= fb
+        low, high = np.where(left, low, a), np.where(left, b, high)
+        at = np.where(left, high - ratio * (high - low), low + ratio * (high - low))
+        f = solve(at)[2]
+        a, b, fa, fb = np.where(left, at, b), np.where(left, a, at), np.where(left, f, fb), np.where(left, fa, f)
+    base, size, _ = solve((low + high) / 2)
+    tau = np.exp((low + high) / 2)
     held = np.abs(y) >= np.finfo(float).eps
-    apart = np.abs(base + size * (1 - np.exp(-t[held] / tau)) - y[held]) / np.abs(y[held])
-    return base, size, tau, float(100 * apart.mean()) if held.any() else np.nan
+    fit = base[:, None] + size[:, None] * (1 - np.exp(-t / tau[:, None]))
+    apart = np.where(held, np.abs(fit - y) / np.where(held, np.abs(y), 1.0), 0.0)
+    count = held.sum(1)
+    out[:, fine] = base, size, tau, np.where(count > 0, 100 * apart.sum(1) / np.maximum(count, 1), np.nan)
+    return tuple(out)
 
 
 def spline_resample(y: np.ndarray, points: int) -> np.ndarray:

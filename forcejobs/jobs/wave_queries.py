@@ -234,8 +234,8 @@ def exponential_rate(spark, sf_dir):
     d = d.select("trial_id", "code", A.between(c.force, c.onset, A.argmax(c.force, c.onset, c.takeoff) + 1).alias("rise"))
 
     def fit(x: np.ndarray) -> list:
-        fits = [X.exponential_rise(y, 1 / RATE_HZ) for y in x]
-        return [None if not np.isfinite(a) else [a / tau, residual] for _, a, tau, residual in fits]
+        _, size, tau, residual = X.exponential_rises(x, 1 / RATE_HZ)
+        return [v if ok else None for v, ok in zip(np.column_stack((size / tau, residual)).tolist(), np.isfinite(size))]
 
     d = V.per_trace(d, "rise", "fit", fit)
     return d.select("trial_id", "code", F.get("fit", F.lit(0)).alias("rate"), F.get("fit", F.lit(1)).alias("residual_percent"))
