@@ -318,10 +318,11 @@ def drift_ramp(spark, sf_dir):
     d = L.place(trials(spark, sf_dir)).withColumn("n", F.size("force"))
     d = Q.ramp_to_impulse(d, "rectangle").withColumnsRenamed({"ramp_residual": "residual", "ramped": "left"})
     d = Q.ramp_to_impulse(d).withColumn("middle", F.floor((c.onset + c.takeoff) / 2).cast("int"))
+    d = d.withColumn("goal", Q.impulse(c.force, c.onset, c.takeoff, c.weight))
     v = lambda i: A.at(F.col("left"), i)
     told = {
         "residual": F.col("residual"), "at_onset": v(c.onset), "at_middle": v(F.col("middle")), "at_takeoff": v(c.takeoff), "after_takeoff": v(F.least(c.takeoff + 10, F.col("n") - 1)),
-        "by_impulse": F.when(c.ordered, Q.impulse(c.force, c.onset, c.takeoff, c.weight) / (c.weight / G)), "trapezoid_at_middle": A.at(F.col("ramped"), F.col("middle")),
+        "by_impulse": F.when(c.ordered, F.col("goal") / (c.weight / G)), "trapezoid_at_middle": A.at(F.col("ramped"), F.col("middle")),
     }
     return d.select("trial_id", *rounded(**told))
 
