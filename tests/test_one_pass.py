@@ -46,3 +46,16 @@ def test_drawn_weights_are_those_of_the_whole_draw():
     u = np.concatenate([rng.integers(0, 2**64, 50_000, dtype=np.uint64), near, [np.uint64(0), np.uint64(2**64 - 1)]]).reshape(-1, 2)
     assert (C.poisson_weights(u) == np.searchsorted(edges, (u >> np.uint64(11)) * 2.0**-53, side="right")).all()
     assert (table >= 0).mean() > 0.99
+
+
+def test_only_a_column_that_may_be_a_clock_is_read_for_its_digits(monkeypatch):
+    from forcejobs.sources import files
+
+    seen = []
+    real = files._digits
+    monkeypatch.setattr(files, "_digits", lambda texts: (seen.append(texts[0]), real(texts))[1])
+    body = "\n".join(f"{i / 100:.2f} ,{520 + i * 37 % 91}.25, 1.5,{'x' if i == 7 else i}" for i in range(90))
+    told = files.read_export(f"plate\ntime,Fz,aux,n\n{body}\n7\n")
+    assert seen == ["0.00 "] or seen[0] == "0.00 " and "520.25" not in seen
+    assert (told["delimiter"], told["skipped_lines"], told["header_detected"], told["row_count"], told["ragged_rows"]) == ("comma", 2, True, 90, 1)
+    assert (told["time_column"], told["force_column"], told["rate_hz"], told["rate_source"]) == (0, 1, 100.0, "even")
