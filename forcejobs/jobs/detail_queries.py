@@ -231,12 +231,12 @@ def run_coverage(spark, sf_dir):
 def read_modes(spark, sf_dir):
     """Files whose fields are parted by white space, and files with one number to a row."""
     d = trials(spark, sf_dir).select("trial_id", "force")
-    spaces = F.array_join(F.transform("force", lambda x, i: F.concat(F.lit("  "), i.cast("string"), F.lit(" \t "), x.cast("string"))), "\n")
-    row = F.concat(F.array_join(F.transform("force", lambda x: x.cast("string")), "\n"), F.lit("\n"))
+    spaces = files.text_lines(c.force, "  {i} \t {x}")
+    row = files.text_lines(c.force, "{x}", "\n")
     out = None
     for mode, text, mark, index in (("spaces", spaces, None, 1), ("row", row, "", 0)):
         e = files.read_column(d.select("trial_id", text.alias("text")), "text", mark, index)
-        e = e.select("trial_id", F.lit(mode).alias("mode"), F.size("values").cast("long").alias("rows"), "blank_lines", F.round(A.total(F.col("values")), 4).alias("total"))
+        e = e.select("trial_id", F.lit(mode).alias("mode"), F.size("values").cast("long").alias("rows"), "blank_lines", F.round("total", 4).alias("total"))
         out = e if out is None else out.unionByName(e)
     return out
 

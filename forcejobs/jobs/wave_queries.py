@@ -57,11 +57,10 @@ def file_identity(spark, sf_dir):
 @query("read_delimited", WITH + "SELECT trial_id, count(*) AS rows, 2::BIGINT AS blank_lines, (CASE WHEN any_value(trial_id) % 50 = 0 THEN 1 ELSE 0 END)::BIGINT AS bad_rows, round(sum(f), 4) AS total FROM s GROUP BY trial_id")
 def read_delimited(spark, sf_dir):
     """Files of tab-separated rows read back: the chosen column as samples, blank lines skipped, bad rows counted with their line."""
-    lines = F.transform("force", lambda x, i: F.concat_ws("\t", i.cast("string"), x.cast("string"), F.lit("0")))
-    bad = F.when(F.col("trial_id") % 50 == 0, F.lit("\n290\tnot-a-number\t0")).otherwise("")
-    d = trials(spark, sf_dir).select("trial_id", F.concat(F.array_join(lines, "\n"), F.lit("\n\n"), bad).alias("text"))
+    bad = F.when(F.col("trial_id") % 50 == 0, F.lit("\n\n\n290\tnot-a-number\t0")).otherwise("\n\n")
+    d = trials(spark, sf_dir).select("trial_id", files.text_lines(c.force, "{i}\t{x}\t0", bad).alias("text"))
     d = files.read_column(d, "text", "\t", 1)
-    return d.select("trial_id", F.size("values").cast("long").alias("rows"), "blank_lines", F.size("bad_lines").cast("long").alias("bad_rows"), F.round(A.total(F.col("values")), 4).alias("total"))
+    return d.select("trial_id", F.size("values").cast("long").alias("rows"), "blank_lines", F.size("bad_lines").cast("long").alias("bad_rows"), F.round("total", 4).alias("total"))
 
 
 @query(
