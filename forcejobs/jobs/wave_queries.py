@@ -182,14 +182,24 @@ def spectrum_cutoff(spark, sf_dir):
 CUTOFFS = np.arange(4.0, 41.0, 2.0)
 
 
-def _residuals(x: np.ndarray) -> np.ndarray:
-    return np.stack([x - X.low_pass(x, f, RATE_HZ) for f in CUTOFFS], axis=1)
+#: Traces whose residuals under all cutoffs are held at once.
+HELD = 107
+
+
+def _of_residuals(x: np.ndarray, measure) -> np.ndarray:
+    """measure of the residuals (traces, cutoffs, samples) of blocks of the traces: a row for each trace, a column for each cutoff."""
+    parts = (x[at : at + HELD] for at in range(0, len(x), HELD))
+    return np.concatenate([measure(part[:, None, :] - X.low_passes(part, CUTOFFS, RATE_HZ)) for part in parts])
+
+
+def _rms(residuals: np.ndarray) -> np.ndarray:
+    return np.sqrt((residuals**2).mean(2))
 
 
 @query("cutoff_by_residuals")
 def cutoff_by_residuals(spark, sf_dir):
     """Low-pass cutoff by residual analysis: candidates are tried inside the task, per trace."""
-    pick = lambda x: X.residual_cutoff(np.sqrt((_residuals(x) ** 2).mean(2)), CUTOFFS, 6).tolist()
+    pick = lambda x: X.residual_cutoff(_of_residuals(x, _rms), CUTOFFS, 6).tolist()
     return V.per_trace(trials(spark, sf_dir).select("trial_id", "force"), "force", "cutoff_hz", pick, array=False)
 
 
@@ -206,7 +216,7 @@ def quiet_cutoff(spark, sf_dir):
 
     def pick(x: np.ndarray) -> list:
         step = X.step_place(x, STEP_WIDE, STEP_RATIO)
-        best = X.residual_cutoff(np.sqrt((_residuals(x) ** 2).mean(2)), CUTOFFS, 6)
+        best = X.residual_cutoff(_of_residuals(x, _rms), CUTOFFS, 6)
         return np.column_stack((step, best)).tolist()
 
     d = V.per_trace(d, "x", "found", pick)
@@ -218,9 +228,10 @@ def quiet_cutoff(spark, sf_dir):
 def cutoff_by_whiteness(spark, sf_dir):
     """Low-pass cutoff whose residuals look most like white noise."""
 
-    def pick(x: np.ndarray) -> list:
-        dw = np.stack([X.durbin_watson(r) for r in _residuals(x).transpose(1, 0, 2)], axis=1)
-        return CUTOFFS[np.abs(dw - 2).argmin(1)].tolist()
+    def whiteness(residuals: np.ndarray) -> np.ndarray:
+        return X.durbin_watson(residuals.reshape(-1, residuals.shape[2])).reshape(residuals.shape[:2])
+
+    pick = lambda x: CUTOFFS[np.abs(_of_residuals(x, whiteness) - 2).argmin(1)].tolist()
 
     return V.per_trace(trials(spark, sf_dir).select("trial_id", "force"), "force", "cutoff_hz", pick, array=False)
 
