@@ -317,7 +317,7 @@ gv AS (SELECT v, code, CASE WHEN code = 0 THEN ((cs[takeoff] - cs[greatest(o - b
 def rule_grid(spark, sf_dir):
     """Every trial under 512 chains of rules, weighing by takeoff by onset, with shared steps taken once; a row a variant."""
     variants, capped = chains.expand(GRID, GRID_CAP)
-    d = chains.by_variant(chains.heights(trials(spark, sf_dir), variants), variants)
+    d = chains.tally(trials(spark, sf_dir), variants)
     return d.withColumns({x: F.round(x, 6) for x in ("mean", "least", "greatest")}).withColumn("capped", F.lit(capped))
 
 

@@ -183,36 +183,72 @@ class Tree:
         return np.where(ok & np.isfinite(velocity), velocity**2 / (2 * GRAVITY), np.nan), code
 
 
-def heights(trials: DataFrame, variants: list[Variant]) -> DataFrame:
-    """trial_id, subject, values (jump height under each variant, in order; null without an answer) and codes of every trial."""
-    chains = [v.chain for v in variants]
+def _weighable(trials: DataFrame, variants: list[Variant]) -> DataFrame:
+    """trial_id, subject, sample_rate_hz, start of the steadiest window and force of every trial."""
     seconds = {dict(p)["seconds"] for v in variants for s, r, p in v.chain if r == "lowest_variance"}
     if len(seconds) > 1:
         raise Refused("one length of the steadiest window at a time")
     rate = trials.select("sample_rate_hz").first()
     n = samples_for(seconds.pop(), rate[0]) if seconds and rate else 2
     steady = scans.steadiest_window(n)("force")["start"].cast("double")
-    d = trials.select("trial_id", "subject", "sample_rate_hz", steady.alias("steady"), "force")
+    return trials.select("trial_id", "subject", "sample_rate_hz", steady.alias("steady"), "force")
+
+
+def _answers(batches: Iterator[pa.RecordBatch], chains: list[tuple]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(trials, values, codes) of parts of the batches; values and codes have a row for each chain."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            rates, steady = T.numbers(part.column("sample_rate_hz")), T.numbers(part.column("steady"))
+            values, codes = np.full((len(chains), part.num_rows), np.nan), np.full((len(chains), part.num_rows), 1, np.int8)
+            for rows, x in T.blocks(part.column("force")):
+                for hz in np.unique(rates[rows]).tolist():
+                    own = rates[rows] == hz
+                    tree = Tree(x[own], hz, steady[rows][own])
+                    for k, chain in enumerate(chains):
+                        values[k, rows[own]], codes[k, rows[own]] = tree.height(chain)
+            yield part, values, codes
+
+
+def heights(trials: DataFrame, variants: list[Variant]) -> DataFrame:
+    """trial_id, subject, values (jump height under each variant, in order; null without an answer) and codes of every trial."""
+    chains = [v.chain for v in variants]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                rates, steady = T.numbers(part.column("sample_rate_hz")), T.numbers(part.column("steady"))
-                values, codes = np.full((part.num_rows, len(chains)), np.nan), np.full((part.num_rows, len(chains)), 1, np.int8)
-                for rows, x in T.blocks(part.column("force")):
-                    for hz in np.unique(rates[rows]).tolist():
-                        own = rates[rows] == hz
-                        tree = Tree(x[own], hz, steady[rows][own])
-                        for k, chain in enumerate(chains):
-                            values[rows[own], k], codes[rows[own], k] = tree.height(chain)
-                ends = pa.array(np.arange(part.num_rows + 1) * len(chains), pa.int32())
-                flat = pa.array(values.ravel(), mask=np.isnan(values.ravel()))
-                lists = [pa.ListArray.from_arrays(ends, x) for x in (flat, pa.array(codes.ravel()))]
-                yield pa.record_batch([part.column(0), part.column(1), *lists], names=["trial_id", "subject", "values", "codes"])
+        for part, values, codes in _answers(batches, chains):
+            ends = pa.array(np.arange(part.num_rows + 1) * len(chains), pa.int32())
+            flat = values.T.ravel()
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(flat, mask=np.isnan(flat)), pa.array(codes.T.ravel()))]
+            yield pa.record_batch([part.column(0), part.column(1), *lists], names=["trial_id", "subject", "values", "codes"])
 
     kind = lambda x: trials.schema[x].dataType.simpleString()
-    return d.mapInArrow(run, f"trial_id {kind('trial_id')}, subject {kind('subject')}, values array<double>, codes array<tinyint>")
+    return _weighable(trials, variants).mapInArrow(run, f"trial_id {kind('trial_id')}, subject {kind('subject')}, values array<double>, codes array<tinyint>")
+
+
+def tally(trials: DataFrame, variants: list[Variant]) -> DataFrame:
+    """by_variant() of heights(): each task adds up its trials, and a row for each variant leaves it."""
+    chains = [v.chain for v in variants]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(CODES) + 2, len(chains)), np.int64)  # trials, those of each code, and those with a value
+        total, least, greatest = np.zeros(len(chains)), np.full(len(chains), np.inf), np.full(len(chains), -np.inf)
+        for _, values, codes in _answers(batches, chains):
+            held = ~np.isnan(values)
+            counts += np.array([np.full(len(chains), values.shape[1]), *((codes == k).sum(1) for k in range(len(CODES))), held.sum(1)])
+            total += np.where(held, values, 0.0).sum(1)
+            least = np.minimum(least, np.where(held, values, np.inf).min(1, initial=np.inf))
+            greatest = np.maximum(greatest, np.where(held, values, -np.inf).max(1, initial=-np.inf))
+        if counts[0].any():
+            none = counts[-1] == 0
+            cols = [pa.array(np.arange(len(chains)), pa.int32()), *map(pa.array, counts), *(pa.array(x, mask=none) for x in (total, least, greatest))]
+            yield pa.record_batch(cols, names=["variant", "trials", *CODES, "held", "total", "least", "greatest"])
+
+    longs = ["trials", *CODES, "held"]
+    d = _weighable(trials, variants).mapInArrow(run, f"variant int, {', '.join(f'{x} long' for x in longs)}, total double, least double, greatest double")
+    told = trials.sparkSession.createDataFrame([(i, v.label) for i, v in enumerate(variants)], "variant int, label string")
+    mean = F.try_divide(F.sum("total"), F.sum("held")).alias("mean")
+    d = d.groupBy("variant").agg(*(F.sum(x).alias(x) for x in longs[:-1]), mean, F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    return d.join(F.broadcast(told), "variant")
 
 
 def by_variant(swept: DataFrame, variants: list[Variant]) -> DataFrame:

@@ -50,3 +50,22 @@ def test_all_cutoffs_at_once_are_each_cutoff_to_the_last_bit(order):
         x[0] = 640.0
         want = np.stack([X.low_pass(x, f, 100.0, order) for f in cutoffs], axis=1)
         assert np.array_equal(X.low_passes(x, cutoffs, 100.0, order), want)
+
+
+def test_a_grid_is_added_up_in_its_tasks(spark, sf_dir):
+    from forcejobs.jobs.batch_queries import GRID
+    from forcejobs.operators import chains
+    from forcejobs.sources.trials import trials
+
+    assert "Generate" not in queries()["rule_grid"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    variants, _ = chains.expand(GRID, 40)
+    d = trials(spark, sf_dir).limit(300)
+    d = d.unionByName(d.limit(2).withColumns({"trial_id": F.col("trial_id") + 10**7, "force": F.slice("force", 1, 30)}))
+    short = d.where("trial_id > 10000000")
+    for some in (d, short, d.where("false")):
+        want = {r.variant: r.asDict() for r in chains.by_variant(chains.heights(some, variants), variants).collect()}
+        got = {r.variant: r.asDict() for r in chains.tally(some, variants).collect()}
+        assert got.keys() == want.keys()
+        for k in want:
+            assert got[k] == {x: v if not isinstance(v, float) else pytest.approx(v, rel=1e-12) for x, v in want[k].items()}
+    assert all(r.mean is None and r.no_weight == 2 for r in chains.tally(short, variants).collect())
