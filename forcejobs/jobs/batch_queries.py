@@ -255,7 +255,7 @@ def unlike_conventions(spark, sf_dir):
     return out.withColumn("difference", F.round("difference", 6))
 
 
-#: The registered grid: rules, a name and numbers of all three steps, in more combinations than the cap lets through.
+#: The registered grid: rules, a name and numbers of all three steps, in all their combinations.
 GRID = [
     chains.Axis("onset", rules=("noise_relative", "share_of_weight")),
     chains.Axis("onset", parameter="back", numbers=(0, 3)),
@@ -266,7 +266,6 @@ GRID = [
     chains.Axis("takeoff", rules=("absolute_force", "descending", "longest_run")),
     chains.Axis("takeoff", parameter="threshold", numbers=(5.0, 10.0, 20.0)),
 ]
-GRID_CAP = 512
 
 #: gv: value and code of every trial under every variant. Weighings are fm, fd (mean, median of the first second) and lv.
 RULES_SQL = (
@@ -278,7 +277,7 @@ wt AS (SELECT trial_id, 'fm' AS wk, 100 AS e, avg(f) AS w, stddev_samp(f) AS sd
   UNION ALL SELECT trial_id, 'fd', 100, median(f), stddev_samp(f) FROM s WHERE idx < 100 GROUP BY trial_id
   UNION ALL SELECT trial_id, 'lv', any_value(start) + 50, avg(f), stddev_samp(f) FROM s JOIN sb USING (trial_id) WHERE idx BETWEEN start AND start + 49 GROUP BY trial_id),
 ek AS (SELECT trial_id, wk, e FROM wt WHERE wk <> 'fd'),
-wn AS (SELECT trial_id, idx, f, lag(f) OVER x AS pf, max(f) OVER (x ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS h3, count(*) OVER (x ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS c3 FROM s WINDOW x AS (PARTITION BY trial_id ORDER BY idx)),
+wn AS (SELECT trial_id, idx, f, lag(f) OVER x AS pf, max(f) OVER (x ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS h3, count(*) OVER (x ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS c3, max(f) OVER (x ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS h5, count(*) OVER (x ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS c5 FROM s WINDOW x AS (PARTITION BY trial_id ORDER BY idx)),
 th AS (SELECT unnest([5e0, 10e0, 20e0]) AS t),
 ta AS (SELECT trial_id, wk, 'absolute_force' AS tr, t, min(idx) AS takeoff FROM wn JOIN ek USING (trial_id), th WHERE idx >= e AND c3 = 3 AND h3 < t GROUP BY ALL
   UNION ALL SELECT trial_id, wk, 'descending', t, min(idx) FROM wn JOIN ek USING (trial_id), th WHERE idx >= e AND c3 = 3 AND h3 < t AND pf >= t GROUP BY ALL),
@@ -288,16 +287,16 @@ tk AS (SELECT * FROM ta UNION ALL SELECT trial_id, wk, 'longest_run', t, arg_min
 os AS (SELECT trial_id, wk, """
     + ", ".join(
         f"min(idx) FILTER ({hold} {level}) AS {name}{span}"
-        for span, hold in ((1, "f <"), (3, "c3 = 3 AND h3 <"))
+        for span, hold in ((1, "f <"), (3, "c3 = 3 AND h3 <"), (5, "c5 = 5 AND h5 <"))
         for name, level in (*((f"n{k}_", f"w - {k} * sd") for k in (3, 5, 8)), ("share_", "0.95e0 * w"))
     )
     + """ FROM wn JOIN wt USING (trial_id) WHERE idx >= e GROUP BY trial_id, wk),
 cl AS (SELECT trial_id, list(cf ORDER BY idx) AS cs, list(f ORDER BY idx) AS fs FROM (SELECT trial_id, idx, f, sum(f) OVER (PARTITION BY trial_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS cf FROM s) GROUP BY trial_id),
 vr AS (SELECT v, ['fixed_window', 'lowest_variance'][1 + v % 2] AS wr, ['mean', 'median'][1 + (v // 2) % 2] AS ce, ['absolute_force', 'descending', 'longest_run'][1 + (v // 4) % 3] AS tr, [5e0, 10e0, 20e0][1 + (v // 12) % 3] AS t,
-  ['noise_relative', 'share_of_weight'][1 + (v // 36) % 2] AS onr, [0, 3][1 + (v // 72) % 2] AS back, [3, 5, 8][1 + (v // 144) % 3] AS k, [1, 3, 5][1 + (v // 432) % 3] AS span FROM range(512) AS r(v)),
+  ['noise_relative', 'share_of_weight'][1 + (v // 36) % 2] AS onr, [0, 3][1 + (v // 72) % 2] AS back, [3, 5, 8][1 + (v // 144) % 3] AS k, [1, 3, 5][1 + (v // 432) % 3] AS span FROM range(1296) AS r(v)),
 vw AS (SELECT *, CASE WHEN wr = 'lowest_variance' THEN 'lv' WHEN ce = 'median' THEN 'fd' ELSE 'fm' END AS wk, CASE WHEN wr = 'lowest_variance' THEN 'lv' ELSE 'fm' END AS ekk FROM vr),
 ov AS (SELECT wt.trial_id, v, vw.ekk, tr, t, back, w, onr = 'noise_relative' AND (sd <= 0 OR w - k * sd <= 0) AS flat,
-  CASE WHEN onr = 'share_of_weight' THEN CASE span WHEN 1 THEN share_1 ELSE share_3 END ELSE CASE span WHEN 1 THEN CASE k WHEN 3 THEN n3_1 WHEN 5 THEN n5_1 ELSE n8_1 END ELSE CASE k WHEN 3 THEN n3_3 WHEN 5 THEN n5_3 ELSE n8_3 END END END AS o
+  CASE WHEN onr = 'share_of_weight' THEN CASE span WHEN 1 THEN share_1 WHEN 3 THEN share_3 ELSE share_5 END ELSE CASE span WHEN 1 THEN CASE k WHEN 3 THEN n3_1 WHEN 5 THEN n5_1 ELSE n8_1 END WHEN 3 THEN CASE k WHEN 3 THEN n3_3 WHEN 5 THEN n5_3 ELSE n8_3 END ELSE CASE k WHEN 3 THEN n3_5 WHEN 5 THEN n5_5 ELSE n8_5 END END END AS o
   FROM vw JOIN wt USING (wk) LEFT JOIN os USING (trial_id, wk)),
 gc AS (SELECT ov.*, takeoff, CASE WHEN takeoff IS NULL THEN 2 WHEN flat THEN 3 WHEN o IS NULL OR o >= takeoff THEN 4 ELSE 0 END AS code FROM ov LEFT JOIN tk ON tk.trial_id = ov.trial_id AND tk.wk = ov.ekk AND tk.tr = ov.tr AND tk.t = ov.t),
 gv AS (SELECT v, code, CASE WHEN code = 0 THEN ((cs[takeoff] - cs[greatest(o - back, 0) + 1] + fs[greatest(o - back, 0) + 1] - 0.5e0 * (fs[greatest(o - back, 0) + 1] + fs[takeoff]) - (takeoff - 1 - greatest(o - back, 0)) * w) * 0.01e0 / (w / """
@@ -312,11 +311,11 @@ gv AS (SELECT v, code, CASE WHEN code = 0 THEN ((cs[takeoff] - cs[greatest(o - b
     RULES_SQL
     + """SELECT v::INT AS variant, 'weighing=' || any_value(wr) || ',weighing.centre=' || any_value(ce) || ',takeoff=' || any_value(tr) || ',takeoff.threshold=' || any_value(t) || ',onset=' || any_value(onr) || ',onset.back=' || any_value(back) || ',onset.k=' || any_value(k) || '.0,onset.span=' || any_value(span) AS label,
   count(*) AS trials, count(*) FILTER (code = 0) AS answered, 0::BIGINT AS no_weight, count(*) FILTER (code = 2) AS no_takeoff, count(*) FILTER (code = 3) AS collapsed_band, count(*) FILTER (code = 4) AS no_onset,
-  round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS greatest, true AS capped FROM gv JOIN vr USING (v) GROUP BY v""",
+  round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS greatest, false AS capped FROM gv JOIN vr USING (v) GROUP BY v""",
 )
 def rule_grid(spark, sf_dir):
-    """Every trial under 512 chains of rules, weighing by takeoff by onset, with shared steps taken once; a row a variant."""
-    variants, capped = chains.expand(GRID, GRID_CAP)
+    """Every trial under all 1,296 chains of rules, weighing by takeoff by onset, with shared steps taken once; a row a variant."""
+    variants, capped = chains.expand(GRID)
     d = chains.tally(trials(spark, sf_dir), variants)
     return d.withColumns({x: F.round(x, 6) for x in ("mean", "least", "greatest")}).withColumn("capped", F.lit(capped))
 
